@@ -171,7 +171,7 @@ def fit_model(
     if model_type.startswith("knn"):
         model.reference = _reference_rows(rows, len(features), key)
         return model
-    rows = rows.persist()
+    rows = _spread(rows).persist()
     try:
         fit = {
             "naive_bayes": _fit_bayes, "svc": _fit_kernel_classifier, "svr": _fit_kernel_regressor,
@@ -183,6 +183,12 @@ def fit_model(
     return model
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Use every core for the many passes of training when the input has fewer partitions than that."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _facts(rows: DataFrame, model: FittedModel, d: int) -> TrainingFacts:
     n, std = rows.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
     if not n:
@@ -224,7 +230,7 @@ def bayes_moments(rows: DataFrame, d: int) -> list:
 
 def _fit_bayes(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
     spread = rows.agg(*[F.var_pop(f"__f{i}") for i in range(d)]).first()
-    epsilon = model.params["var_smoothing"] * max(spread)
+    epsilon = model.params["var_smoothing"] * max(spread) or 1e-12
     classes = bayes_moments(rows, d)
     total = sum(r["n"] for r in classes)
     scores = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, double, literal, missing, numeric_columns, require, require_numeric, text_columns
 from ..functions.probability import chi2_pvalue
@@ -14,6 +14,12 @@ from .encode import categories
 MAX_LEVELS = 1000
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson over rows where both are present; null, not an error, for a constant side."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, batch: int = 200) -> DataFrame:
     """(x, y, correlation): Pearson over pairwise complete rows, every ordered pair.
 
@@ -21,12 +27,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, batc
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     require_numeric(df, *columns)
+    if not columns:
+        raise ValueError("no numeric column")
     values = {c: double(df, c) for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     rows = None
     for start in range(0, len(pairs), batch):
         chunk = pairs[start:start + batch]
-        row = df.agg(*[F.corr(values[a], values[b]).alias(f"c{i}") for i, (a, b) in enumerate(chunk)])
+        row = df.agg(*[correlation(values[a], values[b]).alias(f"c{i}") for i, (a, b) in enumerate(chunk)])
         cells = []
         for i, (a, b) in enumerate(chunk):
             for x, y in dict.fromkeys([(a, b), (b, a)]):

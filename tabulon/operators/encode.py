@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, double, literal, quoted, require, require_numeric, text_columns
 from ..functions.projection import Projection
+from ..session import freeze
 from .lookup import lookup_join
 from .ordered import row_numbers
 from .split import fold_column
@@ -86,7 +87,7 @@ def target_statistics(df: DataFrame, column: str, target: str) -> DataFrame:
     require_numeric(df, target)
     y = double(df, target)
     return df.groupBy(col(column).alias(column)).agg(
-        F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")
+        F.count(y).alias("__n"), F.sum(y).alias("__s"), F.sum(y * y).alias("__q")
     )
 
 
@@ -102,7 +103,7 @@ def fit_target(df: DataFrame, column: str, target: str) -> tuple[DataFrame, floa
     y = double(df, target)
     mean, variance = df.agg(F.avg(y), F.var_pop(y)).first()
     stats = target_statistics(df, column, target)
-    value = shrunk_mean(F.col("n"), F.col("s"), F.col("q"), F.lit(mean), F.lit(variance))
+    value = shrunk_mean(F.col("__n"), F.col("__s"), F.col("__q"), F.lit(mean), F.lit(variance))
     return stats.select(col(column), value.alias("__code")), mean
 
 
@@ -132,6 +133,7 @@ def target_encode_crossfit(
     cells = folded.groupBy("__fold", _text_key(folded, column).alias("__key")).agg(
         F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")
     )
+    cells = freeze(cells, "cells")  # one row per fold and category, read three times
     totals = cells.groupBy("__key").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
     fold_rows = cells.groupBy("__fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     fits = {r["__fold"]: (r["n"], r["s"] or 0.0, r["q"] or 0.0) for r in fold_rows.collect()}

@@ -190,15 +190,15 @@ def _cell_join(
     pairs = freeze(distinct.mapInPandas(candidates, "q bigint, v array<double>, cell int"), "pairs")
     blocks = {r["cell"]: -(-r["count"] // block_rows) for r in pairs.groupBy("cell").count().collect()}
     rows = [(int(c), int(-(-sizes[c] // chunk_rows)), int(blocks[c])) for c in blocks if sizes[c]]
-    plan = F.broadcast(spark.createDataFrame(rows, "cell int, chunks int, blocks int"))  # one row per cell
+    plan = F.broadcast(spark.createDataFrame(rows, "cell int, chunks bigint, blocks bigint"))  # one row per cell
 
     left = pairs.join(plan, "cell").select(
         "q", "v", "cell", F.pmod(F.xxhash64("q"), F.col("blocks")).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("bigint").alias("chunk"),
+        F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("chunk"),
     )
     right = placed.join(plan, "cell").select(
         "r", "v", "y", "cell", F.pmod(F.xxhash64("r"), F.col("chunks")).alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("bigint").alias("block"),
+        F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"),
     )
 
     def search(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:

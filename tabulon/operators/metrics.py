@@ -49,9 +49,9 @@ def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFr
     """One row: accuracy and support-weighted precision, recall and F1."""
     classes = per_class(df, label, prediction)
     n = F.sum("support")
-    weighted = lambda c: F.sum(F.col(c) * F.col("support")) / n
+    weighted = lambda c: F.try_divide(F.sum(F.col(c) * F.col("support")), n)
     return classes.agg(
-        (F.sum("hits") / n).alias("accuracy"), weighted("precision").alias("precision"),
+        F.try_divide(F.sum("hits"), n).alias("accuracy"), weighted("precision").alias("precision"),
         weighted("recall").alias("recall"), weighted("f1").alias("f1_score"), n.alias("n"),
     )
 
@@ -64,8 +64,8 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     n = F.sum("support")
     summary = classes.agg(
         *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")],
-        *[(F.sum(F.col(c) * F.col("support")) / n).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")],
-        (F.sum("hits") / n).alias("accuracy"), n.alias("support"),
+        *[F.try_divide(F.sum(F.col(c) * F.col("support")), n).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")],
+        F.try_divide(F.sum("hits"), n).alias("accuracy"), n.alias("support"),
     )
 
     def row(name: str, *values) -> Column:
@@ -88,8 +88,8 @@ def averaged_metrics(df: DataFrame, label: str, prediction: str, positive=1) ->
     out = []
     for name, c in (("precision", "precision"), ("recall", "recall"), ("f1_score", "f1")):
         chosen = F.sum(F.when(F.col("class") == F.lit(positive), F.col(c)).otherwise(0.0))
-        out.append(F.when(binary, chosen).otherwise(F.sum(F.col(c) * F.col("support")) / n).alias(name))
-    return classes.agg((F.sum("hits") / n).alias("accuracy"), *out)
+        out.append(F.when(binary, chosen).otherwise(F.try_divide(F.sum(F.col(c) * F.col("support")), n)).alias(name))
+    return classes.agg(F.try_divide(F.sum("hits"), n).alias("accuracy"), *out)
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -150,7 +150,7 @@ def pie(df: DataFrame, column: str) -> DataFrame:
     """(value, count, share) with the share of all present rows."""
     counts = value_counts(df, column)
     total = df.agg(F.count(F.when(~missing(df, column), 1))).first()[0]
-    return counts.withColumn("share", F.col("count") / F.lit(total))
+    return counts.withColumn("share", F.try_divide("count", F.lit(total)))
 
 
 def principal_components(

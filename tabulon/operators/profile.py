@@ -41,6 +41,8 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """count, mean, sample std, min, quartiles and max per numeric column."""
     columns = numeric_columns(df) if columns is None else list(columns)
     require_numeric(df, *columns)
+    if not columns:
+        raise ValueError("no numeric column")
     quartiles = column_quantiles(df, columns, (0.25, 0.5, 0.75))
     aggs = []
     for i, c in enumerate(columns):
@@ -87,6 +89,8 @@ def categorical_topk(df: DataFrame, columns: Sequence[str] | None = None, k: int
     """
     columns = text_columns(df)[:TOP_TEXT_COLUMNS] if columns is None else list(columns)
     require(df, *columns)
+    if not columns:
+        raise ValueError("no text column")
     counts = _text_cells(df, columns)
     distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
     buckets = counts.withColumn("__b", F.pmod(F.xxhash64("value"), F.lit(64)))
@@ -161,6 +165,8 @@ def target_mean(df: DataFrame, x: str, y: str) -> DataFrame:
 def numeric_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, range, ratio) where ratio = largest / smallest range, null if the smallest is zero."""
     columns = numeric_columns(df) if columns is None else list(columns)
+    if not columns:
+        raise ValueError("no numeric column")
     row = df.agg(*[(F.max(double(df, c)) - F.min(double(df, c))).alias(f"c{i}") for i, c in enumerate(columns)])
     ranges = [F.col(f"c{i}") for i in range(len(columns))]
     widest, narrowest = (F.array_max(F.array(*ranges)), F.array_min(F.array(*ranges)))
@@ -183,7 +189,7 @@ def iqr_outlier_pct(df: DataFrame, columns: Sequence[str] | None = None, thresho
         cells.append(
             F.struct(
                 F.lit(c).alias("column"), F.count_if(outside).alias("outliers"),
-                (F.count_if(outside) / F.count(F.lit(1)) * 100).alias("outlier_pct"),
+                F.try_divide(F.count_if(outside) * 100, F.count(F.lit(1))).alias("outlier_pct"),
             ).alias(f"c{i}")
         )
     row = df.agg(*cells)

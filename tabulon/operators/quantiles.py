@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import double, require, require_numeric
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 200_000
 ACCURACY = 10_000
 MAX_GROUPS = 10_000
 GRID = 1024  # points of a narrowing sketch
@@ -50,7 +50,7 @@ class _Item:
         k = math.floor(self.position)
         return k, min(k + 1, self.n - 1) if self.position > k else k
 
-    def pick(self, rank: int, middle: list[float] | None) -> float | None:
+    def pick(self, rank: int, middle: dict[int, float] | None) -> float | None:
         """The value at ``rank``, or None while it is inside and not gathered."""
         r = rank - self.below
         if r < self.on_low:
@@ -60,7 +60,7 @@ class _Item:
             return None if middle is None else middle[r]
         return self.high
 
-    def settle(self, middle: list[float] | None) -> bool:
+    def settle(self, middle: dict[int, float] | None) -> bool:
         lo, hi = (self.pick(r, middle) for r in self.ranks)
         if lo is None or hi is None:
             return False
@@ -138,7 +138,7 @@ def _attach(base: DataFrame, key_names: list[str], extra: dict[tuple, dict[str,
     """Add per-group constants: literals without keys, a broadcast of the (bounded) groups with."""
     if not key_names:
         constants = extra[()]
-        return base.withColumns({f.name: F.lit(constants[f.name]).cast(f.dataType) for f in schema.fields})
+        return base.select("*", *[F.lit(constants[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields])
     spark = base.sparkSession
     fields = [T.StructField(f"k_{g}", base.schema[g].dataType) for g in key_names] + list(schema.fields)
     rows = [tuple(group) + tuple(values[f.name] for f in schema.fields) for group, values in extra.items()]
@@ -172,95 +172,112 @@ def _with_brackets(base: DataFrame, key_names: list[str], items: list[_Item]) ->
 
 
 def _gather(base, key_names, value_names, items: list[_Item], whole: bool = False) -> None:
-    """Fetch the wanted values from the sorted inside of each bracket (all known to be small)."""
+    """Fetch the wanted values from the sorted inside of each bracket (all known to be small).
+
+    One list per column when whole columns are small, else one per bracket; only the wanted positions
+    leave the executors.
+    """
     if not items:
         return
-    slots = _slots(items)
+    lists, homes = [], {}  # homes: (column, target) -> index of its list
     if whole:
         columns = sorted({it.column for it in items})
-        lists = [F.sort_array(F.collect_list(value_names[c])).alias(f"s_{value_names[c]}") for c in columns]
+        lists = [F.collect_list(value_names[c]).alias(f"s{i}") for i, c in enumerate(columns)]
+        homes = {(it.column, it.target): columns.index(it.column) for it in items}
         source = base
-        where = {slot: f"s_{value_names[slot[0]]}" for slot in slots}
         if key_names:  # skip groups that are too large for this path
             groups = {it.group: {"small": True} for it in items}
             source = _attach(base, key_names, groups, T.StructType([T.StructField("small", T.BooleanType())]))
     else:
         source = _with_brackets(base, key_names, items)
-        lists, where = [], {}
-        for s, (column, target) in enumerate(slots):
+        for s, (column, target) in enumerate(_slots(items)):
             v = F.col(value_names[column])
-            lists.append(
-                F.sort_array(F.collect_list(F.when((v > F.col(f"a{s}")) & (v < F.col(f"b{s}")), v))).alias(f"s{s}")
-            )
-            where[column, target] = f"s{s}"
+            inner = F.when((v > F.col(f"a{s}")) & (v < F.col(f"b{s}")), v)
+            lists.append(F.collect_list(inner).alias(f"s{s}"))
+            homes[column, target] = s
     grouped = source.groupBy(*key_names).agg(*lists)
 
-    ranks: dict[tuple, dict[str, object]] = {}
-    fields, picks = [], []
-    for s, (slot, members) in enumerate(slots.items()):
-        fields += [T.StructField(f"r{s}", T.IntegerType()), T.StructField(f"t{s}", T.IntegerType())]
-        picks += [F.get(where[slot], F.col(f"{x}{s}")).alias(f"{x}v{s}") for x in ("r", "t")]
-        for it in members:
-            offset = it.below + it.on_low
-            ranks.setdefault(it.group, {})[f"r{s}"] = it.ranks[0] - offset
-            ranks[it.group][f"t{s}"] = it.ranks[1] - offset
-    for row in ranks.values():
-        for f in fields:
-            row.setdefault(f.name, None)
-    picked = _attach(grouped, key_names, ranks, T.StructType(fields)).select(*key_names, *picks)
-    found = {tuple(r[g] for g in key_names): r for r in picked.collect()}
-    for s, members in enumerate(slots.values()):
-        for it in members:
-            row = found[it.group]
-            offset = it.below + it.on_low
-            middle = {it.ranks[0] - offset: row[f"rv{s}"], it.ranks[1] - offset: row[f"tv{s}"]}
-            it.settle(middle)
+    wanted: dict[tuple, dict[str, list[int]]] = {}
+    for it in items:
+        row = wanted.setdefault(it.group, {f"r{i}": [] for i in range(len(lists))})
+        offset = it.below + it.on_low
+        row[f"r{homes[it.column, it.target]}"] += [r - offset for r in it.ranks]
+    fields = T.StructType([T.StructField(f"r{i}", T.ArrayType(T.IntegerType())) for i in range(len(lists))])
+    # the outer lambda binds the sorted list once; a plain column would be sorted again for every position
+    picks = [
+        F.expr(f"transform(array(sort_array(s{i})), s -> transform(r{i}, k -> get(s, k)))[0] AS p{i}")
+        for i in range(len(lists))
+    ]
+    picked = _attach(grouped, key_names, wanted, fields).select(*key_names, *picks).collect()
+    found = {tuple(r[g] for g in key_names): r for r in picked}
+    for it in items:
+        home = homes[it.column, it.target]
+        values = dict(zip(wanted[it.group][f"r{home}"], found[it.group][f"p{home}"]))
+        it.settle(values)
 
 
 def _narrow(base, key_names, value_names, items, bounds, small, accuracy) -> None:
-    margin = 2.0 / accuracy
+    """Count around the brackets, gather the ones that are small enough, sketch inside the others and repeat."""
     while items:
-        slots = _slots(items)
-        source = _with_brackets(base, key_names, items)
-        aggs = []
-        for s, (column, _) in enumerate(slots):
-            v, a, b = F.col(value_names[column]), F.col(f"a{s}"), F.col(f"b{s}")
-            inner = F.when((v > a) & (v < b), v)
-            grid = [i / GRID for i in range(GRID + 1)]
-            aggs += [
-                F.count_if(v < a).alias(f"below{s}"),
-                F.count_if(v == a).alias(f"low{s}"),
-                F.count(inner).alias(f"in{s}"),
-                F.count_if((v == b) & (b > a)).alias(f"high{s}"),
-                F.percentile_approx(inner, grid, accuracy).alias(f"q{s}"),
-            ]
-        found = {tuple(r[g] for g in key_names): r for r in source.groupBy(*key_names).agg(*aggs).collect()}
-        ready, waiting = [], []
-        for s, members in enumerate(slots.values()):
-            for it in members:
-                row = found[it.group]
-                it.below, it.on_low = row[f"below{s}"], row[f"low{s}"]
-                it.inside, it.on_high = row[f"in{s}"], row[f"high{s}"]
-                if not it.covers():  # the sketch missed: start again from the full range
-                    it.low, it.high = bounds[it.group, it.column]
-                    waiting.append(it)
-                elif it.settle(None):
-                    continue
-                elif it.inside <= small:
-                    ready.append(it)
-                else:
-                    q = row[f"q{s}"]
-                    first = it.below + it.on_low
-                    lo = max(0.0, (it.ranks[0] - first) / it.inside - margin)
-                    hi = min(1.0, (it.ranks[1] - first + 1) / it.inside + margin)
-                    # a rank on the bracket's edge keeps that edge
-                    if it.ranks[0] >= first:
-                        it.low = q[max(0, math.floor(lo * GRID) - (1 if lo > 0 else 0))]
-                    if it.ranks[1] < first + it.inside:
-                        it.high = q[min(GRID, math.ceil(hi * GRID) + (1 if hi < 1 else 0))]
-                    waiting.append(it)
+        _count(base, key_names, value_names, items)
+        ready, crowded, waiting = [], [], []
+        for it in items:
+            if not it.covers():  # the sketch missed: start again from the full range
+                it.low, it.high = bounds[it.group, it.column]
+                waiting.append(it)
+            elif it.settle(None):
+                continue
+            else:
+                (ready if it.inside <= small else crowded).append(it)
         _gather(base, key_names, value_names, ready)
-        items = waiting
+        _tighten(base, key_names, value_names, crowded, accuracy)
+        items = waiting + crowded
+
+
+def _per_group(base, key_names, value_names, items, aggregates: Callable) -> dict[tuple, object]:
+    aggs = []
+    for s, (column, _) in enumerate(_slots(items)):
+        aggs += aggregates(s, F.col(value_names[column]), F.col(f"a{s}"), F.col(f"b{s}"))
+    rows = _with_brackets(base, key_names, items).groupBy(*key_names).agg(*aggs).collect()
+    return {tuple(r[g] for g in key_names): r for r in rows}
+
+
+def _count(base, key_names, value_names, items: list[_Item]) -> None:
+    def counts(s, v, a, b):
+        return [
+            F.count_if(v < a).alias(f"below{s}"), F.count_if(v == a).alias(f"low{s}"),
+            F.count_if((v > a) & (v < b)).alias(f"in{s}"), F.count_if((v == b) & (b > a)).alias(f"high{s}"),
+        ]
+
+    found = _per_group(base, key_names, value_names, items, counts)
+    for s, members in enumerate(_slots(items).values()):
+        for it in members:
+            row = found[it.group]
+            it.below, it.on_low, it.inside, it.on_high = (row[f"{n}{s}"] for n in ("below", "low", "in", "high"))
+
+
+def _tighten(base, key_names, value_names, items: list[_Item], accuracy: int) -> None:
+    """Move the ends of crowded brackets to sketched values inside them."""
+    if not items:
+        return
+    grid = [i / GRID for i in range(GRID + 1)]
+
+    def sketches(s, v, a, b):
+        return [F.percentile_approx(F.when((v > a) & (v < b), v), grid, accuracy).alias(f"q{s}")]
+
+    found = _per_group(base, key_names, value_names, items, sketches)
+    margin = 2.0 / accuracy
+    for s, members in enumerate(_slots(items).values()):
+        for it in members:
+            q = found[it.group][f"q{s}"]
+            first = it.below + it.on_low
+            lo = max(0.0, (it.ranks[0] - first) / it.inside - margin)
+            hi = min(1.0, (it.ranks[1] - first + 1) / it.inside + margin)
+            # a rank on the bracket's edge keeps that edge
+            if it.ranks[0] >= first:
+                it.low = q[max(0, math.floor(lo * GRID) - (1 if lo > 0 else 0))]
+            if it.ranks[1] < first + it.inside:
+                it.high = q[min(GRID, math.ceil(hi * GRID) + (1 if hi < 1 else 0))]
 
 
 def quantiles(

@@ -19,7 +19,7 @@ def request_log_stats(log: DataFrame, latency: str, success: str, ts: str) -> Da
     n = F.count(F.lit(1))
     return log.agg(
         n.alias("total_requests"), F.count_if(col(success)).alias("successful_requests"),
-        (F.count_if(col(success)) / n * 100).alias("success_rate"),
+        F.try_divide(F.count_if(col(success)) * 100, n).alias("success_rate"),
         F.avg(v).alias("mean_latency"), F.lit(median).cast("double").alias("median_latency"),
         F.lit(p95).cast("double").alias("p95_latency"), F.lit(p99).cast("double").alias("p99_latency"),
         F.min(v).alias("min_latency"), F.max(v).alias("max_latency"),
@@ -51,7 +51,7 @@ def assessment(rate: Column, mean: Column) -> Column:
 
 def request_assessment(log: DataFrame, latency: str, success: str) -> DataFrame:
     """One row: success rate, mean latency, the grade and the verdict."""
-    rate = F.count_if(col(success)) / F.count(F.lit(1)) * 100
+    rate = F.try_divide(F.count_if(col(success)) * 100, F.count(F.lit(1)))
     row = log.agg(rate.alias("success_rate"), F.avg(double(log, latency)).alias("mean_latency"))
     rate, mean = F.col("success_rate"), F.col("mean_latency")
     verdict = F.when((rate >= 90) & (mean < 5.0), "PASS").otherwise("FAIL")

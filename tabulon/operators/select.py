@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, double, numeric_columns, require, require_numeric
+from .association import correlation
 from .detect import classify_target
 from .quantiles import column_quantiles
 
@@ -42,10 +43,11 @@ def f_classif(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     out = []
     for i in range(len(features)):
         n, s, q = F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"q{i}")
-        between = F.sum(s * s / n) - F.sum(s) * F.sum(s) / F.sum(n)
-        within = F.sum(q) - F.sum(s * s / n)
+        between = F.sum(F.try_divide(s * s, n)) - F.try_divide(F.sum(s) * F.sum(s), F.sum(n))
+        within = F.sum(q) - F.sum(F.try_divide(s * s, n))
         groups = F.count_if(n > 0)
-        out.append(((between / (groups - 1)) / (within / (F.sum(n) - groups))).alias(f"f{i}"))
+        score = F.try_divide(F.try_divide(between, groups - 1), F.try_divide(within, F.sum(n) - groups))
+        out.append(score.alias(f"f{i}"))
     return _scores(per_class.agg(*out), features)
 
 
@@ -56,9 +58,9 @@ def f_regression(df: DataFrame, features: Sequence[str], target: str) -> DataFra
     out = []
     for i, c in enumerate(features):
         v = double(df, c)
-        r = F.corr(v, y)
+        r = correlation(v, y)
         n = F.count(F.when(v.isNotNull() & y.isNotNull(), 1))
-        out.append((r * r / (1 - r * r) * (n - 2)).alias(f"f{i}"))
+        out.append(F.try_divide(r * r * (n - 2), 1 - r * r).alias(f"f{i}"))
     return _scores(df.agg(*out), features)
 
 
@@ -75,7 +77,7 @@ def chi2(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     for i in range(len(features)):
         o = F.coalesce(F.col(f"s{i}"), F.lit(0.0))
         total = F.sum(o)
-        out.append((F.sum(o * o / F.col("n")) * F.sum("n") / total - total).alias(f"f{i}"))
+        out.append((F.try_divide(F.sum(o * o / F.col("n")) * F.sum("n"), total) - total).alias(f"f{i}"))
     return _scores(sums.agg(*out), features)
 
 
@@ -97,7 +99,7 @@ def mutual_information(
         cuts = sorted({e for e in edges[c] if e is not None})
         index = F.lit(0)
         for e in cuts:
-            index = index + F.when(v > F.lit(e), 1).otherwise(0)
+            index = index + (v > F.lit(e)).cast("int")
         return F.when(v.isNotNull(), index)
 
     y = col(target).cast("string") if classification else bin_of(target).cast("string")

@@ -41,6 +41,8 @@ def drift_ks(
     columns = [c for c in numeric_columns(reference) if c in new.columns] if columns is None else list(columns)
     require(reference, *columns)
     require(new, *columns)
+    if not columns:
+        raise ValueError("no shared numeric column")
 
     def cells(df: DataFrame, first: int) -> DataFrame:
         parts = [F.struct(F.lit(c).alias("column"), double(df, c).alias("value")) for c in columns]
@@ -52,7 +54,7 @@ def drift_ks(
     )
     running = running_sums(counts, [F.asc("value")], {"ca": "a", "cb": "b"}, ["column"], **options)
     totals = counts.groupBy("column").agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
-    gap = F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))
+    gap = F.abs(F.try_divide("ca", "n") - F.try_divide("cb", "m"))
     # totals holds one row per column
     d = running.join(F.broadcast(totals), "column").groupBy("column", "n", "m").agg(F.max(gap).alias("ks_statistic"))
     p = kolmogorov_pvalue(F.col("ks_statistic"), F.col("n"), F.col("m"))
@@ -83,6 +85,8 @@ def performance_gate(runs: DataFrame, threshold: float = 0.85, metrics: str = "m
 def threshold_check(metrics: DataFrame, thresholds: dict[str, float] = PERFORMANCE_THRESHOLDS) -> DataFrame:
     """(metric, value, threshold, meets_threshold) for the metrics that exist, from a one-row table."""
     names = [c for c in thresholds if c in metrics.columns]
+    if not names:
+        return metrics.sparkSession.createDataFrame([], "metric string, value double, threshold double, meets_threshold boolean")
     cells = [
         F.struct(
             F.lit(c).alias("metric"), col(c).cast("double").alias("value"), F.lit(float(thresholds[c])).alias("threshold"),

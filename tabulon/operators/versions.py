@@ -104,7 +104,7 @@ def project_summary(
     def counted(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(col(key)).agg(F.count(F.lit(1)).alias(name))
 
-    out = lookup_join(chosen, configs, [key])
+    out = lookup_join(chosen, configs, [key], derived=False)
     out = lookup_join(out, counted(experiments, "experiment_count"), [key])
     out = lookup_join(out, counted(models, "model_count"), [key])
     return out.withColumns(
@@ -116,7 +116,8 @@ def model_run_metrics(models: DataFrame, runs: DataFrame, run_id: str = "run_id"
     """Active models with ``all_metrics``: their own metrics overlaid by those of their run."""
     require(models, run_id, "status", "metrics")
     active = models.where(F.col("status") == "active")
-    joined = lookup_join(active, runs.select(col(run_id), F.col("metrics").alias("run_metrics")), [run_id])
+    overlay = runs.select(col(run_id), F.col("metrics").alias("run_metrics"))
+    joined = lookup_join(active, overlay, [run_id], derived=False)
     empty = F.from_json(F.lit("{}"), "map<string,double>")
     own, run = F.coalesce("metrics", empty), F.coalesce("run_metrics", empty)
     kept = F.map_filter(own, lambda name, _: ~F.map_contains_key(run, name))
