@@ -171,7 +171,8 @@ def fit_model(
     if model_type.startswith("knn"):
         model.reference = _reference_rows(rows, len(features), key)
         return model
-    rows = _spread(rows).persist()
+    kept = rows.persist()
+    rows = _spread(kept)
     try:
         fit = {
             "naive_bayes": _fit_bayes, "svc": _fit_kernel_classifier, "svr": _fit_kernel_regressor,
@@ -180,13 +181,14 @@ def fit_model(
         model.stages = fit(rows, model, len(features))
     finally:
         rows.unpersist()
+        kept.unpersist()
     return model
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Use every core for the many passes of training when the input has fewer partitions than that."""
+    """Use every core for the many passes of training when the persisted input has fewer partitions than that."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores).persist() if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _facts(rows: DataFrame, model: FittedModel, d: int) -> TrainingFacts:

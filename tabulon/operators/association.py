@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, double, literal, missing, numeric_columns, require, require_numeric, text_columns
 from ..functions.probability import chi2_pvalue
+from ..session import freeze
 from .encode import categories
 
 MAX_LEVELS = 1000
@@ -81,6 +82,7 @@ def chi2_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         df.select(F.explode(F.array(*cell)).alias("p")).select("p.*").where("u IS NOT NULL AND v IS NOT NULL")
         .groupBy("x", "y", "u", "v").agg(F.count(F.lit(1)).cast("double").alias("o"))
     )
+    cells = freeze(cells, "cells")  # the counts are read four times, the table once
     rows = cells.groupBy("x", "y", "u").agg(F.sum("o").alias("r"))
     cols = cells.groupBy("x", "y", "v").agg(F.sum("o").alias("c"))
     totals = rows.groupBy("x", "y").agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("k1")).join(
@@ -105,7 +107,8 @@ def chi2_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         F.when(dof == 0, F.lit(0.0)).when(dof == 1, plain * shrink).otherwise(plain).alias("chi2"),
         dof.alias("dof"),
     )
-    return out.unionByName(out.select(F.col("y").alias("x"), F.col("x").alias("y"), "chi2", "dof"))
+    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    return out.select(F.explode(both).alias("pair"), "chi2", "dof").select("pair.x", "pair.y", "chi2", "dof")
 
 
 def chi2_pvalues(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

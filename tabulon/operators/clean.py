@@ -10,6 +10,7 @@ from ..functions.columns import (
     col, double, is_text, literal, missing, numeric_columns, present_sql, require, require_numeric, text_columns,
 )
 from ..functions.projection import Projection
+from ..session import freeze
 from .quantiles import column_quantiles
 
 
@@ -76,7 +77,7 @@ def fit_sigma(df: DataFrame, column: str, width: float = 3.0) -> Projection:
 
 
 def clean_numeric(df: DataFrame, column: str, width: float = 3.0) -> DataFrame:
-    unique = dedupe(df)
+    unique = freeze(dedupe(df), "unique")  # fitted on, then filtered
     return fit_sigma(unique, column, width).apply(unique)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, double, require, require_numeric
+from ..session import freeze
 from .ordered import running_sums
 
 CLIP = 2.220446049250313e-16
@@ -61,6 +62,7 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     classes = per_class(df, label, prediction).select(
         F.col("class").cast("string").alias("class"), "precision", "recall", "f1", "support", "hits"
     )
+    classes = freeze(classes, "classes")  # one row per class, read twice
     n = F.sum("support")
     summary = classes.agg(
         *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")],

@@ -40,14 +40,16 @@ def running_sums(
     keys: Sequence[str] = (),
     small: int = SMALL_ROWS,
     ranges: int | None = None,
+    frozen: bool = False,
 ) -> DataFrame:
     """Add ``{new: column}`` running totals (current row included) within ``keys``.
 
     ``order`` must be a total order within the keys. The input, usually an aggregate, is written once
-    because sizing, sampling and summing it would otherwise compute it three times.
+    because sizing, sampling and summing it would otherwise compute it three times; a caller that has
+    written it already says ``frozen``.
     """
     require(df, *keys, *sums.values())
-    df = freeze(df, "running")
+    df = df if frozen else freeze(df, "running")
     by = [col(k) for k in keys]
     frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if df.count() <= small:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import (
     col, double, missing, numeric_columns, present, require, require_numeric, text_columns,
 )
+from ..session import freeze
 from .quantiles import column_quantiles
 
 TOP_TEXT_COLUMNS = 5
@@ -91,7 +92,7 @@ def categorical_topk(df: DataFrame, columns: Sequence[str] | None = None, k: int
     require(df, *columns)
     if not columns:
         raise ValueError("no text column")
-    counts = _text_cells(df, columns)
+    counts = freeze(_text_cells(df, columns), "cells")  # read twice
     distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
     buckets = counts.withColumn("__b", F.pmod(F.xxhash64("value"), F.lit(64)))
     order = [F.desc("count"), F.asc("value")]

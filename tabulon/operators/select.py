@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, double, numeric_columns, require, require_numeric
+from ..session import freeze
 from .association import correlation
 from .detect import classify_target
 from .quantiles import column_quantiles
@@ -108,6 +109,7 @@ def mutual_information(
         df.select(y.alias("y"), F.explode(cells).alias("x")).select("y", "x.*")
         .where("y IS NOT NULL AND b IS NOT NULL").groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n"))
     )
+    joint = freeze(joint, "joint")  # at most features x bins x classes rows, read four times
     by_bin = joint.groupBy("feature", "b").agg(F.sum("n").alias("nb"))
     by_y = joint.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
     total = joint.groupBy("feature").agg(F.sum("n").alias("nt"))

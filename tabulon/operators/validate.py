@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import col, double, numeric_columns, require
 from ..functions.probability import kolmogorov_pvalue
 from .metrics import classification_metrics, regression_metrics
+from ..session import freeze
 from .ordered import running_sums
 
 MAX_GROUP_VALUES = 10
@@ -52,7 +53,8 @@ def drift_ks(
     counts = cells(reference, 1).unionByName(cells(new, 0)).groupBy("column", "value").agg(
         F.sum("a").alias("a"), F.sum("b").alias("b")
     )
-    running = running_sums(counts, [F.asc("value")], {"ca": "a", "cb": "b"}, ["column"], **options)
+    counts = freeze(counts, "counts")
+    running = running_sums(counts, [F.asc("value")], {"ca": "a", "cb": "b"}, ["column"], frozen=True, **options)
     totals = counts.groupBy("column").agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
     gap = F.abs(F.try_divide("ca", "n") - F.try_divide("cb", "m"))
     # totals holds one row per column
@@ -128,6 +130,7 @@ def fairness(
         scores = regression_metrics(rows, "y", "p", ("feature", "group")).select(
             "feature", "group", F.col("r2_score").alias("score")
         )
+    scores = freeze(scores, "scores")
     # groups of a feature are few once checked, so the summary per feature is small
     summary = scores.groupBy("feature").agg(
         F.count(F.lit(1)).alias("groups"), (F.max("score") - F.min("score")).alias("difference")
