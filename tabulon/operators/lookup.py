@@ -31,7 +31,7 @@ def lookup_join(
     on = list(on)
     side = freeze(side, "side") if derived else side
     outputs = [*[col(c) for c in df.columns], *[col(c) for c in side.columns if c not in on]]
-    if side.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if side.count() <= broadcast_rows:
         return df.join(F.broadcast(side), on, "left").select(*outputs)
 
     counts = df.groupBy(*[col(c) for c in on]).agg(F.count(F.lit(1)).alias("__n"))

@@ -3,7 +3,8 @@
 A sketch brackets each wanted rank; a second pass counts what lies left of and on the bracket; only
 the values strictly inside are gathered, and only once a count shows that they are few. A bracket
 that is still too full is narrowed by another sketch over its inside. Hot values end up as bracket
-ends, where they are counted, so a value held by a third of all rows costs nothing extra.
+ends, where they are counted, so a value held by a third of all rows costs nothing extra. Inputs
+counted as small skip the sketch and gather their columns directly.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import double, require, require_numeric
 
-SMALL_ROWS = 200_000
+SMALL_VALUES = 4_000_000  # values one task may gather, over all columns
+SMALL_BRACKET = 200_000
 ACCURACY = 10_000
 MAX_GROUPS = 10_000
 GRID = 1024  # points of a narrowing sketch
@@ -77,11 +79,14 @@ def order_statistics(
     df: DataFrame,
     wanted: dict[str, Sequence[Target]],
     keys: Sequence[str] = (),
-    small: int = SMALL_ROWS,
+    small: int | None = None,
     accuracy: int = ACCURACY,
     max_groups: int = MAX_GROUPS,
 ) -> dict[tuple, dict[str, tuple[int, list[float | None]]]]:
-    """{group: {column: (non-null count, values at the wanted positions)}}; nulls and NaN ignored."""
+    """{group: {column: (non-null count, values at the wanted positions)}}; nulls and NaN ignored.
+
+    ``small`` overrides both the size of an input and that of a bracket that may be gathered.
+    """
     names = list(wanted)
     require(df, *keys)
     require_numeric(df, *names)
@@ -93,16 +98,19 @@ def order_statistics(
     )
     margin = 2.0 / accuracy
 
-    sketch = []
+    few = base.count() <= (SMALL_VALUES // max(1, len(names)) if small is None else small)
+    bracket = SMALL_BRACKET if small is None else small
+
+    first = []
     for name, v in zip(names, value_names):
-        probs = [min(1.0, max(0.0, p + s)) for p, _ in wanted[name] for s in (-margin, margin)]
-        sketch += [
-            F.count(v).alias(f"n_{v}"),
-            F.min(v).alias(f"min_{v}"),
-            F.max(v).alias(f"max_{v}"),
-            F.percentile_approx(v, probs, accuracy).alias(f"q_{v}"),
-        ]
-    summary = base.groupBy(*key_names).agg(*sketch).limit(max_groups + 1).collect()
+        first.append(F.count(v).alias(f"n_{v}"))
+        if not few:
+            probs = [min(1.0, max(0.0, p + s)) for p, _ in wanted[name] for s in (-margin, margin)]
+            first += [
+                F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"),
+                F.percentile_approx(v, probs, accuracy).alias(f"q_{v}"),
+            ]
+    summary = base.groupBy(*key_names).agg(*first).limit(max_groups + 1).collect()
     if len(summary) > max_groups:
         raise ValueError(f"more than {max_groups} groups")
 
@@ -117,17 +125,20 @@ def order_statistics(
             result[group][name] = (n, [None] * len(wanted[name]))
             if not n:
                 continue
-            bounds[group, i] = (row[f"min_{v}"], row[f"max_{v}"])
+            if not few:
+                bounds[group, i] = (row[f"min_{v}"], row[f"max_{v}"])
             for j, (_, position) in enumerate(wanted[name]):
-                q = row[f"q_{v}"]
-                items.append(_Item(group, i, j, n, min(n - 1, max(0, position(n))), q[2 * j], q[2 * j + 1]))
-
-    few = [it for it in items if it.n <= small]
-    many = [it for it in items if it.n > small]
-    for it in few:  # everything is "inside": gather the whole (small) column once
-        it.low, it.high, it.inside = -math.inf, math.inf, it.n
-    _gather(base, key_names, value_names, few, whole=True)
-    _narrow(base, key_names, value_names, many, bounds, small, accuracy)
+                at = min(n - 1, max(0, position(n)))
+                if few:  # everything is "inside": gather the column once
+                    items.append(_Item(group, i, j, n, at, -math.inf, math.inf, inside=n))
+                else:
+                    q = row[f"q_{v}"]
+                    items.append(_Item(group, i, j, n, at, q[2 * j], q[2 * j + 1]))
+
+    if few:
+        _gather(base, key_names, value_names, items, whole=True)
+    else:
+        _narrow(base, key_names, value_names, items, bounds, bracket, accuracy)
     for it in items:
         n, values = result[it.group][names[it.column]]
         values[it.target] = it.value
@@ -185,16 +196,16 @@ def _gather(base, key_names, value_names, items: list[_Item], whole: bool = Fals
         lists = [F.collect_list(value_names[c]).alias(f"s{i}") for i, c in enumerate(columns)]
         homes = {(it.column, it.target): columns.index(it.column) for it in items}
         source = base
-        if key_names:  # skip groups that are too large for this path
-            groups = {it.group: {"small": True} for it in items}
-            source = _attach(base, key_names, groups, T.StructType([T.StructField("small", T.BooleanType())]))
     else:
         source = _with_brackets(base, key_names, items)
+        inside_any = F.lit(False)
         for s, (column, target) in enumerate(_slots(items)):
             v = F.col(value_names[column])
-            inner = F.when((v > F.col(f"a{s}")) & (v < F.col(f"b{s}")), v)
-            lists.append(F.collect_list(inner).alias(f"s{s}"))
+            inside = (v > F.col(f"a{s}")) & (v < F.col(f"b{s}"))
+            lists.append(F.collect_list(F.when(inside, v)).alias(f"s{s}"))
             homes[column, target] = s
+            inside_any = inside_any | inside
+        source = source.where(inside_any)  # most rows lie in no bracket and stop here
     grouped = source.groupBy(*key_names).agg(*lists)
 
     wanted: dict[tuple, dict[str, list[int]]] = {}
@@ -234,26 +245,22 @@ def _narrow(base, key_names, value_names, items, bounds, small, accuracy) -> Non
         items = waiting + crowded
 
 
-def _per_group(base, key_names, value_names, items, aggregates: Callable) -> dict[tuple, object]:
-    aggs = []
-    for s, (column, _) in enumerate(_slots(items)):
-        aggs += aggregates(s, F.col(value_names[column]), F.col(f"a{s}"), F.col(f"b{s}"))
-    rows = _with_brackets(base, key_names, items).groupBy(*key_names).agg(*aggs).collect()
-    return {tuple(r[g] for g in key_names): r for r in rows}
-
-
 def _count(base, key_names, value_names, items: list[_Item]) -> None:
-    def counts(s, v, a, b):
-        return [
-            F.count_if(v < a).alias(f"below{s}"), F.count_if(v == a).alias(f"low{s}"),
-            F.count_if((v > a) & (v < b)).alias(f"in{s}"), F.count_if((v == b) & (b > a)).alias(f"high{s}"),
-        ]
-
-    found = _per_group(base, key_names, value_names, items, counts)
-    for s, members in enumerate(_slots(items).values()):
+    """Rows left of, on and inside every bracket: plain conditional counts, which stay in generated code."""
+    slots = _slots(items)
+    counts = []
+    for s, (column, _) in enumerate(slots):
+        v, a, b = F.col(value_names[column]), F.col(f"a{s}"), F.col(f"b{s}")
+        for name, condition in (("lt", v < a), ("le", v <= a), ("in", v < b), ("to", v <= b)):
+            counts.append(F.count_if(condition).alias(f"{name}{s}"))
+    rows = _with_brackets(base, key_names, items).groupBy(*key_names).agg(*counts).collect()
+    found = {tuple(r[g] for g in key_names): r for r in rows}
+    for s, members in enumerate(slots.values()):
         for it in members:
-            row = found[it.group]
-            it.below, it.on_low, it.inside, it.on_high = (row[f"{n}{s}"] for n in ("below", "low", "in", "high"))
+            left, low, inside, high = (found[it.group][f"{n}{s}"] for n in ("lt", "le", "in", "to"))
+            it.below, it.on_low = left, low - left
+            it.inside = inside - low if it.high > it.low else 0
+            it.on_high = high - inside if it.high > it.low else 0
 
 
 def _tighten(base, key_names, value_names, items: list[_Item], accuracy: int) -> None:
@@ -261,11 +268,13 @@ def _tighten(base, key_names, value_names, items: list[_Item], accuracy: int) ->
     if not items:
         return
     grid = [i / GRID for i in range(GRID + 1)]
-
-    def sketches(s, v, a, b):
-        return [F.percentile_approx(F.when((v > a) & (v < b), v), grid, accuracy).alias(f"q{s}")]
-
-    found = _per_group(base, key_names, value_names, items, sketches)
+    sketches = []
+    for s, (column, _) in enumerate(_slots(items)):
+        v = F.col(value_names[column])
+        inside = F.when((v > F.col(f"a{s}")) & (v < F.col(f"b{s}")), v)
+        sketches.append(F.percentile_approx(inside, grid, accuracy).alias(f"q{s}"))
+    rows = _with_brackets(base, key_names, items).groupBy(*key_names).agg(*sketches).collect()
+    found = {tuple(r[g] for g in key_names): r for r in rows}
     margin = 2.0 / accuracy
     for s, members in enumerate(_slots(items).values()):
         for it in members:
