@@ -66,6 +66,7 @@ FAMILIES: dict[str, dict] = {
 _FAMILY_STEM = {"random_forest": "random_forest", "xgboost": "xgboost", "lightgbm": "lightgbm", "neural_network": "mlp"}
 
 MAX_TREE_DEPTH = 30
+PARALLEL_CLASSES = 4  # one-against-rest fits that run at a time
 
 
 @dataclass(frozen=True)
@@ -150,10 +151,10 @@ def spark_estimator(model_type: str, p: dict, facts: TrainingFacts) -> Estimator
         return mc.DecisionTreeClassifier(**_tree(p))
     if model_type == "svc":
         machine = mc.LinearSVC(regParam=1.0 / (p["C"] * facts.n_rows), maxIter=p["max_iter"], standardization=False)
-        return machine if facts.n_classes <= 2 else mc.OneVsRest(classifier=machine)
+        return machine if facts.n_classes <= 2 else mc.OneVsRest(classifier=machine, parallelism=PARALLEL_CLASSES)
     if model_type in boosted:
         boosting = mc.GBTClassifier(**_boosting(p))
-        return boosting if facts.n_classes <= 2 else mc.OneVsRest(classifier=boosting)
+        return boosting if facts.n_classes <= 2 else mc.OneVsRest(classifier=boosting, parallelism=PARALLEL_CLASSES)
     if model_type == "mlp_classifier":
         layers = [facts.n_features, *p["hidden_layer_sizes"], max(2, facts.n_classes)]
         return mc.MultilayerPerceptronClassifier(layers=layers, maxIter=p["max_iter"], seed=p["random_state"])

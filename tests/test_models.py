@@ -63,6 +63,7 @@ def test_linear_closed_forms(table):
 @pytest.mark.parametrize("kind", [m for m in available_models()["classification"] if m != "knn_classifier"])
 def test_classifiers_learn_and_reload(spark, table, tmp_path, kind):
     small = {"n_estimators": 5} if "n_estimators" in DEFAULTS[kind] else {}
+    small |= {"n_components": 40, "max_iter": 15} if kind == "svc" else {}
     model = fit_model(table, "k", kind, small, FEATURES)
     scored = model.transform(table)
     assert scored.where("prediction = k").count() > 255
@@ -75,10 +76,10 @@ def test_classifiers_learn_and_reload(spark, table, tmp_path, kind):
 
 @pytest.mark.parametrize("kind", [m for m in available_models()["regression"] if m not in ("knn_regressor", "linear_regression", "ridge")])
 def test_regressors_learn(table, kind):
-    small = {"n_estimators": 40} if "n_estimators" in DEFAULTS[kind] else {}
+    small = {"n_estimators": 20} if "n_estimators" in DEFAULTS[kind] else {}
     small |= {"alpha": 0.01} if kind in ("lasso", "elastic_net") else {}
-    small |= {"hidden_layer_sizes": (8, 4), "max_iter": 60} if kind == "mlp_regressor" else {}
-    small |= {"C": 50.0, "max_iter": 60} if kind == "svr" else {}
+    small |= {"hidden_layer_sizes": (8, 4), "max_iter": 40} if kind == "mlp_regressor" else {}
+    small |= {"C": 50.0, "max_iter": 30} if kind == "svr" else {}
     model = fit_model(table, "y", kind, small, FEATURES)
     y = matrix(table)[1]
     error = predictions(model, table) - y
@@ -87,8 +88,9 @@ def test_regressors_learn(table, kind):
 
 def test_three_classes(table):
     df = table.withColumn("m", F.when(F.col("y") > 7, "high").when(F.col("y") > 3, "mid").otherwise("low"))
+    quick = {"gradient_boosting_classifier": {"n_estimators": 3}, "svc": {"n_components": 30, "max_iter": 10}}
     for kind in ("svc", "gradient_boosting_classifier", "naive_bayes", "logistic_regression"):
-        small = {"n_estimators": 5} if kind.startswith("grad") else {}
+        small = quick.get(kind)
         scored = fit_model(df, "m", kind, small, FEATURES).transform(df)
         assert {r[0] for r in scored.select("prediction").distinct().collect()} <= {"high", "mid", "low"}
         assert scored.where("prediction = m").count() > 200
