@@ -15,6 +15,7 @@ from ..functions.columns import col, require, unused
 from ..session import freeze
 
 SMALL_ROWS = 200_000
+ROWS_PER_RANGE = 5_000_000
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -28,7 +29,11 @@ def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return left.join(right, condition, how).drop(*renamed.values())
 
 
-def _ranges(df: DataFrame, sort: Sequence[Column], part: str, ranges: int | None) -> DataFrame:
+def _ranges(df: DataFrame, sort: Sequence[Column], part: str, rows: int, ranges: int | None) -> DataFrame:
+    """Range-partition and write; beyond what the session's partition number holds, by a fixed range size."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None and rows > partitions * ROWS_PER_RANGE:
+        ranges = -(-rows // ROWS_PER_RANGE)
     spread = df.repartitionByRange(ranges, *sort) if ranges else df.repartitionByRange(*sort)
     return freeze(spread.withColumn(part, F.spark_partition_id()), "ranges")
 
@@ -52,11 +57,12 @@ def running_sums(
     df = df if frozen else freeze(df, "running")
     by = [col(k) for k in keys]
     frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if df.count() <= small:
+    rows = df.count()
+    if rows <= small:
         return df.withColumns({new: F.sum(col(c)).over(frame) for new, c in sums.items()})
 
     part = unused(df.columns, "__part")
-    spread = _ranges(df, [*by, *order], part, ranges)
+    spread = _ranges(df, [*by, *order], part, rows, ranges)
     totals = spread.groupBy(*by, part).agg(*[F.sum(col(c)).alias(f"__t_{new}") for new, c in sums.items()])
     earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
@@ -95,11 +101,12 @@ def fill(
     walk = [col(o).desc_nulls_last() for o in order_by] if backward else forward_order
     frame = Window.partitionBy(*by).orderBy(*walk).rowsBetween(Window.unboundedPreceding, 0)
     names = df.columns
-    if df.count() <= small:
+    rows = df.count()
+    if rows <= small:
         return df.withColumn(column, F.last(value, ignorenulls=True).over(frame))
 
     part, carried = unused(names, "__part"), unused(names, "__carried")
-    spread = _ranges(df.withColumn(column, value), [*by, *forward_order], part, ranges)
+    spread = _ranges(df.withColumn(column, value), [*by, *forward_order], part, rows, ranges)
     inside = Window.partitionBy(*by, part).orderBy(*walk).rowsBetween(Window.unboundedPreceding, 0)
     local = spread.withColumn(column, F.last(col(column), ignorenulls=True).over(inside))
     # the last present value of a range is the one with the greatest (least) order key

@@ -134,9 +134,9 @@ def snapshot_query(t: Tables):
     snapshot_dataset(orders.dropDuplicates(["o_custkey", "o_orderstatus", "o_orderpriority"]).select("o_custkey", "o_orderstatus", "o_orderpriority"),
                      root, "sales", "orders", tag="preprocessed")
     snapshot_dataset(orders, root, "sales", "orders", make_current=False)
-    current = current_version(t.spark, root, "sales", "orders").select("version").withColumnRenamed("version", "current")
+    current = current_version(t.spark, root, "sales", "orders").first()["version"]
     known = registry(t.spark, root).select("version", "tag", "num_rows", "num_columns", "checksum", "is_current")
-    return known.join(F.broadcast(current), F.lit(True)).orderBy("version")
+    return known.withColumn("current", F.col("version") == current).orderBy("version")
 
 
 CHECKSUM_SQL = """
