@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import decontaminate
 from .tables import table
+from .tokens import tokenize_documents
 from .topk import exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,16 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
     digest = F.sha2(F.concat_ws(",", "items"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def public_tokenizer(name: str) -> str:
+    """Path of a vocabulary file of the installed collection."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op6_token_output")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    held = tokenize_documents(table(spark, folder, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
+    return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

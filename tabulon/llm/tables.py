@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker; functions travel by value, so module globals don't."""
+    return vars(sys.modules.setdefault("_tabulon_worker", types.ModuleType("_tabulon_worker")))
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in one array and the offsets of each text; a null counts as an empty text."""
     if pa.types.is_null(texts.type):
@@ -48,4 +55,4 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         at = to
 
 
-__all__ = ["STEP_BYTES", "freeze", "shuffle_partitions", "steps", "table", "text_buffers"]
+__all__ = ["STEP_BYTES", "freeze", "shuffle_partitions", "steps", "table", "text_buffers", "worker_state"]

@@ -8,12 +8,11 @@ loop over words.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from .tables import text_buffers
+from .tables import text_buffers, worker_state
 
 U = np.uint64
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that each power has an inverse
@@ -36,12 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 CODES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-@lru_cache(maxsize=4)
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64."""
+    """base**i and base**-i modulo 2**64; the last size asked for is remembered."""
+    state, name = worker_state(), f"powers {base}"
+    if name in state and len(state[name][0]) >= size:
+        return state[name]
     up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
     up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    state[name] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return state[name]
 
 
 def power_size(n: int) -> int:
