@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import decontaminate
 from .tables import table
 from .tokens import tokenize_documents
 from .topk import exact_topk
+from .toxicity import ToxicityModel, fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,21 @@ def public_tokenizer(name: str) -> str:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     held = tokenize_documents(table(spark, folder, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
     return held.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model may learn from."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> ToxicityModel:
+    return fit_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels").where(~held_out(F.col("doc_id"))))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_toxicity(table(spark, folder, "documents").select("doc_id", "text"), toxicity_model(spark, folder))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
