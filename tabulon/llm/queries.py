@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import decontaminate
+from .near_duplicates import near_duplicates
 from .tables import table
 from .tokens import tokenize_documents
 from .topk import exact_topk
@@ -104,3 +105,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op4_near_duplicates")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), size=5, percent=85)
