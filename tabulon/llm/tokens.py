@@ -6,6 +6,8 @@ Part totals (one number for each task) give every document its place among all i
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,52 +19,55 @@ from ..session import scratch_path
 from .simple8b import pack_block, unpack
 from .tables import shuffle_partitions, steps, worker_state
 
-#: Distinct chunks of text whose ids a Python worker remembers; it forgets all of them when full.
-REMEMBERED = 400_000
+#: Distinct chunks of text whose ids a Python worker remembers (about 300 bytes each); it forgets all of them when full.
+REMEMBERED = 600_000
 BLOCK = "part int, first long, n_ids long, doc_ids binary, counts binary, offsets binary, words binary"
 
 
+#: Latin letters, and ASCII punctuation other than apostrophes and angle brackets: one piece each to any splitter by class.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+CHECKED = 2_000
+
+
 class ChunkEncoder:
     """Ids of texts through a tokenizers file, each distinct white-space chunk encoded once.
 
-    The file's normaliser and splitter treat every ASCII white space as a border, so a text's ids are the ids of its
-    chunks in order. ASCII letters with trailing punctuation are again two pieces, and case is dropped.
+    ASCII white space ends a piece for the supported files, so a text's ids are the ids of its chunks in order. Chunks of
+    Latin letters with trailing punctuation skip the library's normaliser and splitter: their lower-case pieces go to its
+    model at once. The first such chunks of a worker are compared with the full way, which is used alone if any differs.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
-        self.border = "<|endoftext|>"
-        self.border_id = self.tokenizer.token_to_id(self.border)
-
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        joined, single, split = [], [], []
-        for chunk in chunks:
-            if chunk in self.known:
-                continue
-            body = chunk.rstrip(b".,")
-            if body and chunk.isascii() and body.isalpha() and (body != chunk or not body.islower()):
-                split.append((chunk, body.lower(), chunk[len(body):]))
-            elif b"<|" in chunk:
-                single.append(chunk)
-            else:
-                joined.append(chunk)
-        if split:
-            self.learn({x for _, body, tail in split for x in (body, tail) if x} - self.known.keys())
-        for chunk in single:
-            self.known[chunk] = self.ids(chunk.decode()).tobytes()
-        for at in range(0, len(joined), 4096):
-            part = joined[at : at + 4096]
-            ids = self.ids(self.border.join(chunk.decode() for chunk in part))
-            cuts = np.flatnonzero(ids == self.border_id)
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            self.known.update((chunk, ids[a:b].tobytes()) for chunk, a, b in zip(part, starts, ends, strict=True))
-        for chunk, body, tail in split:
-            self.known[chunk] = self.known[body] + self.known.get(tail, b"")
+        self.pieces: dict[bytes, bytes] = {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(33, 0x250)]
+        self.bytes = {ord(c): "".join(piece for piece, _ in level.pre_tokenize_str(c)) for c in letters}
+        self.checked, self.plain = 0, True
+
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of one piece of letters or of punctuation."""
+        if (ids := self.pieces.get(piece)) is None:
+            text = piece.decode() if piece.isascii() else piece.decode().translate(self.bytes)
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return ids
+
+    def chunk(self, chunk: bytes) -> bytes:
+        body = chunk.rstrip(TAIL)
+        if not self.plain or not (body.isalpha() or LATIN.fullmatch(body.decode())):
+            return self.ids(chunk.decode()).tobytes()
+        ids = self.piece(body.lower() if body.isascii() else body.decode().lower().encode())
+        if len(body) < len(chunk):
+            ids += self.piece(chunk[len(body) :])
+        if self.checked < CHECKED:
+            self.checked += 1
+            self.plain = ids == self.ids(chunk.decode()).tobytes()
+        return ids
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -70,11 +75,14 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         chunks = [text.encode().split() if text else [] for text in texts]
         new = set().union(*chunks) - self.known.keys()
-        if new:
-            if len(self.known) + 2 * len(new) > REMEMBERED:
-                self.known.clear()
-                new = set().union(*chunks)
-            self.learn(new)
+        if len(self.known) + 2 * len(new) > REMEMBERED:
+            self.known.clear()
+            self.pieces.clear()
+            new = set().union(*chunks)
+        plain = self.plain
+        self.known.update([(chunk, self.chunk(chunk)) for chunk in new])
+        if plain != self.plain:
+            self.known = {chunk: self.ids(chunk.decode()).tobytes() for chunk in set().union(*chunks)}
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in chunks]
 
