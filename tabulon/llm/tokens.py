@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
+        self.known = Known(self.chunk)
         self.pieces: dict[bytes, bytes] = {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(33, 0x250)]
@@ -73,18 +73,27 @@ class ChunkEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        chunks = [text.encode().split() if text else [] for text in texts]
-        new = set().union(*chunks) - self.known.keys()
-        if len(self.known) + 2 * len(new) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
             self.pieces.clear()
-            new = set().union(*chunks)
-        plain = self.plain
-        self.known.update([(chunk, self.chunk(chunk)) for chunk in new])
-        if plain != self.plain:
-            self.known = {chunk: self.ids(chunk.decode()).tobytes() for chunk in set().union(*chunks)}
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in chunks]
+        plain, get = self.plain, self.known.__getitem__
+        ids = [np.frombuffer(b"".join(map(get, text.encode().split())) if text else b"", "<u4") for text in texts]
+        if self.plain == plain:
+            return ids
+        self.known.clear()
+        return self.encode(texts)
+
+
+class Known(dict):
+    """Ids by chunk; a chunk that is asked for the first time is encoded."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        return ids
 
 
 def encoder(path: str) -> ChunkEncoder:
