@@ -6,7 +6,8 @@
    within a band, connect all candidates of a cluster.
 3. Inside a cluster, pairs that pass the length bound and the collision-corrected estimate are confirmed on full shingle
    sets, and only links that connect something are kept. A large cluster is first contracted by confirmed links to band
-   representatives; then only members outside its largest part meet the others, block by block.
+   representatives; then, in each band that still holds several parts, the members outside the largest part meet the
+   others, block by block.
 4. Confirmed links give the components.
 """
 
@@ -24,6 +25,8 @@ from .words import U, mix, shingle_codes, words_of
 
 REGISTERS, BANDS, ROWS = 256, 42, 6
 MANTISSA = 10
+#: Registers of each band, far apart: neighbours of a sparse sketch were filled from the same bucket.
+PLACES = (np.arange(BANDS * ROWS) * 97 % REGISTERS).reshape(BANDS, ROWS)
 #: Spread of the estimate that a candidate may fall short by, in standard deviations.
 SLACK = 4.5
 #: Shingles of one cluster, or of one block of a larger cluster, that one task holds (8 bytes each).
@@ -90,15 +93,16 @@ def registers_of(column: pa.Array) -> np.ndarray:
 
 
 def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, band) rows; a band's key is the fingerprint of its number and registers."""
+    """(rep, no, band) rows; a band's key is the fingerprint of its number and registers."""
     for batch in batches:
         regs = registers_of(batch.column("sketch")).astype(U)
         reps = batch.column("rep").to_numpy()
         for band in range(BANDS):
             key = np.full(len(reps), band + 1, U)
             for row in range(ROWS):
-                key = mix(key * U(0x9E3779B97F4A7C15) + regs[:, band * ROWS + row])
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(key.view(np.int64))], names=["rep", "band"])
+                key = mix(key * U(0x9E3779B97F4A7C15) + regs[:, PLACES[band, row]])
+            no = np.full(len(reps), band, np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(no), pa.array(key.view(np.int64))], names=["rep", "no", "band"])
 
 
 def estimate(matches: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -145,8 +149,11 @@ class Groups:
         self.of[max(x, y)] = min(x, y)
 
 
-def block_links(percent: int, rows: list[dict]) -> list[tuple[int, int]]:
-    """Links that connect parts of one block: rows marked ``outside`` against all rows."""
+def block_links(percent: int, rows: list[dict], no: int) -> list[tuple[int, int]]:
+    """Links that connect parts of one block: rows marked ``outside`` against all rows.
+
+    In a block of band ``no``, pairs that share an earlier band are left to it; -1 stands for all bands.
+    """
     regs = np.stack([np.frombuffer(r["sketch"], np.uint16) for r in rows])
     sets = [np.frombuffer(r["codes"], U) for r in rows]
     n = np.array([len(s) for s in sets])
@@ -155,7 +162,11 @@ def block_links(percent: int, rows: list[dict]) -> list[tuple[int, int]]:
     found = []
     for i in np.flatnonzero(outside):
         others = np.concatenate([np.flatnonzero(~outside), np.flatnonzero(outside[: i]) if i else np.zeros(0, np.int64)])
-        for j in may_link(percent, regs, n, int(i), others):
+        others = may_link(percent, regs, n, int(i), others)
+        if no >= 0 and len(others):
+            same = (regs[i][PLACES[: no + 1]] == regs[others][:, PLACES[: no + 1]]).all(axis=2)
+            others = others[same.argmax(axis=1) == no]
+        for j in others:
             x, y = rows[i]["part"], rows[int(j)]["part"]
             if groups.find(x) != groups.find(y) and linked(percent, sets[i], sets[j]):
                 groups.join(x, y)
@@ -167,14 +178,14 @@ LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def confirmed_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """blocks: one row per block with ``rows``, a list of (rep, part, outside, sketch, codes)."""
+    """blocks: one row per block with its band ``no`` and ``rows``, a list of (rep, part, outside, sketch, codes)."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in batch.column("rows"):
-                found = block_links(percent, rows.as_py())
+            for no, rows in zip(batch.column("no").to_pylist(), batch.column("rows"), strict=True):
+                found = block_links(percent, rows.as_py(), no)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=LINK)
 
-    return blocks.select("rows").mapInArrow(confirm, "u long, v long")
+    return blocks.select("no", "rows").mapInArrow(confirm, "u long, v long")
 
 
 def confirmed_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +224,7 @@ def sets_of(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 def near_duplicate_links(documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between class representatives; enough of them to connect all that are connected."""
-    bands = freeze(classes.select("rep", "sketch").mapInArrow(band_rows, "rep long, band long"), "bands")
+    bands = freeze(classes.select("rep", "sketch").mapInArrow(band_rows, "rep long, no byte, band long"), "bands")
     leaders = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     star = bands.join(leaders.select("band", "leader"), "band").where("rep <> leader").select("rep", "leader").distinct()
     star = freeze(star, "band-stars")
@@ -229,7 +240,7 @@ def near_duplicate_links(documents: DataFrame, classes: DataFrame, size: int, pe
 
     whole = members.join(sizes.where("not large").select("cluster"), "cluster", "left_semi")
     whole = whole.withColumns({"part": F.col("rep"), "outside": F.lit(True)})
-    links = freeze(confirmed_in_blocks(whole.groupBy("cluster").agg(F.collect_list(row).alias("rows")), percent), "links")
+    links = freeze(confirmed_in_blocks(whole.groupBy("cluster").agg(F.lit(-1).alias("no"), F.collect_list(row).alias("rows")), percent), "links")
     if not sizes.where("large").limit(1).count():
         return links
 
@@ -238,29 +249,26 @@ def near_duplicate_links(documents: DataFrame, classes: DataFrame, size: int, pe
     first = freeze(confirmed_pairs(star.join(large_nodes, "rep", "left_semi"), large, percent), "links")
     part = components(first).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     placed = freeze(
-        large.join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-        .select("cluster", "rep", "part", "n_shingles", "sketch", "codes"), "placed",
+        large.join(part, "rep", "left").select("rep", F.coalesce("part", "rep").alias("part"), "n_shingles"), "placed"
     )
-    largest = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = largest.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    placed = placed.join(F.broadcast(largest) if largest.count() <= BROADCAST_NODES else largest, "cluster")
-    placed = placed.withColumn("outside", F.col("part") != F.col("main"))
-    room = placed.groupBy("cluster").agg(
-        F.sum(F.col("n_shingles")).alias("all"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("outside"), F.col("n_shingles")).otherwise(0)).alias("out"),
-        F.sum(F.col("outside").cast("int")).alias("n_out"),
-    ).select(
-        "cluster", F.ceil(F.greatest(F.col("all") / BLOCK_SHINGLES, F.col("n") / BLOCK_MEMBERS)).cast("int").alias("nb"),
-        F.ceil(F.greatest(F.col("out") / BLOCK_SHINGLES, F.col("n_out") / BLOCK_MEMBERS)).cast("int").alias("nq"),
-    ).where("nq > 0")
-    room = freeze(room, "rooms")
-    sized = F.broadcast(room) if room.count() <= BROADCAST_NODES else room
-    dealt = placed.join(sized, "cluster").withColumns({
+    in_bands = freeze(bands.join(placed, "rep"), "placed-bands")
+    parts = in_bands.groupBy("band", "no", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    most = F.max(F.struct("n", "part", "w"))
+    open_bands = parts.groupBy("band", "no").agg(most.alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
+    blocks_for = lambda n, w: F.ceil(F.greatest(n / BLOCK_MEMBERS, w / BLOCK_SHINGLES)).cast("int")
+    open_bands = freeze(open_bands.select(
+        "band", "no", F.col("main.part").alias("main"), blocks_for(F.col("n"), F.col("w")).alias("nb"),
+        blocks_for(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("nq"),
+    ), "open-bands")
+    dealt = in_bands.join(open_bands, ["band", "no"]).withColumns({
+        "outside": F.col("part") != F.col("main"),
         "b": F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), "q": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nq")).cast("int"),
-    })
-    asking = dealt.where("outside").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    asked = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("outside", F.lit(False))
-    blocks = asking.unionByName(asked).groupBy("cluster", "q", "b").agg(F.collect_list(row).alias("rows"))
+    }).select("rep", "part", "band", "no", "outside", "b", "q", "nb", "nq")
+    single = (F.col("nb") == 1) & (F.col("nq") == 1)
+    asking = dealt.where(F.col("outside") & ~single).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    asked = dealt.where(~single).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("outside", F.lit(False))
+    dealt = dealt.where(single).unionByName(asking).unionByName(asked).join(large.select("rep", "sketch", "codes"), "rep")
+    blocks = dealt.groupBy("band", "no", "q", "b").agg(F.collect_list(row).alias("rows"))
     second = freeze(confirmed_in_blocks(blocks, percent), "links")
     return links.union(first).union(second)
 
