@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import decontaminate
+from .fm_index import substring_dedup
 from .near_duplicates import near_duplicates
+from .suffix_array import suffix_array_dedup
 from .tables import table
 from .tokens import tokenize_documents
 from .topk import exact_topk
@@ -110,3 +112,33 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_near_duplicates")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=5, percent=85)
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (SELECT doc_id, unnest(range(1, len(w) - {window} + 2)) AS s, w FROM w WHERE len(w) >= {window}),
+k AS (SELECT doc_id, s, sha256(array_to_string(w[s:s + {window} - 1], ' ')) AS x FROM g),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS o FROM k),
+hit AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(s, s + {window})) AS p FROM r WHERE o > 1) GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, len(w) AS n, array_to_string(list_filter(w, lambda x, i: p IS NULL OR NOT list_contains(p, i)), ' ') AS t,
+    coalesce(len(p), 0) AS m
+  FROM w LEFT JOIN hit USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(t) AS kept_sha256 FROM kept
+"""
+
+
+def kept_digest(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op1_suffix_array_dedup", OP2_SQL.replace("{window}", "50"))
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return kept_digest(suffix_array_dedup(table(spark, folder, "documents"), window=50))
+
+
+@query("op2_substring_dedup", OP2_SQL.replace("{window}", "20"))
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return kept_digest(substring_dedup(table(spark, folder, "documents"), window=20))

@@ -110,11 +110,14 @@ def shingle_codes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return owner, sequence_codes(sums, begin, np.minimum(size, counts)[owner])
 
 
-def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of ``width`` values, by doubling."""
-    span, low = 1, values
+def window_minima(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(minimum, its first place) of each run of ``width`` values, by doubling."""
+    def least(gap: int) -> tuple[np.ndarray, np.ndarray]:
+        right = low[gap:] < low[: len(low) - gap]
+        return np.where(right, low[gap:], low[: len(low) - gap]), np.where(right, place[gap:], place[: len(low) - gap])
+
+    span, low, place = 1, values, np.arange(len(values))
     while 2 * span <= width:
-        low = np.minimum(low[:-span], low[span:])
+        low, place = least(span)
         span *= 2
-    rest = width - span
-    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+    return least(width - span) if width > span else (low, place)
