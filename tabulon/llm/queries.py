@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import decontaminate
 from .fm_index import substring_dedup
+from .line_dedup import line_dedup
 from .near_duplicates import near_duplicates
 from .suffix_array import suffix_array_dedup
 from .tables import table
@@ -142,3 +143,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_substring_dedup", OP2_SQL.replace("{window}", "20"))
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return kept_digest(substring_dedup(table(spark, folder, "documents"), window=20))
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
