@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .decontaminate import decontaminate
 from .fm_index import substring_dedup
 from .line_dedup import line_dedup
+from .mixing import mix
 from .near_duplicates import near_duplicates
 from .suffix_array import suffix_array_dedup
 from .tables import table
@@ -149,3 +150,19 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
+#: Shares of all tokens by domain, and the domain of a labelled document.
+TARGETS = {"high": 0.8, "low": 0.15, "toxic": 0.05}
+
+
+def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return table(spark, folder, "labels").select("doc_id", domain.alias("domain"))
+
+
+@query("op10_mixing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix(table(spark, folder, "documents"), domain_labels(spark, folder), TARGETS)
+    shares = [F.round(F.col("posterior")[i], 6).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    return mixed.select("doc_id", "n_tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
