@@ -11,6 +11,7 @@ from .fm_index import substring_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
 from .near_duplicates import near_duplicates
+from .quality import quality_scores
 from .suffix_array import suffix_array_dedup
 from .tables import table
 from .tokens import tokenize_documents
@@ -166,3 +167,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix(table(spark, folder, "documents"), domain_labels(spark, folder), TARGETS)
     shares = [F.round(F.col("posterior")[i], 6).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
     return mixed.select("doc_id", "n_tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
+    scored = quality_scores(table(spark, folder, "documents"), labels)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.round("text_odds", 6).alias("text_odds"), F.round("page_odds", 6).alias("page_odds"),
+        "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
