@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         both = stars.union(stars.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = freeze(large.where("u > v"), "stars")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        stars = freeze(small.distinct(), "stars")
+        moved = large.join(least, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        # a node with several smaller neighbours keeps its own edge: its smallest neighbour gives the second case
+        stars = freeze(moved.distinct(), "stars")
     nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -2,12 +2,10 @@
 
 1. Each text becomes a sketch: its shingles fall into buckets, and a bucket keeps the leading-zero count and a few mantissa
    bits of its smallest hash. Texts with equal shingle sets are one class, represented by its smallest id.
-2. Bands of registers are joined to the smallest representative with the same band. These edges alone, without any pairs
-   within a band, connect all candidates of a cluster.
-3. Inside a cluster, pairs that pass the length bound and the collision-corrected estimate are confirmed on full shingle
-   sets, and only links that connect something are kept. A large cluster is first contracted by confirmed links to band
-   representatives; then, in each band that still holds several parts, the members outside the largest part meet the
-   others, block by block.
+2. Members of a band of registers are paired with the smallest representative in it. Pairs that pass the length bound and
+   the collision-corrected estimate are confirmed on full shingle sets.
+3. In each band that still holds several parts, the members outside the largest part meet the others, block by block,
+   and links that connect something are kept. A pair is compared in the first band that it shares.
 4. Confirmed links give the components.
 """
 
@@ -29,7 +27,7 @@ MANTISSA = 10
 PLACES = (np.arange(BANDS * ROWS) * 97 % REGISTERS).reshape(BANDS, ROWS)
 #: Spread of the estimate that a candidate may fall short by, in standard deviations.
 SLACK = 4.5
-#: Shingles of one cluster, or of one block of a larger cluster, that one task holds (8 bytes each).
+#: Shingles (8 bytes each) and members of one block.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 500_000, 512
 #: Nodes up to which the list of candidates is broadcast (8 bytes each) instead of shuffled against the texts.
 BROADCAST_NODES = 500_000
@@ -93,7 +91,7 @@ def registers_of(column: pa.Array) -> np.ndarray:
 
 
 def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, no, band) rows; a band's key is the fingerprint of its number and registers."""
+    """(rep, n_shingles, no, band) rows; a band's key is the fingerprint of its number and registers."""
     for batch in batches:
         regs = registers_of(batch.column("sketch")).astype(U)
         reps = batch.column("rep").to_numpy()
@@ -102,7 +100,7 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in range(ROWS):
                 key = mix(key * U(0x9E3779B97F4A7C15) + regs[:, PLACES[band, row]])
             no = np.full(len(reps), band, np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(no), pa.array(key.view(np.int64))], names=["rep", "no", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(reps), batch.column("n_shingles"), pa.array(no), pa.array(key.view(np.int64))], names=["rep", "n_shingles", "no", "band"])
 
 
 def estimate(matches: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -152,7 +150,7 @@ class Groups:
 def block_links(percent: int, rows: list[dict], no: int) -> list[tuple[int, int]]:
     """Links that connect parts of one block: rows marked ``outside`` against all rows.
 
-    In a block of band ``no``, pairs that share an earlier band are left to it; -1 stands for all bands.
+    In a block of band ``no``, pairs that share an earlier band are left to it.
     """
     regs = np.stack([np.frombuffer(r["sketch"], np.uint16) for r in rows])
     sets = [np.frombuffer(r["codes"], U) for r in rows]
@@ -163,7 +161,7 @@ def block_links(percent: int, rows: list[dict], no: int) -> list[tuple[int, int]
     for i in np.flatnonzero(outside):
         others = np.concatenate([np.flatnonzero(~outside), np.flatnonzero(outside[: i]) if i else np.zeros(0, np.int64)])
         others = may_link(percent, regs, n, int(i), others)
-        if no >= 0 and len(others):
+        if len(others):
             same = (regs[i][PLACES[: no + 1]] == regs[others][:, PLACES[: no + 1]]).all(axis=2)
             others = others[same.argmax(axis=1) == no]
         for j in others:
@@ -224,53 +222,37 @@ def sets_of(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 def near_duplicate_links(documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between class representatives; enough of them to connect all that are connected."""
-    bands = freeze(classes.select("rep", "sketch").mapInArrow(band_rows, "rep long, no byte, band long"), "bands")
+    bands = freeze(classes.select("rep", "n_shingles", "sketch").mapInArrow(band_rows, "rep long, n_shingles long, no byte, band long"), "bands")
     leaders = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = bands.join(leaders.select("band", "leader"), "band").where("rep <> leader").select("rep", "leader").distinct()
-    star = freeze(star, "band-stars")
-    clusters = freeze(components(star.select(F.col("rep").alias("u"), F.col("leader").alias("v"))), "clusters")
-    sets = sets_of(documents, clusters, size).groupBy("rep").agg(F.min("codes").alias("codes"))
-    members = freeze(
-        clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-        .join(classes.select("rep", "n_shingles", "sketch"), "rep").join(sets, "rep"), "members",
-    )
-    sizes = members.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n"))
-    sizes = freeze(sizes.withColumn("large", (F.col("weight") > BLOCK_SHINGLES) | (F.col("n") > BLOCK_MEMBERS)), "cluster-sizes")
-    row = F.struct("rep", "part", "outside", "sketch", "codes")
-
-    whole = members.join(sizes.where("not large").select("cluster"), "cluster", "left_semi")
-    whole = whole.withColumns({"part": F.col("rep"), "outside": F.lit(True)})
-    links = freeze(confirmed_in_blocks(whole.groupBy("cluster").agg(F.lit(-1).alias("no"), F.collect_list(row).alias("rows")), percent), "links")
-    if not sizes.where("large").limit(1).count():
-        return links
-
-    large = members.join(sizes.where("large").select("cluster"), "cluster", "left_semi")
-    large_nodes = large.select(F.col("rep"))
-    first = freeze(confirmed_pairs(star.join(large_nodes, "rep", "left_semi"), large, percent), "links")
-    part = components(first).select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    placed = freeze(
-        large.join(part, "rep", "left").select("rep", F.coalesce("part", "rep").alias("part"), "n_shingles"), "placed"
-    )
-    in_bands = freeze(bands.join(placed, "rep"), "placed-bands")
-    parts = in_bands.groupBy("band", "no", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    met = freeze(bands.join(leaders.select("band", "leader"), "band"), "met")
+    star = freeze(met.where("rep <> leader").select("rep", "leader").distinct(), "band-stars")
+    nodes = freeze(star.select(F.explode(F.array("rep", "leader")).alias("node")).distinct(), "nodes")
+    sets = sets_of(documents, nodes, size).groupBy("rep").agg(F.min("codes").alias("codes"))
+    members = freeze(sets.join(classes.select("rep", "sketch"), "rep"), "members")
+    first = freeze(confirmed_pairs(star, members, percent), "links")
+
+    part = first.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("part"))  # a leader is the smallest of its band
+    placed = freeze(met.drop("leader").join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "placed")
+    parts = placed.groupBy("band", "no", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
     most = F.max(F.struct("n", "part", "w"))
-    open_bands = parts.groupBy("band", "no").agg(most.alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
+    open_bands = parts.groupBy("band", "no").agg(most.alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n_parts"))
     blocks_for = lambda n, w: F.ceil(F.greatest(n / BLOCK_MEMBERS, w / BLOCK_SHINGLES)).cast("int")
-    open_bands = freeze(open_bands.select(
+    open_bands = open_bands.where("n_parts > 1").select(
         "band", "no", F.col("main.part").alias("main"), blocks_for(F.col("n"), F.col("w")).alias("nb"),
         blocks_for(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("nq"),
-    ), "open-bands")
-    dealt = in_bands.join(open_bands, ["band", "no"]).withColumns({
+    )
+    dealt = placed.join(open_bands, ["band", "no"]).withColumns({
         "outside": F.col("part") != F.col("main"),
         "b": F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), "q": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nq")).cast("int"),
-    }).select("rep", "part", "band", "no", "outside", "b", "q", "nb", "nq")
+    })
+    dealt = freeze(dealt.select("rep", "part", "band", "no", "outside", "b", "q", "nb", "nq"), "open-bands")
     single = (F.col("nb") == 1) & (F.col("nq") == 1)
     asking = dealt.where(F.col("outside") & ~single).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     asked = dealt.where(~single).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("outside", F.lit(False))
-    dealt = dealt.where(single).unionByName(asking).unionByName(asked).join(large.select("rep", "sketch", "codes"), "rep")
-    blocks = dealt.groupBy("band", "no", "q", "b").agg(F.collect_list(row).alias("rows"))
-    second = freeze(confirmed_in_blocks(blocks, percent), "links")
-    return links.union(first).union(second)
+    dealt = dealt.where(single).unionByName(asking).unionByName(asked).join(members, "rep")
+    row = F.struct("rep", "part", "outside", "sketch", "codes")
+    second = confirmed_in_blocks(dealt.groupBy("band", "no", "q", "b").agg(F.collect_list(row).alias("rows")), percent)
+    return first.union(freeze(second, "links"))
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
