@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .tables import freeze
 
@@ -28,7 +28,11 @@ def whole_components(vectors: DataFrame, id_column: str, vector_column: str, sca
     good = F.col(vector_column).isNotNull() & F.col(id_column).isNotNull() & F.forall(
         vector_column, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     )
-    values = F.transform(vector_column, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
+    def whole(x: Column) -> Column:
+        wide = F.lit(float(scale)) * x.cast("double")  # from 2**53 on every double is whole
+        return F.when(F.abs(wide) < float(1 << 53), F.floor(wide).cast("double")).otherwise(wide)
+
+    values = F.transform(vector_column, whole)
     return (
         vectors.where(good)
         .select(F.col(id_column).cast("long").alias("id"), values.alias("values"))
@@ -65,19 +69,17 @@ def scores(q: np.ndarray, c: np.ndarray, dim: int, most: float) -> np.ndarray:
         return np.rint(q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     wide = np.array([[int(x) for x in row] for row in c], dtype=object).reshape(len(c), dim).T
     each = np.array([[int(x) for x in row] for row in q], dtype=object).reshape(len(q), dim) @ wide
-    return np.clip(each, -MOST, MOST).astype(np.int64)
+    return np.clip(each, -MOST, MOST).astype(np.int64)  # whole numbers of Python until here
 
 
 def pair_scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids and the table of scores of one pair of blocks."""
     dim = int(row.dim)
-    read = lambda side: (
-        np.frombuffer(getattr(row, f"{side}_ids"), np.int64),
-        np.frombuffer(getattr(row, f"{side}_matrix"), getattr(row, f"{side}_kind")).reshape(-1, dim),
-    )
-    (q_ids, q), (c_ids, c) = read("q"), read("c")
-    if not dim:
-        q, c = np.zeros((len(q_ids), 0)), np.zeros((len(c_ids), 0))
+    sides = []
+    for side in "qc":
+        ids = np.frombuffer(getattr(row, f"{side}_ids"), np.int64)
+        sides.append((ids, np.frombuffer(getattr(row, f"{side}_matrix"), getattr(row, f"{side}_kind")).reshape(len(ids), dim)))
+    (q_ids, q), (c_ids, c) = sides
     return q_ids, c_ids, scores(q, c, dim, float(row.q_most) * float(row.c_most))
 
 
