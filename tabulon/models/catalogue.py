@@ -112,7 +112,9 @@ def _depth(p: dict) -> int:
         return MAX_TREE_DEPTH
     if depth < 0:  # a leaf budget instead of a depth
         return max(1, math.ceil(math.log2(p.get("num_leaves", 31))))
-    return min(int(depth), MAX_TREE_DEPTH)
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth goes up to {MAX_TREE_DEPTH}, which is also what no limit means")
+    return int(depth)
 
 
 def _boosting(p: dict) -> dict:

@@ -40,19 +40,26 @@ class FittedModel:
         return self.classes is not None
 
     def transform(self, df: DataFrame, key: str | None = None) -> DataFrame:
-        """Add ``prediction`` and, where the model has them, ``probability`` per class in class order."""
+        """Add ``prediction`` and, where the model has them, ``probability`` per class in class order.
+
+        Every row is kept; a row with a missing feature has null results.
+        """
         require(df, *self.features)
         if self.reference is not None:
             return self._neighbours(df, key)
+        # rows with a missing feature stay; they are scored on zeros and lose the result again
         ready = df.withColumns({f"__f{i}": double(df, c) for i, c in enumerate(self.features)})
-        scored = self.stages.transform(ready.where(_complete(len(self.features))))
+        ready = ready.withColumn("__whole", _complete(len(self.features)))
+        ready = ready.withColumns({f"__f{i}": F.coalesce(f"__f{i}", F.lit(0.0)) for i in range(len(self.features))})
+        scored = self.stages.transform(ready)
         value: Column = col("__prediction") if "__prediction" in scored.columns else col("prediction")
         extra = {}
         if self.classification:
             value = self._class_of(value)
             probability = _probability(scored)
             if probability is not None:
-                extra["probability"] = probability
+                extra["probability"] = F.when(col("__whole"), probability)
+        value = F.when(col("__whole"), value)
         return scored.select(*[col(c) for c in df.columns], value.alias("prediction"), *[
             v.alias(k) for k, v in extra.items()
         ])
@@ -78,7 +85,7 @@ class FittedModel:
         else:
             best = near.groupBy("query_id").agg(F.avg("__y").alias("prediction"))
         # predictions are as many as the rows: a plain join on the unique key
-        return df.join(best.withColumnRenamed("query_id", "__q"), col(key) == F.col("__q")).drop("__q")
+        return df.join(best.withColumnRenamed("query_id", "__q"), col(key) == F.col("__q"), "left").drop("__q")
 
     def save(self, path: str) -> None:
         """The stages (or reference rows) and a one-row JSON description, all in one folder."""
@@ -154,10 +161,9 @@ def fit_model(
         classes = categories(df, target, MAX_CLASSES)
         if len(classes) < 2:
             raise ValueError("classification needs at least two classes")
-        index = F.lit(None).cast("double")
-        for i, c in enumerate(classes):
-            index = F.when(col(target) == F.lit(c), F.lit(float(i))).otherwise(index)
-        label = index
+        names = F.expr(f"array({', '.join(literal(c) for c in classes)})")
+        place = F.array_position(names.cast(f"array<{df.schema[target].dataType.simpleString()}>"), col(target))
+        label = F.when(place > 0, (place - 1).cast("double"))
     else:
         if is_text(df, target):
             raise ValueError("regression needs a numeric target")

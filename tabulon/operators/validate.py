@@ -160,7 +160,8 @@ def validation_report(
 def alert_thresholds(current: DataFrame, baseline: DataFrame, limits: dict[str, float] = ALERT_LIMITS) -> DataFrame:
     """(metric, baseline, current, change, limit, alert) for two (metric, value) tables.
 
-    ``accuracy`` alerts on a fall, ``error_rate`` on its level, the drift metrics on any change.
+    ``accuracy`` alerts on a fall, ``error_rate`` on its level, the drift metrics on any change. A metric of one table
+    only keeps its row; rules that need the other value don't alert.
     """
     kind = {
         "accuracy": ("accuracy_drop", lambda b, c: b - c),
@@ -169,7 +170,7 @@ def alert_thresholds(current: DataFrame, baseline: DataFrame, limits: dict[str,
         "error_rate": ("error_rate", lambda b, c: c),
     }
     both = baseline.withColumnRenamed("value", "baseline").join(
-        current.withColumnRenamed("value", "current"), "metric"
+        current.withColumnRenamed("value", "current"), "metric", "full"
     )
     change, limit = F.lit(None).cast("double"), F.lit(None).cast("double")
     for metric, (name, rule) in kind.items():

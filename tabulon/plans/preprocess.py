@@ -187,9 +187,9 @@ def _target_projection(df: DataFrame, columns: Sequence[str], target: str) -> Pr
 def _label_projection(df: DataFrame, columns: Sequence[str]) -> Projection:
     out = {}
     for c in columns:
-        values = sorted([*categories(df, c, MAX_INLINE), "nan"])
-        cases = " ".join(f"WHEN {literal(v)} THEN {float(i)!r}D" for i, v in enumerate(values))
-        out[c] = f"CASE coalesce({quoted(c)}, 'nan') {cases} END"
+        text = f"coalesce(CAST({quoted(c)} AS STRING), 'nan')"  # the codes of label_encode
+        values = categories(df.select(F.expr(text).alias(c)), c, MAX_INLINE)
+        out[c] = f"CAST(nullif(array_position(array({', '.join(map(literal, values))}), {text}), 0) - 1 AS DOUBLE)" if values else "CAST(NULL AS DOUBLE)"
     return Projection(out)
 
 

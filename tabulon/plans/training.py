@@ -82,6 +82,8 @@ def _plain(params: dict) -> dict:
 
 
 def _score(scored: DataFrame, model: FittedModel, scoring: str) -> float:
+    """The score over the rows that have a prediction."""
+    scored = scored.where(F.col("prediction").isNotNull())
     if scoring == "accuracy":
         return scored.agg(F.avg((col(model.target) == F.col("prediction")).cast("double"))).first()[0]
     if scoring in ("precision", "recall", "f1_score"):

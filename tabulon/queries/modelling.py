@@ -13,31 +13,32 @@ from .base import Tables, query, rounded
 
 #: settings that keep the larger models quick; everything else is the catalogue's default
 QUICK = {
-    "random_forest_classifier": {"n_estimators": 10, "max_depth": 5},
     "random_forest_regressor": {"n_estimators": 10, "max_depth": 5},
-    "decision_tree_classifier": {"max_depth": 5},
-    "decision_tree_regressor": {"max_depth": 5},
     "gradient_boosting_classifier": {"n_estimators": 10},
     "xgboost_classifier": {"n_estimators": 5},
     "xgboost_regressor": {"n_estimators": 5},
     "lightgbm_classifier": {"n_estimators": 5},
     "lightgbm_regressor": {"n_estimators": 5},
-    "svc": {"n_components": 30, "max_iter": 30},
     "svr": {"n_components": 30, "max_iter": 10},
-    "mlp_classifier": {"max_iter": 50},
     "mlp_regressor": {"hidden_layer_sizes": (16,), "max_iter": 10},
-    "logistic_regression": {"max_iter": 100},
 }
 
 
-def _documents(t: Tables):
-    """Quality of labelled documents from simple measures of their whole text."""
+MEASURES = ["chars", "words", "lines"]
+
+
+def _measures(t: Tables):
+    """Simple measures of the whole text of every document."""
     words = F.size(F.split("text", r"\s+"))
-    measures = t.documents.select(
+    return t.documents.select(
         "doc_id", "lang", F.col("n_chars").cast("double").alias("chars"), words.cast("double").alias("words"),
         F.regexp_count("text", F.lit("\n")).cast("double").alias("lines"),
     )
-    return t.labels.join(measures, "doc_id").select("doc_id", "chars", "words", "lines", "toxic", "quality")
+
+
+def _documents(t: Tables):
+    """Quality of labelled documents with their measures."""
+    return t.labels.join(_measures(t), "doc_id").select("doc_id", *MEASURES, "quality")
 
 
 def _lines(t: Tables):
@@ -52,10 +53,8 @@ def _register(model_type: str) -> None:
     if model_type in CLASSIFIERS:
         @query(model_type)
         def classify(t: Tables):
-            df = _documents(t)
-            model = fit_model(df, "quality", model_type, QUICK.get(model_type), ["chars", "words", "lines", "toxic"], "doc_id")
-            scored = model.transform(df, "doc_id")
-            return scored.select("doc_id", "quality", "prediction")
+            model = fit_model(_documents(t), "quality", model_type, QUICK.get(model_type), MEASURES, "doc_id")
+            return model.transform(_measures(t), "doc_id").select("doc_id", "prediction")
     else:
         @query(model_type)
         def regress(t: Tables):
@@ -140,7 +139,7 @@ def linear_regression(t: Tables):
 @query("model_save")
 def model_save(t: Tables):
     path = scratch_path(t.spark, "model")
-    model = train_model(_documents(t), "quality", "logistic_regression", ["doc_id"], params={"max_iter": 50})
+    model = train_model(_documents(t), "quality", "logistic_regression", ["doc_id"])
     model.save(path)
     about = t.spark.read.text(f"{path}/about")
     return about.select(
@@ -159,14 +158,14 @@ def model_load(t: Tables):
 @query("train_model")
 def train_query(t: Tables):
     model = train_model(
-        _documents(t), "quality", "random_forest_classifier", ["doc_id"], params=QUICK["random_forest_classifier"], cv_folds=3
+        _documents(t), "quality", "random_forest_classifier", ["doc_id"], cv_folds=5
     )
     return rounded(metric_rows(t.spark, model.info), 6)
 
 
 @query("cross_val_score")
 def cross_val_query(t: Tables):
-    scores = cross_val_score(_documents(t), "quality", "logistic_regression", ["doc_id"], 5, {"max_iter": 50})
+    scores = cross_val_score(_documents(t), "quality", "logistic_regression", ["doc_id"], 5)
     rows = [(i, float(s)) for i, s in enumerate(scores)]
     return rounded(t.spark.createDataFrame(rows, "fold int, score double"), 6)
 
@@ -174,7 +173,7 @@ def cross_val_query(t: Tables):
 @query("grid_search")
 def grid_query(t: Tables):
     _, results = grid_search(
-        _documents(t), "quality", "random_forest_classifier", ["doc_id"], {"n_estimators": [5, 10], "max_depth": [3, 5]}, 3
+        _documents(t), "quality", "random_forest_classifier", ["doc_id"], {"n_estimators": [10, 20], "max_depth": [3, 5]}, 3
     )
     rows = [(str(sorted(r["params"].items())), r["mean_score"], r["std_score"]) for r in results]
     return rounded(t.spark.createDataFrame(rows, "params string, mean_score double, std_score double"), 6)
@@ -182,19 +181,18 @@ def grid_query(t: Tables):
 
 @query("train_with_preprocessing")
 def train_preprocessed(t: Tables):
-    df = t.labels.join(t.documents.select("doc_id", "lang", "n_chars"), "doc_id")
-    outcome = apply_preprocessing(df, {"encoding": "lang", "normalization": "n_chars"})
+    outcome = apply_preprocessing(t.documents.select("doc_id", "lang", "n_chars"), {"encoding": "lang", "normalization": "n_chars"})
     if outcome.errors:
         raise ValueError("; ".join(outcome.errors))
-    model, _ = grid_search(outcome.data, "quality", "logistic_regression", ["doc_id"], {"C": [0.1, 1.0], "max_iter": [50]}, 3)
-    return model.transform(outcome.data).select("doc_id", "quality", "prediction")
+    known = outcome.data.join(t.labels.select("doc_id", "quality"), "doc_id")
+    model, _ = grid_search(known, "quality", "logistic_regression", ["doc_id"], {"C": [0.1, 1.0]}, 3)
+    return model.transform(outcome.data).select("doc_id", "prediction")
 
 
 @query("predict")
 def predict_query(t: Tables):
-    df = _documents(t)
-    model = train_model(df, "quality", "logistic_regression", ["doc_id"], params={"max_iter": 50})
-    scored = predict(model, df)
+    model = train_model(_documents(t), "quality", "logistic_regression", ["doc_id"])
+    scored = predict(model, _measures(t))
     return rounded(
         scored.select("doc_id", "prediction", *[F.get("probability", F.lit(i)).alias(f"p{i}") for i in (0, 1)]), 6
     )
@@ -204,7 +202,7 @@ def predict_query(t: Tables):
 def batch_score(t: Tables):
     vectors = t.embeddings.select("vec_id", "label", *[F.get("embedding", F.lit(i)).alias(f"x{i}") for i in range(64)])
     model = fit_model(
-        vectors, "label", "logistic_regression", {"max_iter": 50}, [f"x{i}" for i in range(64)]
+        vectors, "label", "logistic_regression", None, [f"x{i}" for i in range(64)]
     )
     return predict(model, vectors).select("vec_id", "label", "prediction")
 
@@ -224,7 +222,7 @@ def packaged_inference(t: Tables):
 def _importance(t: Tables):
     df = _documents(t)
     model = fit_model(
-        df, "quality", "random_forest_classifier", {"n_estimators": 10, "max_depth": 5}, ["chars", "words", "lines", "toxic"]
+        df, "quality", "random_forest_classifier", None, MEASURES
     )
     return feature_importance(model, t.spark)
 
@@ -250,7 +248,7 @@ def end_to_end_query(t: Tables):
         "doc_id", "lang", "source", "n_chars", "toxic", "quality"
     )
     out = end_to_end(
-        df, "quality", ["doc_id"], scratch_path(t.spark, "chain"), "random_forest", {"n_estimators": 10, "max_depth": 5}
+        df, "quality", ["doc_id"], scratch_path(t.spark, "chain"), "random_forest"
     )
     return rounded(out["report"], 6)
 

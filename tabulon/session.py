@@ -30,21 +30,31 @@ def local_session(app: str = "tabulon", cores: str | int = 8, memory: str = "12g
     return spark
 
 
+#: Folders of this process's applications, by application id.
+_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The application's own folder below ``spark.checkpoint.dir``; it goes when the driver's JVM ends.
 
-    Only a local session may do without it; it then gets a fresh temporary folder.
+    Only a local session may do without that setting; it then gets a fresh temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    import tempfile
-
-    root = tempfile.mkdtemp(prefix="tabulon-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="tabulon-")
+        root = f"{shared.rstrip('/')}/tabulon-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS[app] = root
+    return _ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -22,7 +22,9 @@ def registry(spark: SparkSession, root: str) -> DataFrame:
     """All recorded versions; the newest of a dataset that was recorded as current is the current one."""
     try:
         return spark.read.schema(REGISTRY).parquet(f"{root}/registry")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], REGISTRY)
 
 
