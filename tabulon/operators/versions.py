@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import col, require
 from .lookup import lookup_join
@@ -112,9 +112,22 @@ def project_summary(
     )
 
 
+def stored_metrics(df: DataFrame, column: str = "metrics") -> DataFrame:
+    """Metrics stored as JSON text become a map of names to numbers; anything else in the text is null."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return df
+    return df.withColumn(column, F.from_json(col(column), "map<string,double>"))
+
+
+def uptime_hours(start: Column, end: Column) -> Column:
+    """Hours from one timestamp to another, negative if the second is earlier."""
+    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(3_600_000_000.0)
+
+
 def model_run_metrics(models: DataFrame, runs: DataFrame, run_id: str = "run_id") -> DataFrame:
-    """Active models with ``all_metrics``: their own metrics overlaid by those of their run."""
+    """Active models with ``all_metrics``: their own metrics overlaid by those of their run; maps or JSON text."""
     require(models, run_id, "status", "metrics")
+    models, runs = stored_metrics(models), stored_metrics(runs)
     active = models.where(F.col("status") == "active")
     overlay = runs.select(col(run_id), F.col("metrics").alias("run_metrics"))
     joined = lookup_join(active, overlay, [run_id], derived=False)

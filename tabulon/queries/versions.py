@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.versions import (
     compare_models, expired_sessions, keep_latest_n, latest_version, list_versions, model_run_metrics, next_version,
-    project_summary, rank_models, select_model,
+    project_summary, rank_models, select_model, uptime_hours,
 )
 from .base import Tables, query, rounded
 
@@ -110,22 +110,39 @@ def _models(t: Tables):
     )
 
 
-@query(
-    "model_run_metrics",
-    """SELECT o_orderkey AS id, o_totalprice / 500000 AS f1_score,
+RUN_METRICS = """SELECT o_orderkey AS id, o_totalprice / 500000 AS f1_score,
        CASE WHEN c_custkey IS NOT NULL THEN c_acctbal / 10000 ELSE o_totalprice / 450000 END AS accuracy,
        c_acctbal / 20000 AS loss
-       FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'""",
-)
+       FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'"""
+
+
+@query("model_run_metrics", RUN_METRICS)
 def model_run_query(t: Tables):
     runs = t.customer.where("c_custkey % 3 <> 0").select(
         F.col("c_custkey").alias("run_id"),
         F.create_map(F.lit("accuracy"), F.col("c_acctbal") / 10000, F.lit("loss"), F.col("c_acctbal") / 20000).alias("metrics"),
     )
-    merged = model_run_metrics(_models(t), runs)
+    return _run_metrics(_models(t), runs)
+
+
+def _run_metrics(models, runs):
+    merged = model_run_metrics(models, runs)
     return merged.select("id", *[F.element_at("all_metrics", F.lit(k)).alias(k) for k in ("f1_score", "accuracy", "loss")])
 
 
+@query("stored_metrics", RUN_METRICS)
+def stored_metrics_query(t: Tables):
+    numbers = F.create_map(F.lit("accuracy"), F.col("c_acctbal") / 10000, F.lit("loss"), F.col("c_acctbal") / 20000)
+    runs = t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("run_id"), F.to_json(numbers).alias("metrics"))
+    return _run_metrics(_models(t).withColumn("metrics", F.to_json("metrics")), runs)
+
+
+@query("uptime_hours", "SELECT event_id, round((epoch_us(TIMESTAMP '2030-01-01') - epoch_us(ts)) / 3600000000.0, 4) AS hours FROM events")
+def uptime_query(t: Tables):
+    now = F.lit("2030-01-01").cast(t.events.schema["ts"].dataType)
+    return rounded(t.events.select("event_id", uptime_hours(F.col("ts"), now).alias("hours")))
+
+
 COMPARED = """(SELECT id, f1 + 0.1 * greatest(0, 1 - days / 30.0) AS score, size_mb, f1 >= 0.6 AND acc >= 0.7 AND size_mb <= 180 AS is_eligible,
     concat_ws('; ', CASE WHEN f1 < 0.6 THEN 'Primary metric f1_score below threshold' END,
               CASE WHEN acc < 0.7 THEN 'Secondary metric thresholds not met' END,
