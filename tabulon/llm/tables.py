@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import freeze
 
-#: Bytes of text that one vectorised step takes at once; a longer single text is taken alone.
-STEP_BYTES = 2 << 20
+#: Bytes of text, and texts, that one vectorised step takes at once; a longer single text is taken alone.
+STEP_BYTES, STEP_ROWS = 2 << 20, 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,13 +44,14 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``limit`` bytes of text each."""
+    """Slices of a batch that hold about ``limit`` bytes and at most ``STEP_ROWS`` texts each."""
     if not batch.num_rows:
         return
     _, offsets = text_buffers(batch.column(column))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(to, at + STEP_ROWS)
         yield batch.slice(at, to - at)
         at = to
 
