@@ -19,7 +19,8 @@ HEADLINES = (
     "crosstab", "recommend", "target_mean", "feat_polynomial", "select_kbest_mi", "select_kbest_f",
     "plot_histogram", "plot_box", "plot_kde", "split_holdout", "fold_stratified", "classification_metrics", "roc_auc",
     "roc_curve", "regression_metrics", "drift_ks", "knn_join", "latest_version", "keep_latest_n", "compare_models",
-    "request_log_stats", "linear_regression", "naive_bayes", "random_forest_regressor", "stream_request_stats",
+    "request_log_stats", "linear_regression", "ridge", "lasso", "elastic_net", "naive_bayes", "logistic_regression",
+    "random_forest_regressor", "cross_val_score", "grid_search", "predict", "stream_request_stats",
 )
 
 

@@ -187,3 +187,23 @@ def test_end_to_end(table, tmp_path):
     assert out["task"] == "regression"
     assert out["metrics"].first()["r2_score"] > 0.7
     assert out["drift"].count() == 2 and out["report"].count() == 1
+
+
+def test_rows_with_missing_features_stay(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("x"), (2.0 * F.col("id")).alias("y"))
+    line = fit_model(rows, "y", "linear_regression", None, ["x"])
+    scored = {r.id: r.prediction for r in line.transform(rows).collect()}
+    assert len(scored) == 100 and all((p is None) == (i % 5 == 0) for i, p in scored.items())
+    near = fit_model(rows, "y", "knn_regressor", {"n_neighbors": 1}, ["x"], "id").transform(rows, "id").collect()
+    assert len(near) == 100 and sum(r.prediction is None for r in near) == 20
+
+
+def test_many_classes(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 1000).cast("string").alias("c"), (F.col("id") % 1000).cast("double").alias("x"))
+    assert fit_model(rows, "c", "naive_bayes", None, ["x"]).transform(rows).where("prediction = c").count() > 0
+
+
+def test_tree_depth_beyond_the_limit_is_refused(spark):
+    rows = spark.range(10).select(F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    with pytest.raises(ValueError, match="max_depth"):
+        fit_model(rows, "y", "decision_tree_regressor", {"max_depth": 31})
