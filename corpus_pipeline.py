@@ -14,6 +14,8 @@ from tabulon.llm.tables import freeze, table
 from tabulon.llm.tokens import tokenize_documents
 from tabulon.llm.toxicity import score_toxicity
 
+#: Shingle sets that agree to this percentage make near copies.
+SIMILAR = 80
 #: Shares of tokens after mixing, and how much the corpus may grow; no document falls below one copy.
 TARGETS, GROWTH, LEAST_RATE = {"high": 0.9, "low": 0.1}, 1.25, 1.0
 
@@ -25,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group, the one with the smallest id; of repeated rows one stays, rows without an id all do."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, size=5, percent=SIMILAR).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     named = named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi")
     return named.unionByName(docs.where("doc_id is null"))
