@@ -199,7 +199,7 @@ def test_rows_with_missing_features_stay(spark):
 
 
 def test_many_classes(spark):
-    rows = spark.range(3000).select("id", (F.col("id") % 1000).cast("string").alias("c"), (F.col("id") % 1000).cast("double").alias("x"))
+    rows = spark.range(450).select("id", (F.col("id") % 150).cast("string").alias("c"), (F.col("id") % 150).cast("double").alias("x"))
     assert fit_model(rows, "c", "naive_bayes", None, ["x"]).transform(rows).where("prediction = c").count() > 0
 
 
