@@ -1,12 +1,14 @@
-"""Near-duplicate documents by HyperMinHash.
+"""Near-duplicate documents by HyperMinHash, and by a shingle prefix filter where sets are small.
 
 1. Each text becomes a sketch: its shingles fall into buckets, and a bucket keeps the leading-zero count and a few mantissa
    bits of its smallest hash. Texts with equal shingle sets are one class, represented by its smallest id.
-2. Members of a band of registers are paired with the smallest representative in it. Pairs that pass the length bound and
-   the collision-corrected estimate are confirmed on full shingle sets.
-3. In each band that still holds several parts, the members outside the largest part meet the others, block by block,
-   and links that connect something are kept. A pair is compared in the first band that it shares.
-4. Confirmed links give the components.
+2. Sets of SHORT shingles or more give bands of registers. Smaller ones, and those that are near enough in size to link to
+   them, give their rarest shingles as bands: two sets that link share one of these for certain.
+3. Members of a band are paired with the smallest representative in it. Pairs that pass the length bound and, for large
+   sets, the collision-corrected estimate are confirmed on full shingle sets.
+4. In each band that still holds several parts, the members outside the largest part meet the others, block by block,
+   and links that connect something are kept. A pair of large sets is compared in the first band that it shares.
+5. Confirmed links give the components.
 """
 
 from __future__ import annotations
@@ -21,10 +23,16 @@ from .components import components
 from .tables import freeze, steps
 from .words import U, mix, shingle_codes, words_of
 
-REGISTERS, BANDS, ROWS = 256, 42, 6
+REGISTERS = 256
 MANTISSA = 10
-#: Registers of each band, far apart: neighbours of a sparse sketch were filled from the same bucket.
-PLACES = (np.arange(BANDS * ROWS) * 97 % REGISTERS).reshape(BANDS, ROWS)
+#: Share of links at the threshold that may differ in all bands if registers are independent.
+MISSED = 1e-8
+#: Shingles from which a sketch fills so many buckets that its bands are nearly independent; smaller sets link exactly.
+SHORT = 200
+#: Band number of a shingle, and counters by which shingles are ordered from rare to common.
+SHINGLE, COUNTER_BITS = -1, 17
+#: 64-bit words of the bitmap by which pairs of small sets are ruled out.
+BITMAP = 16
 #: Spread of the estimate that a candidate may fall short by, in standard deviations.
 SLACK = 4.5
 #: Shingles (8 bytes each) and members of one block.
@@ -34,6 +42,17 @@ BROADCAST_NODES = 500_000
 SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"
 
 
+def places(percent: int) -> np.ndarray:
+    """Registers of each band, far apart: neighbours of a sparse sketch were filled from the same bucket.
+
+    Bands have as many registers as the threshold allows.
+    """
+    fits = [r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISSED]
+    rows = max(fits, default=1)
+    bands = REGISTERS // rows
+    return (np.arange(bands * rows) * 97 % REGISTERS).reshape(bands, rows)
+
+
 def text_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, codes): sorted distinct shingle codes of each text."""
     words = words_of(texts, lower=True)
@@ -90,17 +109,71 @@ def registers_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+BAND = "rep long, n_shingles long, no short, band long"
+
+
+def band_rows(classes: DataFrame, percent: int) -> DataFrame:
     """(rep, n_shingles, no, band) rows; a band's key is the fingerprint of its number and registers."""
-    for batch in batches:
-        regs = registers_of(batch.column("sketch")).astype(U)
-        reps = batch.column("rep").to_numpy()
-        for band in range(BANDS):
-            key = np.full(len(reps), band + 1, U)
-            for row in range(ROWS):
-                key = mix(key * U(0x9E3779B97F4A7C15) + regs[:, PLACES[band, row]])
-            no = np.full(len(reps), band, np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(reps), batch.column("n_shingles"), pa.array(no), pa.array(key.view(np.int64))], names=["rep", "n_shingles", "no", "band"])
+    chosen = places(percent)
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regs = registers_of(batch.column("sketch")).astype(U)
+            reps = batch.column("rep").to_numpy()
+            for band, own in enumerate(chosen):
+                key = np.full(len(reps), band + 1, U)
+                for place in own:
+                    key = mix(key * U(0x9E3779B97F4A7C15) + regs[:, place])
+                no = np.full(len(reps), band, np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(reps), batch.column("n_shingles"), pa.array(no), pa.array(key.view(np.int64))], names=["rep", "n_shingles", "no", "band"])
+
+    return classes.select("rep", "n_shingles", "sketch").mapInArrow(bands, BAND)
+
+
+def counter(codes: np.ndarray) -> np.ndarray:
+    return (mix(codes) >> U(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur in sets (codes)."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(counter(np.frombuffer(b"".join(batch.column("codes").to_pylist()), U)), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    found = sets.select("codes").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << COUNTER_BITS, np.int64)
+    total[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return total
+
+
+def shingle_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows as of :func:`band_rows` with a set's rarest shingles for bands.
+
+    Sets of n shingles that link share at least percent * n / 100, so one is among the first n - that + 1 of either in any
+    order that all sets follow. Shingles that occur once are left out.
+    """
+    often = np.minimum(shingle_counts(sets), np.iinfo(np.uint32).max).astype(np.uint32)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("codes").to_pylist()
+            n = np.array([len(x) // 8 for x in raw], np.int64)
+            codes, owner = np.frombuffer(b"".join(raw), U), np.repeat(np.arange(len(n)), n)
+            times = often[counter(codes)]
+            order = np.lexsort((codes, times, owner))
+            rank = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+            own = n[owner]
+            at = order[(rank < own + percent * own // -100 + 1) & (times[order] > 1)]
+            no = np.full(len(at), SHINGLE, np.int16)
+            key = mix(codes[at] ^ U(0x3C6EF372FE94F82B))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("rep").take(pa.array(owner[at])), pa.array(n[owner[at]]), pa.array(no), pa.array(key.view(np.int64)),
+            ], names=["rep", "n_shingles", "no", "band"])
+
+    return sets.select("rep", "codes").mapInArrow(prefixes, BAND)
 
 
 def estimate(matches: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -111,7 +184,7 @@ def estimate(matches: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def may_link(percent: int, regs: np.ndarray, n: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Which of ``others`` pass the length bound and the estimate against row i."""
+    """Which of ``others`` pass the length bound and, unless a set is small, the estimate against row i."""
     low, high = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
     long_enough = 100 * low >= percent * high
     others, low = others[long_enough], low[long_enough]
@@ -120,7 +193,22 @@ def may_link(percent: int, regs: np.ndarray, n: np.ndarray, i: int, others: np.n
     guess = estimate((regs[i] == regs[others]).sum(axis=1), n[i], n[others])
     share = percent / 100
     spread = np.sqrt(share * (1 - share) * (1 / REGISTERS + 2 / low))
-    return others[guess >= share - SLACK * spread]
+    return others[(low < SHORT) | (guess >= share - SLACK * spread)]
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit for each shingle; sets differ in at least as many shingles as their bitmaps in bits."""
+    bits = np.zeros((len(sets), BITMAP * 64), bool)
+    for k, own in enumerate(sets):
+        bits[k, (own % U(BITMAP * 64)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(U)
+
+
+def may_agree(percent: int, bits: np.ndarray, n: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Which of ``others`` can't be ruled out against row i by length or bitmap; no link is lost."""
+    others = others[100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])]
+    apart = np.bitwise_count(bits[i] ^ bits[others]).sum(axis=1, dtype=np.int64)
+    return others[(100 + percent) * apart <= (100 - percent) * (n[i] + n[others])]
 
 
 def linked(percent: int, a: np.ndarray, b: np.ndarray) -> bool:
@@ -150,19 +238,22 @@ class Groups:
 def block_links(percent: int, rows: list[dict], no: int) -> list[tuple[int, int]]:
     """Links that connect parts of one block: rows marked ``outside`` against all rows.
 
-    In a block of band ``no``, pairs that share an earlier band are left to it.
+    In a block of band ``no``, pairs that share an earlier band are left to it; in one of a shingle, all are compared.
     """
-    regs = np.stack([np.frombuffer(r["sketch"], np.uint16) for r in rows])
     sets = [np.frombuffer(r["codes"], U) for r in rows]
     n = np.array([len(s) for s in sets])
+    if no == SHINGLE:
+        bits = bitmaps(sets)
+    else:
+        regs, earlier = np.stack([np.frombuffer(r["sketch"], np.uint16) for r in rows]), places(percent)[: no + 1]
     groups = Groups([r["part"] for r in rows])
     outside = np.array([r["outside"] for r in rows])
     found = []
     for i in np.flatnonzero(outside):
         others = np.concatenate([np.flatnonzero(~outside), np.flatnonzero(outside[: i]) if i else np.zeros(0, np.int64)])
-        others = may_link(percent, regs, n, int(i), others)
-        if len(others):
-            same = (regs[i][PLACES[: no + 1]] == regs[others][:, PLACES[: no + 1]]).all(axis=2)
+        others = may_agree(percent, bits, n, int(i), others) if no == SHINGLE else may_link(percent, regs, n, int(i), others)
+        if len(others) and no != SHINGLE:
+            same = (regs[i][earlier] == regs[others][:, earlier]).all(axis=2)
             others = others[same.argmax(axis=1) == no]
         for j in others:
             x, y = rows[i]["part"], rows[int(j)]["part"]
@@ -222,7 +313,10 @@ def sets_of(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 def near_duplicate_links(documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between class representatives; enough of them to connect all that are connected."""
-    bands = freeze(classes.select("rep", "n_shingles", "sketch").mapInArrow(band_rows, "rep long, n_shingles long, no byte, band long"), "bands")
+    small = classes.where(F.col("n_shingles") <= (SHORT - 1) * 100 // percent).select(F.col("rep").alias("node")).distinct()
+    small = freeze(sets_of(documents, freeze(small, "small-nodes"), size).groupBy("rep").agg(F.min("codes").alias("codes")), "small-sets")
+    large = classes.where(F.col("n_shingles") >= SHORT)
+    bands = freeze(band_rows(large, percent).unionByName(shingle_rows(small, percent)), "bands")
     leaders = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = freeze(bands.join(leaders.select("band", "leader"), "band"), "met")
     star = freeze(met.where("rep <> leader").select("rep", "leader").distinct(), "band-stars")
@@ -250,7 +344,7 @@ def near_duplicate_links(documents: DataFrame, classes: DataFrame, size: int, pe
     asking = dealt.where(F.col("outside") & ~single).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     asked = dealt.where(~single).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("outside", F.lit(False))
     dealt = dealt.where(single).unionByName(asking).unionByName(asked).join(members, "rep")
-    row = F.struct("rep", "part", "outside", "sketch", "codes")
+    row = F.struct("rep", "part", "outside", F.when(F.col("no") != SHINGLE, F.col("sketch")).alias("sketch"), "codes")
     second = confirmed_in_blocks(dealt.groupBy("band", "no", "q", "b").agg(F.collect_list(row).alias("rows")), percent)
     return first.union(freeze(second, "links"))
 
@@ -262,7 +356,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 85) -> D
     ``size`` words, or its whole sequence if shorter. Documents are linked when 100 * intersection >= percent * union of
     the full sets; component_id is the smallest doc_id reachable. Null and empty texts have empty sets and stand alone.
     Rows with a null doc_id stand alone, too, and are kept; copies and repeated rows share a component; other columns are
-    ignored; an empty table gives no rows. A link is missed only if all bands differ (below 1 in 10**8 at the threshold).
+    ignored; an empty table gives no rows. Links of a set of fewer than SHORT shingles are all found; one of two larger sets
+    is missed if all bands differ (1 in 10**8 at the threshold if registers were independent; sparse sketches miss more).
     """
     signed = freeze(signatures(documents, size), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")

@@ -89,6 +89,30 @@ def test_near_duplicates(documents, nothing, texts, block, monkeypatch):
         assert near_duplicates(nothing).collect() == []
 
 
+@pytest.mark.parametrize("percent,cases", [
+    (85, [(6, 0, 1), (9, 0, 1), (17, 0, 3), (30, 2, 2), (34, 3, 3)]), (80, [(4, 0, 1), (8, 1, 1), (18, 2, 2), (27, 3, 3), (160, 20, 20)]),
+])
+def test_small_sets_link_exactly(spark, percent, cases):
+    texts = {}
+    for shared, *extra in cases:
+        for _ in range(100):
+            at = len(texts)
+            body = [f"w{at}x{i}" for i in range(shared + 4)]
+            for side in (0, 1):
+                texts[at + side] = " ".join([*body, *(f"e{at}x{i}x{side}" for i in range(extra[side]))])
+    sets = shingle_sets(texts)
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    rows = near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string"), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - i % 2 if linked(i, i - i % 2) else i for i in texts}
+
+
+@pytest.mark.parametrize("percent", [1, 30, 50, 80, 85, 95, 100])
+def test_bands_follow_the_threshold(percent):
+    chosen = near_module.places(percent)
+    assert len(set(chosen.ravel().tolist())) == chosen.size
+    assert (1 - (percent / 100) ** chosen.shape[1]) ** len(chosen) <= 1e-8 or chosen.shape[1] == 1
+
+
 def test_sketch_estimates_jaccard():
     import pyarrow as pa
 
