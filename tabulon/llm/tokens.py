@@ -24,10 +24,11 @@ REMEMBERED = 600_000
 BLOCK = "part int, first long, n_ids long, doc_ids binary, counts binary, offsets binary, words binary"
 
 
-#: Latin letters, and ASCII punctuation other than apostrophes and angle brackets: one piece each to any splitter by class.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Latin letters whose lower case is Latin, too, and ASCII punctuation other than apostrophes and angle brackets: one piece
+#: each to any splitter by class.
+LETTERS = "".join(c for c in map(chr, range(65, 0x250)) if c.isalpha() and c not in "\u00aa\u00b5\u00ba\u0130" and ord(c.lower()) < 0x250)
+LATIN = re.compile(f"[{LETTERS}]+")
 TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-CHECKED = 2_000
 
 
 class ChunkEncoder:
@@ -35,7 +36,7 @@ class ChunkEncoder:
 
     ASCII white space ends a piece for the supported files, so a text's ids are the ids of its chunks in order. Chunks of
     Latin letters with trailing punctuation skip the library's normaliser and splitter: their lower-case pieces go to its
-    model at once. The first such chunks of a worker are compared with the full way, which is used alone if any differs.
+    model at once. That the library cuts all of them so is proven once for each worker; else the full way is used alone.
     """
 
     def __init__(self, path: str):
@@ -46,9 +47,26 @@ class ChunkEncoder:
         self.known = Known(self.chunk)
         self.pieces: dict[bytes, bytes] = {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(33, 0x250)]
-        self.bytes = {ord(c): "".join(piece for piece, _ in level.pre_tokenize_str(c)) for c in letters}
-        self.checked, self.plain = 0, True
+        self.bytes = {ord(c): "".join(piece for piece, _ in level.pre_tokenize_str(c)) for c in LETTERS + TAIL.decode()}
+        self.plain = self.cuts_by_class()
+
+    def cuts_by_class(self) -> bool:
+        """Whether each run of letters, and of punctuation, is one piece to the library: its lower-case bytes."""
+        library, tail = self.tokenizer, TAIL.decode()
+        if library.pre_tokenizer is None or library.truncation or library.padding:
+            return False
+        if any(set(t.content) <= set(LETTERS + tail) for t in library.get_added_tokens_decoder().values()):
+            return False
+
+        def pieces(text: str) -> list[str]:
+            text = library.normalizer.normalize_str(text) if library.normalizer else text
+            return [piece for piece, _ in library.pre_tokenizer.pre_tokenize_str(text)]
+
+        def alike(*runs: str) -> bool:
+            return pieces("".join(runs)) == [run.lower().translate(self.bytes) for run in runs]
+
+        pairs = ["".join(a + b for a in chars for b in chars) for chars in (LETTERS, tail)]
+        return all(map(alike, LETTERS + tail)) and all(map(alike, pairs)) and all(alike(a, b) for a in LETTERS for b in tail)
 
     def piece(self, piece: bytes) -> bytes:
         """Ids of one piece of letters or of punctuation."""
@@ -64,9 +82,6 @@ class ChunkEncoder:
         ids = self.piece(body.lower() if body.isascii() else body.decode().lower().encode())
         if len(body) < len(chunk):
             ids += self.piece(chunk[len(body) :])
-        if self.checked < CHECKED:
-            self.checked += 1
-            self.plain = ids == self.ids(chunk.decode()).tobytes()
         return ids
 
     def ids(self, text: str) -> np.ndarray:
@@ -76,12 +91,8 @@ class ChunkEncoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
             self.pieces.clear()
-        plain, get = self.plain, self.known.__getitem__
-        ids = [np.frombuffer(b"".join(map(get, text.encode().split())) if text else b"", "<u4") for text in texts]
-        if self.plain == plain:
-            return ids
-        self.known.clear()
-        return self.encode(texts)
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, text.encode().split())) if text else b"", "<u4") for text in texts]
 
 
 class Known(dict):

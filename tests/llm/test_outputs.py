@@ -13,7 +13,7 @@ from tabulon.llm.near_duplicates import near_duplicates
 from tabulon.llm.quality import quality_scores
 from tabulon.llm.queries import QUERIES
 from tabulon.llm.simple8b import pack_block, read_ids, unpack
-from tabulon.llm.tokens import tokenize_documents
+from tabulon.llm.tokens import ChunkEncoder, tokenize_documents
 from tabulon.llm.topk import exact_topk
 from tabulon.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity, Scanner
 from tabulon.llm.transducers import clause_grammar, match
@@ -46,6 +46,17 @@ def test_token_files(documents, nothing, texts):
     assert tokenize_documents(nothing, path).collect() == []
 
 
+def test_letters_encode_as_the_library_does():
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    coder = ChunkEncoder(path)
+    assert coder.plain
+    coder.encode([" ".join(f"{a}{b}{c}" for a in "bdfgklmnprstvz" for b in "aeiouy" for c in ("", *"bcdfghjklmnpqrstvwxyz!,.;:?)"))])
+    assert len(coder.known) > 2000
+    words = [f"{chr(c)}liyev {chr(c)}we, a{chr(c)}a {chr(c)}" for c in range(0xA1, 0x250)]
+    for text, ids in zip(words, coder.encode(words), strict=True):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_exact_topk(spark):
     rng = np.random.default_rng(1)
     vectors = {i: rng.normal(size=6).tolist() for i in range(700)}
