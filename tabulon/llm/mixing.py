@@ -1,13 +1,16 @@
 """Mixing to target weights with soft membership.
 
-A classifier fitted on a labelled table gives each document a posterior over domains. Document rates minimise the squared
-distance between expected domain token totals and their targets, plus a pull towards rate 1, by projected gradient steps
-with momentum. A step needs only the domain totals: the gradient of a document follows from its posterior and the errors
-of all steps so far, so each step is one pass that sums a handful of numbers, and no rates are stored in between.
+A classifier fitted on a labelled table gives each document a posterior over domains. Document rates start at 1 and
+minimise the squared distance between expected domain token totals and their targets by projected gradient steps with
+momentum. The distance is scaled by the inverse of the tokens that domains hold and share, so rare ones are pulled as fast
+as common ones. A step needs only the domain totals: the gradient of a document follows from its posterior and the errors
+of all steps so far, so each step is one pass that sums a handful of numbers, and no rates are stored in between. The
+steps end when each domain is near its target; targets that can't be met are reported with what is missing.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,8 @@ from .text_model import TextModel, best_temperature, fit_text_model, softmax, te
 
 #: Labelled rows that the classifier may read.
 FIT_ROWS = 20_000
-STEPS, TOLERANCE, PULL = 40, 1e-4, 0.002
+#: Most steps, error of a domain's total as a share of its target, and steps without a better one that end the fit.
+STEPS, TOLERANCE, PATIENCE = 200, 1e-3, 25
 #: Share of labelled rows that only set the temperature of the posteriors.
 CALIBRATION = 4
 
@@ -63,39 +67,50 @@ def scored(documents: DataFrame, model: TextModel) -> DataFrame:
 
 
 def rates_after(errors: np.ndarray, p: np.ndarray, least: float, ahead: bool) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` after a step for each row of ``errors``; with momentum if ``ahead``."""
+    """Rates of documents with posteriors ``p`` after a step for each row of scaled ``errors``; with momentum if ``ahead``."""
     rate = old = here = np.full(len(p), max(1.0, least))
     t = 1.0
     for error in errors:
-        rate = np.maximum(least, here - (p @ error + PULL * (here - 1)) / (1 + PULL))
+        rate = np.maximum(least, here - p @ error)
         grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
         here, old, t = rate + (t - 1) / grown * (rate - old), rate, grown
     return here if ahead else rate
 
 
-def fit_errors(rows: DataFrame, targets: np.ndarray, least: float) -> np.ndarray:
-    """Errors of the domain totals, as shares of all tokens, at each step."""
-    k, errors = len(targets), np.zeros((0, len(targets)))
+def fit_errors(rows: DataFrame, targets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled errors of the domain totals at each step of the best fit, and that fit's totals."""
+    k = len(targets)
 
-    def totals(history: np.ndarray) -> np.ndarray:
+    def summed(of_batch, size: int) -> np.ndarray:
+        """Sums over all rows of ``of_batch(tokens, posteriors)``."""
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+            total = np.zeros(size)
             for batch in batches:
-                p = batch.column("posterior").flatten().to_numpy().reshape(-1, k)
-                total += (batch.column("n_tokens").to_numpy() * rates_after(history, p, least, True)) @ p
+                total += of_batch(batch.column("n_tokens").to_numpy(), batch.column("posterior").flatten().to_numpy().reshape(-1, k)).ravel()
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["one", "total"])
 
         each = rows.select("n_tokens", "posterior").mapInArrow(add, "one long, total array<double>")
-        sums = each.groupBy().agg(*[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(k)]).first()
+        sums = each.groupBy().agg(*[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(size)]).first()
         return np.array([x or 0.0 for x in sums])
 
-    scale = targets.sum()
-    for _ in range(STEPS):
-        error = (totals(errors) - targets) / max(scale, 1.0)
-        if len(errors) and np.abs(error - errors[-1]).max() < TOLERANCE / 10 or np.abs(error).max() < TOLERANCE:
+    def totals(history: np.ndarray) -> np.ndarray:
+        """Domain totals of the rates, and of the rates with momentum."""
+        return summed(lambda n, p: np.stack([(n * rates_after(history, p, least, ahead)) @ p for ahead in (False, True)]), 2 * k).reshape(2, k)
+
+    shared = summed(lambda n, p: (n[:, None] * p).T @ p, k * k).reshape(k, k)
+    scale = np.linalg.pinv(shared, rcond=1e-9, hermitian=True)  # a unit step can't overshoot
+    bound = np.maximum(targets, TOLERANCE * targets.sum())
+    errors, best, reached = np.zeros((0, k)), 0, np.zeros(k)
+    lowest = np.inf
+    while targets.sum():
+        now, ahead = totals(errors)
+        left = np.abs((now - targets) / bound).max()
+        if left < lowest * (1 - TOLERANCE):
+            lowest, best, reached = left, len(errors), now
+        if left < TOLERANCE or len(errors) == STEPS or len(errors) - best >= PATIENCE:
             break
-        errors = np.vstack([errors, error])
-    return errors
+        errors = np.vstack([errors, scale @ (ahead - targets)])
+    return errors[:best], reached
 
 
 def mix(
@@ -104,7 +119,7 @@ def mix(
     """One row per document: doc_id, key, n_tokens, posterior, rate, copies.
 
     ``targets`` gives each domain's share of ``growth`` times all tokens (words between white space). ``posterior`` has
-    the domains in sorted order. ``copies`` is the rate rounded down or up by a hash of the row, so that its expectation
+    the domains in sorted order. A warning names the totals if one misses its target by more than TOLERANCE. ``copies`` is the rate rounded down or up by a hash of the row, so that its expectation
     is the rate; ``key`` is the fingerprint of the text. Null and empty texts have no tokens and posteriors near the
     priors. A document with several domains counts as the first by name; unknown domains and null ids among the labels
     are ignored; without labels all posteriors are equal. Repeated rows get equal results; other columns are ignored; an
@@ -114,7 +129,11 @@ def mix(
     rows = freeze(posteriors(documents, labelled, domains, fit_rows), "posteriors")
     tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
     shares = np.array([targets[d] for d in domains]) / sum(targets.values())
-    errors = fit_errors(rows, shares * tokens * growth, least_rate)
+    aims = shares * tokens * growth
+    errors, reached = fit_errors(rows, aims, least_rate)
+    if (np.abs(reached - aims) > TOLERANCE * np.maximum(aims, TOLERANCE * aims.sum())).any():
+        held = ", ".join(f"{d} {x:.0f} of {y:.0f}" for d, x, y in zip(domains, reached, aims, strict=True))
+        warnings.warn(f"mixing misses its targets (tokens reached and wanted): {held}", stacklevel=2)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

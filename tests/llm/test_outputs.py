@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tabulon.llm import mixing as mixing_module
 from tabulon.llm.mixing import mix, mixed_documents
 from tabulon.llm.near_duplicates import near_duplicates
 from tabulon.llm.quality import quality_scores
@@ -131,6 +132,36 @@ def test_mixing(spark, documents, nothing, texts):
     assert kept.columns == marked.columns and {r.doc_id for r in kept.collect()} == {*texts, *more, None} - {31}
 
 
+def mixed_totals(spark, shares, soft, least, targets, growth=1.0):
+    """Shares of tokens after mixing, by the rates that the errors of the fit give; and those that the fit reports."""
+    rng = np.random.default_rng(5)
+    label, tokens = rng.choice(3, 5000, p=shares), rng.integers(20, 400, 5000)
+    p = np.full((5000, 3), soft / 2)
+    p[np.arange(5000), label] = 1 - soft
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p, strict=True)], "n_tokens long, posterior array<double>")
+    aims = np.array(targets) * tokens.sum() * growth
+    fitted = mixing_module.fit_errors(rows, aims, least)
+    errors, reached = fitted if isinstance(fitted, tuple) else (fitted, aims)
+    rates = mixing_module.rates_after(errors, p, least, False)
+    assert rates.min() >= least
+    return (tokens * rates) @ p / aims, reached / aims
+
+
+@pytest.mark.parametrize("soft", [0.0, 0.05, 0.08])
+def test_rare_domains_reach_their_targets(spark, soft):
+    found, reported = mixed_totals(spark, [0.598, 0.4, 0.002], soft, 0.0, [0.8, 0.15, 0.05])
+    assert np.allclose(found, 1, atol=1e-3) and np.allclose(reported, found)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    found, reported = mixed_totals(spark, [0.5, 0.4, 0.1], 0.0, 1.0, [0.8, 0.15, 0.05])
+    assert found[1] > 2 and np.allclose(reported, found)
+    docs = spark.createDataFrame([(i, "a b c d") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "x") for i in range(20)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        mix(docs, labels, {"x": 0.1, "y": 0.9})
+
+
 def test_pipeline_follows_its_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     result = corpus_pipeline.run(spark, folder).collect()
