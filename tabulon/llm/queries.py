@@ -14,6 +14,7 @@ from .near_duplicates import near_duplicates
 from .quality import quality_scores
 from .suffix_array import suffix_array_dedup
 from .tables import table
+from .token_counts import token_counts
 from .tokens import tokenize_documents
 from .topk import exact_topk
 from .toxicity import ToxicityModel, fit_toxicity, score_toxicity
@@ -177,3 +178,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.round("text_odds", 6).alias("text_odds"), F.round("page_odds", 6).alias("page_odds"),
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), public_tokenizer("piece_bpe_32k.model"), limit=4096)
