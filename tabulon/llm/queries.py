@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import decontaminate
 from .fm_index import substring_dedup
+from .hard_negatives import hard_negatives
 from .line_dedup import line_dedup
 from .mixing import mix
 from .near_duplicates import near_duplicates
@@ -183,3 +184,33 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_token_counts")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizer("piece_bpe_32k.model"), limit=4096)
+
+
+OP12_SQL = """
+WITH good AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+), scored AS (
+  SELECT a.id AS anchor_id, c.id AS other, a.label = c.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM good a JOIN good c ON a.id <> c.id WHERE a.id % 100 = 0
+), friends AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), met AS (
+  SELECT f.*, other AS negative_id, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY f.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank
+  FROM friends f JOIN scored s ON s.anchor_id = f.anchor_id AND NOT same
+    AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
