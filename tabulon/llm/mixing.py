@@ -1,11 +1,12 @@
 """Mixing to target weights with soft membership.
 
 A classifier fitted on a labelled table gives each document a posterior over domains. Document rates start at 1 and
-minimise the squared distance between expected domain token totals and their targets by projected gradient steps with
-momentum. The distance is scaled by the inverse of the tokens that domains hold and share, so rare ones are pulled as fast
-as common ones. A step needs only the domain totals: the gradient of a document follows from its posterior and the errors
-of all steps so far, so each step is one pass that sums a handful of numbers, and no rates are stored in between. The
-steps end when each domain is near its target; targets that can't be met are reported with what is missing.
+minimise the squared distance between expected domain token totals and their targets by projected gradient steps. The
+distance is scaled by the inverse of the tokens that domains hold and share among the documents whose rate can still move,
+so rare domains are pulled as fast as common ones and documents at the least rate don't slow the others. A pass tries
+several step lengths at once and sums a handful of numbers for each: the gradient of a document follows from its posterior
+and the errors of the few steps so far, so no rates are stored in between. The steps end when each domain is near its
+target; targets that can't be met are reported with what is missing.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .text_model import TextModel, best_temperature, fit_text_model, softmax, te
 
 #: Labelled rows that the classifier may read.
 FIT_ROWS = 20_000
-#: Most steps, error of a domain's total as a share of its target, and steps without a better one that end the fit.
-STEPS, TOLERANCE, PATIENCE = 200, 1e-3, 25
+#: Most passes, error of a domain's total as a share of its target, and passes without a better step that end the fit.
+PASSES, TOLERANCE, PATIENCE = 60, 1e-3, 6
+#: Step lengths that one pass tries, and the weight of the documents at the least rate in the scale of a step.
+LENGTHS, HELD = (1 / 16, 1 / 4, 1.0, 4.0), 0.01
 #: Share of labelled rows that only set the temperature of the posteriors.
 CALIBRATION = 4
 
@@ -66,51 +69,59 @@ def scored(documents: DataFrame, model: TextModel) -> DataFrame:
     return keyed.mapInArrow(score, "doc_id long, key long, n_tokens long, posterior array<double>")
 
 
-def rates_after(errors: np.ndarray, p: np.ndarray, least: float, ahead: bool) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` after a step for each row of scaled ``errors``; with momentum if ``ahead``."""
-    rate = old = here = np.full(len(p), max(1.0, least))
-    t = 1.0
-    for error in errors:
-        rate = np.maximum(least, here - p @ error)
-        grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        here, old, t = rate + (t - 1) / grown * (rate - old), rate, grown
-    return here if ahead else rate
+def rates_after(moves: np.ndarray, p: np.ndarray, least: float) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` after a projected step for each row of scaled errors in ``moves``."""
+    rate = np.full(len(p), max(1.0, least))
+    for move in moves:
+        rate = np.maximum(least, rate - p @ move)
+    return rate
 
 
 def fit_errors(rows: DataFrame, targets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled errors of the domain totals at each step of the best fit, and that fit's totals."""
+    """The steps of the best fit (scaled errors of the domain totals), and the totals that it reaches."""
     k = len(targets)
+    width = k + 2 * k * k
 
-    def summed(of_batch, size: int) -> np.ndarray:
-        """Sums over all rows of ``of_batch(tokens, posteriors)``."""
+    def tried(moves: np.ndarray, direction: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each step length: domain totals, tokens shared by domains in documents above the least rate, and in all."""
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
+            total = np.zeros((len(lengths), width))
             for batch in batches:
-                total += of_batch(batch.column("n_tokens").to_numpy(), batch.column("posterior").flatten().to_numpy().reshape(-1, k)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["one", "total"])
+                n, p = batch.column("n_tokens").to_numpy(), batch.column("posterior").flatten().to_numpy().reshape(-1, k)
+                rate, slope = rates_after(moves, p, least), p @ direction
+                shared = (n[:, None] * p).T @ p
+                for own, length in zip(total, lengths):
+                    here = np.maximum(least, rate - length * slope)
+                    free = here > least
+                    own += np.concatenate([(n * here) @ p, ((n * free)[:, None] * p).T @ p, shared], axis=None)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["total"])
+
+        each = rows.select("n_tokens", "posterior").mapInArrow(add, "total array<double>").select(F.posexplode("total").alias("at", "x"))
+        sums = np.zeros(len(lengths) * width)
+        for r in each.groupBy("at").agg(F.sum("x").alias("x")).collect():  # one row for each number of a pass
+            sums[r["at"]] = r.x
+        return [(own[:k], own[k : k + k * k].reshape(k, k), own[k + k * k :].reshape(k, k)) for own in sums.reshape(-1, width)]
 
-        each = rows.select("n_tokens", "posterior").mapInArrow(add, "one long, total array<double>")
-        sums = each.groupBy().agg(*[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(size)]).first()
-        return np.array([x or 0.0 for x in sums])
-
-    def totals(history: np.ndarray) -> np.ndarray:
-        """Domain totals of the rates, and of the rates with momentum."""
-        return summed(lambda n, p: np.stack([(n * rates_after(history, p, least, ahead)) @ p for ahead in (False, True)]), 2 * k).reshape(2, k)
-
-    shared = summed(lambda n, p: (n[:, None] * p).T @ p, k * k).reshape(k, k)
-    scale = np.linalg.pinv(shared, rcond=1e-9, hermitian=True)  # a unit step can't overshoot
     bound = np.maximum(targets, TOLERANCE * targets.sum())
-    errors, best, reached = np.zeros((0, k)), 0, np.zeros(k)
-    lowest = np.inf
-    while targets.sum():
-        now, ahead = totals(errors)
-        left = np.abs((now - targets) / bound).max()
-        if left < lowest * (1 - TOLERANCE):
-            lowest, best, reached = left, len(errors), now
-        if left < TOLERANCE or len(errors) == STEPS or len(errors) - best >= PATIENCE:
+    moves, direction, lengths = np.zeros((0, k)), np.zeros(k), np.ones(1)
+    reached, lowest, idle = np.zeros(k), np.inf, 0
+    for _ in range(PASSES if targets.sum() else 0):
+        found = tried(moves, direction, lengths)
+        left = [float(np.abs((now - targets) / bound).max()) for now, _, _ in found]
+        best = int(np.argmin(left))
+        if left[best] < lowest * (1 - TOLERANCE):
+            if direction.any():
+                moves = np.vstack([moves, lengths[best] * direction])
+            lowest, idle, (reached, free, shared) = left[best], 0, found[best]
+            direction = np.linalg.pinv(free + HELD * shared, rcond=1e-9, hermitian=True) @ (reached - targets)
+            lengths = np.array(LENGTHS)
+        else:
+            idle, lengths = idle + 1, lengths / 200  # shorter than all that were tried
+            if idle == 1:  # the plain scale, in which documents at the least rate may leave it
+                direction, lengths = np.linalg.pinv(shared, rcond=1e-9, hermitian=True) @ (reached - targets), np.array(LENGTHS)
+        if lowest < TOLERANCE or idle == PATIENCE:
             break
-        errors = np.vstack([errors, scale @ (ahead - targets)])
-    return errors[:best], reached
+    return moves, reached
 
 
 def mix(
@@ -130,7 +141,7 @@ def mix(
     tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
     shares = np.array([targets[d] for d in domains]) / sum(targets.values())
     aims = shares * tokens * growth
-    errors, reached = fit_errors(rows, aims, least_rate)
+    moves, reached = fit_errors(rows, aims, least_rate)
     if (np.abs(reached - aims) > TOLERANCE * np.maximum(aims, TOLERANCE * aims.sum())).any():
         held = ", ".join(f"{d} {x:.0f} of {y:.0f}" for d, x, y in zip(domains, reached, aims, strict=True))
         warnings.warn(f"mixing misses its targets (tokens reached and wanted): {held}", stacklevel=2)
@@ -138,7 +149,7 @@ def mix(
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("posterior").flatten().to_numpy().reshape(-1, len(domains))
-            yield batch.append_column("rate", pa.array(rates_after(errors, p, least_rate, False)))
+            yield batch.append_column("rate", pa.array(rates_after(moves, p, least_rate)))
 
     rated = rows.mapInArrow(rate, "doc_id long, key long, n_tokens long, posterior array<double>, rate double")
     chance = F.pmod(F.xxhash64("doc_id", "key", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -15,7 +15,7 @@ from .mixing import mix
 from .near_duplicates import near_duplicates
 from .quality import quality_scores
 from .suffix_array import suffix_array_dedup
-from .tables import table
+from .tables import small_batches, table
 from .token_counts import token_counts
 from .tokens import tokenize_documents
 from .topk import exact_topk
@@ -27,7 +27,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable:
     def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            small_batches(spark)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

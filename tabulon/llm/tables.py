@@ -13,13 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import freeze
 
 #: Bytes of text, and texts, that one vectorised step takes at once; a longer single text is taken alone.
-STEP_BYTES, STEP_ROWS = 2 << 20, 1024
+STEP_BYTES, STEP_ROWS = 512 << 10, 1024
+#: Bytes of the batches in which Spark passes rows to Python workers: buffers of both sides grow with it.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows reach Python workers in batches of at most BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,4 +63,4 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         at = to
 
 
-__all__ = ["STEP_BYTES", "freeze", "shuffle_partitions", "steps", "table", "text_buffers", "worker_state"]
+__all__ = ["STEP_BYTES", "freeze", "shuffle_partitions", "small_batches", "steps", "table", "text_buffers", "worker_state"]

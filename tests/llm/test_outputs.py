@@ -142,7 +142,7 @@ def mixed_totals(spark, shares, soft, least, targets, growth=1.0):
     aims = np.array(targets) * tokens.sum() * growth
     fitted = mixing_module.fit_errors(rows, aims, least)
     errors, reached = fitted if isinstance(fitted, tuple) else (fitted, aims)
-    rates = mixing_module.rates_after(errors, p, least, False)
+    rates = mixing_module.rates_after(errors, p, least)
     assert rates.min() >= least
     return (tokens * rates) @ p / aims, reached / aims
 
