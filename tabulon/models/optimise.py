@@ -2,35 +2,51 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 #: (parameters, features, labels) -> (summed loss, summed gradient)
 Loss = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]]
 
 
-def summed_gradient(data: DataFrame, loss: Loss, theta: np.ndarray) -> tuple[float, np.ndarray]:
-    """Loss and gradient over all rows of (x array, y). Each task sends one partial sum per parameter."""
+#: Bytes of the tasks' sums that the driver adds up itself; more are added up by tasks first.
+DIRECT_BYTES = 64 << 20
+
+
+def added_up(parts: DataFrame, size: int, tasks: int) -> np.ndarray:
+    """The sum of the tasks' arrays of ``size`` doubles (part, sums), in a fixed order, so that repeated fits agree."""
+    if tasks * size * 8 > DIRECT_BYTES:
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(b, np.float64) for b in frame.sort_values("part")["sums"])
+            return pd.DataFrame({"part": frame["part"].iloc[:1], "sums": [total.tobytes()]})
+
+        group = F.pmod("part", F.lit(max(1, math.isqrt(tasks))))
+        parts = parts.groupBy(group.alias("g")).applyInPandas(add, "part int, sums binary")
+    total = np.zeros(size)
+    for row in sorted(parts.collect(), key=lambda r: r.part):
+        total += np.frombuffer(row.sums, np.float64)
+    return total
+
+
+def summed_gradient(data: DataFrame, loss: Loss, theta: np.ndarray, tasks: int) -> tuple[float, np.ndarray]:
+    """Loss and gradient over all rows of (x array, y) in ``tasks`` partitions, one array for each task."""
     size = len(theta)
-    shared = data.sparkSession.sparkContext.broadcast(theta)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, gradient = 0.0, np.zeros(size)
+        sums = np.zeros(size + 1)
         for batch in batches:
             if len(batch):
-                value, part = loss(shared.value, np.stack(batch["x"].to_numpy()), batch["y"].to_numpy())
-                total += value
-                gradient += part
-        yield pd.DataFrame({"i": np.arange(size + 1), "g": np.append(gradient, total)})
+                value, part = loss(theta, np.stack(batch["x"].to_numpy()), batch["y"].to_numpy())
+                sums += np.append(part, value)
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [sums.tobytes()]})
 
-    sums = data.mapInPandas(partial, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
-    shared.unpersist()
-    out = np.zeros(size + 1)
-    out[sums["i"].to_numpy()] = sums["g"].to_numpy()
-    return float(out[size]), out[:size]
+    total = added_up(data.mapInPandas(partial, "part int, sums binary"), size + 1, tasks)
+    return float(total[size]), total[:size]
 
 
 def minimise(
@@ -76,11 +92,6 @@ def minimise(
     return theta
 
 
-def network_shapes(inputs: int, hidden: tuple[int, ...]) -> list[tuple[int, int]]:
-    widths = [inputs, *hidden, 1]
-    return list(zip(widths[:-1], widths[1:]))
-
-
 def unpack(theta: np.ndarray, shapes: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
     layers, at = [], 0
     for a, b in shapes:
@@ -91,25 +102,6 @@ def unpack(theta: np.ndarray, shapes: list[tuple[int, int]]) -> list[tuple[np.nd
     return layers
 
 
-def network_loss(shapes: list[tuple[int, int]]) -> Loss:
-    """Half squared error of a relu network with a linear output."""
-    def loss(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        layers = unpack(theta, shapes)
-        values = [x]
-        for weight, bias in layers[:-1]:
-            values.append(np.maximum(values[-1] @ weight + bias, 0.0))
-        error = (values[-1] @ layers[-1][0] + layers[-1][1])[:, 0] - y
-        back = error[:, None]
-        parts: list[np.ndarray] = []
-        for i in range(len(layers) - 1, -1, -1):
-            parts = [(values[i].T @ back).ravel(), back.sum(axis=0), *parts]
-            if i:
-                back = (back @ layers[i][0].T) * (values[i] > 0)
-        return 0.5 * float(error @ error), np.concatenate(parts)
-
-    return loss
-
-
 def tube_loss(epsilon: float, smooth: float = 0.01) -> Loss:
     """Epsilon-insensitive linear loss with rounded corners."""
     def loss(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:

@@ -10,16 +10,22 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import col, double, is_text, literal, numeric_columns, require
 from ..operators.encode import categories
 from ..operators.knn import knn_join
 from ..operators.ordered import row_numbers
 from .catalogue import TrainingFacts, hyperparameters, is_classifier, spark_estimator
-from .optimise import minimise, network_loss, network_shapes, summed_gradient, tube_loss, unpack
+from .boosting import BoostedTrees, fit_boosted
+from .boosting import settings_of as boosting_settings
+from .network import fit_network
+from .network import settings_of as network_settings
+from .optimise import minimise, summed_gradient, tube_loss
 
 MAX_CLASSES = 1000
+#: Types that learn where missing values go and score them.
+BOOSTED = ("xgboost_classifier", "xgboost_regressor", "lightgbm_classifier", "lightgbm_regressor")
 
 
 @dataclass
@@ -42,15 +48,18 @@ class FittedModel:
     def transform(self, df: DataFrame, key: str | None = None) -> DataFrame:
         """Add ``prediction`` and, where the model has them, ``probability`` per class in class order.
 
-        Every row is kept; a row with a missing feature has null results.
+        Every row is kept; a row with a missing feature has null results unless the model learnt what to do with it.
         """
         require(df, *self.features)
         if self.reference is not None:
             return self._neighbours(df, key)
         # rows with a missing feature stay; they are scored on zeros and lose the result again
         ready = df.withColumns({f"__f{i}": double(df, c) for i, c in enumerate(self.features)})
-        ready = ready.withColumn("__whole", _complete(len(self.features)))
-        ready = ready.withColumns({f"__f{i}": F.coalesce(f"__f{i}", F.lit(0.0)) for i in range(len(self.features))})
+        if self.model_type in BOOSTED:
+            ready = ready.withColumn("__whole", F.lit(True))
+        else:
+            ready = ready.withColumn("__whole", _complete(len(self.features)))
+            ready = ready.withColumns({f"__f{i}": F.coalesce(f"__f{i}", F.lit(0.0)) for i in range(len(self.features))})
         scored = self.stages.transform(ready)
         value: Column = col("__prediction") if "__prediction" in scored.columns else col("prediction")
         extra = {}
@@ -75,15 +84,20 @@ class FittedModel:
         vector = F.array(*[double(df, c) for c in self.features])
         points = df.select(col(key), vector.alias("__v")).where(~F.exists("__v", lambda x: x.isNull()))
         near = knn_join(points, self.reference, key, "__id", "__v", k, carry="__y")
+        weight = F.lit(1.0)
+        if self.params["weights"] == "distance":  # neighbours at no distance outvote all others
+            exact = F.min("distance").over(Window.partitionBy("query_id")) == 0
+            weight = F.when(exact, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
+        near = near.withColumn("__w", weight)
         if self.classification:
-            # k rows per query: one vote count per (query, class), ties to the smallest class
-            votes = near.groupBy("query_id", "__y").agg(F.count(F.lit(1)).alias("n"))
+            # k rows per query: the weight of each class, ties to the smallest class
+            votes = near.groupBy("query_id", "__y").agg(F.sum("__w").alias("n"))
             best = votes.groupBy("query_id").agg(
                 F.min_by("__y", F.struct((-F.col("n")).alias("n"), F.col("__y"))).alias("prediction")
             )
             best = best.withColumn("prediction", self._class_of(F.col("prediction")))
         else:
-            best = near.groupBy("query_id").agg(F.avg("__y").alias("prediction"))
+            best = near.groupBy("query_id").agg((F.sum(F.col("__y") * F.col("__w")) / F.sum("__w")).alias("prediction"))
         # predictions are as many as the rows: a plain join on the unique key
         return df.join(best.withColumnRenamed("query_id", "__q"), col(key) == F.col("__q"), "left").drop("__q")
 
@@ -168,11 +182,12 @@ def fit_model(
         if is_text(df, target):
             raise ValueError("regression needs a numeric target")
         label = double(df, target)
-    extra = [col(p["early_stopping"])] if p.get("early_stopping") else []
+    extra = [col(p["early_stopping"])] if isinstance(p.get("early_stopping"), str) else []
+    complete = F.lit(True) if model_type in BOOSTED else _complete(len(features))
     rows = df.select(
         *([col(key)] if key else []), *[double(df, c).alias(f"__f{i}") for i, c in enumerate(features)],
         label.alias("label"), *extra,
-    ).where(_complete(len(features)) & F.col("label").isNotNull())
+    ).where(complete & F.col("label").isNotNull())
     model = FittedModel(model_type, features, target, classes, p)
     if model_type.startswith("knn"):
         model.reference = _reference_rows(rows, len(features), key)
@@ -182,7 +197,7 @@ def fit_model(
     try:
         fit = {
             "naive_bayes": _fit_bayes, "svc": _fit_kernel_classifier, "svr": _fit_kernel_regressor,
-            "mlp_regressor": _fit_network,
+            "mlp_regressor": _fit_network, "mlp_classifier": _fit_network, **dict.fromkeys(BOOSTED, _fit_boosted),
         }.get(model_type, _fit_builtin)
         model.stages = fit(rows, model, len(features))
     finally:
@@ -264,6 +279,8 @@ def _fit_bayes(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
 def _kernel_columns(rows: DataFrame, model: FittedModel, d: int) -> tuple[str, int]:
     """SQL adding ``__k0..``: cos(w.x + b) features that approximate a Gaussian kernel."""
     p = model.params
+    if p["kernel"] == "linear":
+        return "SELECT *, " + ", ".join(f"__f{i} AS __k{i}" for i in range(d)) + " FROM __THIS__", d
     gamma = p["gamma"]
     if gamma in ("scale", "auto"):
         cells = rows.select(F.explode(F.array(*[F.col(f"__f{i}") for i in range(d)])).alias("x"))
@@ -282,6 +299,8 @@ def _kernel_columns(rows: DataFrame, model: FittedModel, d: int) -> tuple[str, i
 
 
 def _fit_kernel_classifier(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
+    if model.params["kernel"] == "linear":
+        return _fit_builtin(rows, model, d)
     statement, size = _kernel_columns(rows, model, d)
     stages = [
         SQLTransformer(statement=statement),
@@ -299,12 +318,13 @@ def _fit_kernel_regressor(rows: DataFrame, model: FittedModel, d: int) -> Pipeli
     ).persist()
     try:
         n, mean = data.agg(F.count(F.lit(1)), F.avg("y")).first()
+        tasks = data.rdd.getNumPartitions()
         loss = tube_loss(model.params["epsilon"])
         c = model.params["C"]
 
         def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
             # C * sum(loss) + |w|^2 / 2, both divided by C * n to keep the numbers near one
-            value, gradient = summed_gradient(data, loss, theta)
+            value, gradient = summed_gradient(data, loss, theta, tasks)
             weights = np.append(theta[:-1], 0.0)
             return value / n + weights @ weights / (2 * c * n), gradient / n + weights / (c * n)
 
@@ -318,51 +338,20 @@ def _fit_kernel_regressor(rows: DataFrame, model: FittedModel, d: int) -> Pipeli
     return PipelineModel(stages=[expand, final])
 
 
-# --- relu network regression ----------------------------------------------------------------------
+# --- networks and second-order boosting -----------------------------------------------------------
 
 
 def _fit_network(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
-    p = model.params
-    aggs = [F.avg("label"), F.stddev_pop("label"), F.count(F.lit(1))]
-    for i in range(d):
-        aggs += [F.avg(f"__f{i}"), F.stddev_pop(f"__f{i}")]
-    row = rows.agg(*aggs).first()
-    y_mean, y_std, n = row[0], row[1] or 1.0, row[2]
-    centres = [(row[3 + 2 * i], row[4 + 2 * i] or 1.0) for i in range(d)]
-    scaled = [f"(__f{i} - {literal(float(m))}) / {literal(float(s))}" for i, (m, s) in enumerate(centres)]
-    data = rows.select(
-        F.expr(f"array({', '.join(scaled)})").alias("x"), ((F.col("label") - y_mean) / y_std).alias("y")
-    ).persist()
-    hidden = tuple(p["hidden_layer_sizes"])
-    shapes = network_shapes(d, hidden)
-    random = np.random.default_rng(p["random_state"])
-    start = np.concatenate(
-        [np.append(random.uniform(-1, 1, a * b) * np.sqrt(6.0 / (a + b)), np.zeros(b)) for a, b in shapes]
-    )
-    loss = network_loss(shapes)
+    network, curve = fit_network(rows, d, len(model.classes or ()), network_settings(model.params))
+    model.info["epochs"] = len(curve)
+    return PipelineModel(stages=[network])
 
-    def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        value, gradient = summed_gradient(data, loss, theta)
-        return value / n + p["alpha"] / (2 * n) * (theta @ theta), gradient / n + p["alpha"] / n * theta
 
-    try:
-        theta = minimise(evaluate, start, p["max_iter"])
-    finally:
-        data.unpersist()
-    statements = [f"SELECT *, array({', '.join(scaled)}) AS __h0 FROM __THIS__"]
-    layers = unpack(theta, shapes)
-    for depth, (weight, bias) in enumerate(layers):
-        units = []
-        for j in range(weight.shape[1]):
-            inner = " + ".join(f"{literal(float(weight[i, j]))} * __h{depth}[{i}]" for i in range(weight.shape[0]))
-            units.append(f"{inner} + {literal(float(bias[j]))}")
-        if depth < len(layers) - 1:
-            body = ", ".join(f"greatest(0D, {u})" for u in units)
-            statements.append(f"SELECT *, array({body}) AS __h{depth + 1} FROM __THIS__")
-        else:
-            value = f"({units[0]}) * {literal(float(y_std))} + {literal(float(y_mean))}"
-            statements.append(f"SELECT *, {value} AS __prediction FROM __THIS__")
-    return _sql_stages(*statements)
+def _fit_boosted(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
+    settings = boosting_settings(model.params, model.model_type.startswith("lightgbm"))
+    trees = fit_boosted(rows, d, len(model.classes or ()), settings, model.params["early_stopping"])
+    model.info["rounds"] = len(trees.about()["rounds"])
+    return PipelineModel(stages=[trees])
 
 
 # --- importance -----------------------------------------------------------------------------------
@@ -371,7 +360,12 @@ def _fit_network(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
 def feature_importance(model: FittedModel, spark: SparkSession) -> DataFrame:
     """(feature, importance): tree importances, else mean absolute coefficient over the classes."""
     stage: Transformer | None = model.stages.stages[-1] if model.stages else None
-    if hasattr(stage, "featureImportances"):
+    if isinstance(stage, BoostedTrees):  # by mean gain of a split, or by splits, in the manner of each library
+        about = stage.about()
+        gains, splits = np.array(about["gains"]), np.array(about["splits"], dtype=float)
+        values = splits if model.model_type.startswith("lightgbm") else np.divide(gains, splits, out=np.zeros_like(gains), where=splits > 0)
+        values = values / values.sum() if values.sum() and not model.model_type.startswith("lightgbm") else values
+    elif hasattr(stage, "featureImportances"):
         values = stage.featureImportances.toArray()
     elif hasattr(stage, "coefficientMatrix") and model.model_type != "svc":
         values = np.abs(stage.coefficientMatrix.toArray()).mean(axis=0)

@@ -68,9 +68,9 @@ def end_to_end(
     test = parts.where("__test = 1").select(*[col(c) for c in names])
 
     fitted = fit_features(train, target, **(feature_options or {}))
-    model_type, defaults = family_model(family, task)
+    model_type, settings = family_model(family, task, params)
     engineered = freeze(fitted.apply(train), "engineered")
-    model = fit_model(engineered, target, model_type, {**defaults, **(params or {})}, fitted.selected)
+    model = fit_model(engineered, target, model_type, settings, fitted.selected)
     bundle = package(fitted, model, names, spark)
     bundle.save(path)
 

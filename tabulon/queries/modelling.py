@@ -11,19 +11,6 @@ from ..plans.training import cross_val_score, grid_search, metric_rows, predict,
 from ..session import scratch_path
 from .base import Tables, query, rounded
 
-#: settings that keep the larger models quick; everything else is the catalogue's default
-QUICK = {
-    "random_forest_regressor": {"n_estimators": 10, "max_depth": 5},
-    "gradient_boosting_classifier": {"n_estimators": 10},
-    "xgboost_classifier": {"n_estimators": 5},
-    "xgboost_regressor": {"n_estimators": 5},
-    "lightgbm_classifier": {"n_estimators": 5},
-    "lightgbm_regressor": {"n_estimators": 5},
-    "svr": {"n_components": 30, "max_iter": 10},
-    "mlp_regressor": {"hidden_layer_sizes": (16,), "max_iter": 10},
-}
-
-
 MEASURES = ["chars", "words", "lines"]
 
 
@@ -53,13 +40,13 @@ def _register(model_type: str) -> None:
     if model_type in CLASSIFIERS:
         @query(model_type)
         def classify(t: Tables):
-            model = fit_model(_documents(t), "quality", model_type, QUICK.get(model_type), MEASURES, "doc_id")
+            model = fit_model(_documents(t), "quality", model_type, None, MEASURES, "doc_id")
             return model.transform(_measures(t), "doc_id").select("doc_id", "prediction")
     else:
         @query(model_type)
         def regress(t: Tables):
             df = _lines(t)
-            model = fit_model(df, "l_extendedprice", model_type, QUICK.get(model_type))
+            model = fit_model(df, "l_extendedprice", model_type)
             return rounded(model.transform(df))
 
 
@@ -136,6 +123,73 @@ def linear_regression(t: Tables):
     return rounded(scored.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "prediction"), 3)
 
 
+#: the best split of rows (n node, f feature, x value, g gradient, h hessian): missing values to either side, ties to the first
+#: feature, the lowest threshold, missing values left
+SPLIT_SQL = """{p}v AS (SELECT n, f, x, sum(g) AS g, sum(h) AS h FROM {rows} GROUP BY ALL),
+{p}t AS (SELECT n, f, sum(g) AS tg, sum(h) AS th, coalesce(sum(g) FILTER (x IS NULL), 0) AS mg, coalesce(sum(h) FILTER (x IS NULL), 0) AS mh FROM {p}v GROUP BY ALL),
+{p}c AS (SELECT n, f, lead(x) OVER w AS threshold, sum(g) OVER w AS bg, sum(h) OVER w AS bh FROM {p}v WHERE x IS NOT NULL WINDOW w AS (PARTITION BY n, f ORDER BY x)),
+{p}s AS (SELECT c.n, c.f, coalesce(threshold, 1e300) AS threshold, side, bg + side * mg AS gl, bh + side * mh AS hl, tg, th FROM {p}c c JOIN {p}t t ON c.n = t.n AND c.f = t.f, (VALUES (1), (0)) AS sides(side)),
+{p} AS (SELECT *, (gl * gl / (hl + {reg}) + (tg - gl) * (tg - gl) / (th - hl + {reg}) - tg * tg / (th + {reg})) / 2 AS gain
+  FROM {p}s WHERE hl >= {least} AND th - hl >= {least} AND (side = 1 OR th - hl > 0) QUALIFY row_number() OVER (ORDER BY round(gain, 6) DESC, n, f, threshold, side DESC) = 1)"""
+STUMP = ["l_quantity", "l_discount", "l_tax"]
+STUMP_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def _stump_sql(label: str, gradient: str, hessian: str, base: str, output: str) -> str:
+    """One round of depth 1: the split of largest gain over three features, one with missing values."""
+    split = SPLIT_SQL.format(p="best", rows="rows", reg=1.0, least=1.0)
+    held = "CASE f WHEN 0 THEN CAST(l_quantity AS DOUBLE) WHEN 1 THEN CAST(l_discount AS DOUBLE) ELSE tax END"
+    return f"""WITH d AS (SELECT *, CASE WHEN l_linenumber <> 3 THEN CAST(l_tax AS DOUBLE) END AS tax, {label} AS y FROM lineitem),
+        b AS (SELECT {base} AS base FROM d), g AS (SELECT *, {gradient} AS g, {hessian} AS h FROM d, b),
+        rows AS (SELECT 0 AS n, 0 AS f, CAST(l_quantity AS DOUBLE) AS x, g, h FROM g UNION ALL SELECT 0, 1, CAST(l_discount AS DOUBLE), g, h FROM g
+                 UNION ALL SELECT 0, 2, tax, g, h FROM g), {split},
+        m AS (SELECT {', '.join(STUMP_KEYS)}, base + 0.1 * CASE WHEN {held} < threshold OR ({held} IS NULL AND side = 1) THEN -gl / (hl + 1)
+              ELSE -(tg - gl) / (th - hl + 1) END AS z FROM g, best)
+        SELECT {', '.join(STUMP_KEYS)}, {output} FROM m"""
+
+
+def _stump(t: Tables, model_type: str, target: str, params: dict):
+    df = t.lineitem.withColumn("l_tax", F.when(F.col("l_linenumber") != 3, F.col("l_tax"))).withColumn("late", (F.col("l_shipdate") > F.lit("1995-06-17")).cast("int"))
+    return fit_model(df, target, model_type, params, STUMP).transform(df)
+
+
+@query("xgboost_regressor_round", _stump_sql("CAST(l_extendedprice AS DOUBLE)", "base - y", "1.0", "avg(y)", "round(z, 3) AS prediction"))
+def xgboost_regressor_round(t: Tables):
+    """One round of one split, with missing values in a feature."""
+    scored = _stump(t, "xgboost_regressor", "l_extendedprice", {"n_estimators": 1, "max_depth": 1})
+    return scored.select(*STUMP_KEYS, F.round("prediction", 3).alias("prediction"))
+
+
+@query("xgboost_classifier_round", _stump_sql(
+    "CASE WHEN l_shipdate > '1995-06-17' THEN 1.0 ELSE 0.0 END", "1 / (1 + exp(-base)) - y", "(1 / (1 + exp(-base))) * (1 - 1 / (1 + exp(-base)))",
+    "ln(avg(y) / (1 - avg(y)))", "CASE WHEN z > 0 THEN 1 ELSE 0 END AS prediction, round(1 / (1 + exp(-z)), 6) AS p1",
+))
+def xgboost_classifier_round(t: Tables):
+    scored = _stump(t, "xgboost_classifier", "late", {"n_estimators": 1, "max_depth": 1})
+    return scored.select(*STUMP_KEYS, "prediction", F.round(F.get("probability", F.lit(1)), 6).alias("p1"))
+
+
+def _two_splits_sql() -> str:
+    """One round of three leaves: the best split of all rows, then the best one of either half."""
+    first = SPLIT_SQL.format(p="one", rows="roots", reg=0.0, least=20.0)
+    second = SPLIT_SQL.format(p="two", rows="halves", reg=0.0, least=20.0)
+    value = "CASE {f} WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END"
+    each = lambda source, node: " UNION ALL ".join(f"SELECT {node} AS n, {i} AS f, CAST({c} AS DOUBLE) AS x, g, 1.0 AS h FROM {source}" for i, c in enumerate(STUMP))
+    return f"""WITH b AS (SELECT avg(l_extendedprice) AS base FROM lineitem), g AS (SELECT *, base - l_extendedprice AS g FROM lineitem, b),
+        roots AS ({each('g', '0')}), {first}, h AS (SELECT g.*, CASE WHEN {value.format(f='one.f')} < one.threshold THEN 0 ELSE 1 END AS half FROM g, one),
+        halves AS ({each('h', 'half')}), {second},
+        l AS (SELECT h.*, CASE WHEN half <> two.n THEN 2 WHEN {value.format(f='two.f')} < two.threshold THEN 0 ELSE 1 END AS leaf FROM h, two),
+        w AS (SELECT leaf, -sum(g) / count(*) AS w FROM l GROUP BY leaf)
+        SELECT {', '.join(STUMP_KEYS)}, round(base + 0.1 * w, 3) AS prediction FROM l JOIN w USING (leaf)"""
+
+
+@query("lightgbm_regressor_round", _two_splits_sql())
+def lightgbm_regressor_round(t: Tables):
+    """One round of three leaves, best first."""
+    model = fit_model(t.lineitem, "l_extendedprice", "lightgbm_regressor", {"n_estimators": 1, "num_leaves": 3}, STUMP)
+    return model.transform(t.lineitem).select(*STUMP_KEYS, F.round("prediction", 3).alias("prediction"))
+
+
 @query("model_save")
 def model_save(t: Tables):
     path = scratch_path(t.spark, "model")

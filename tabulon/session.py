@@ -67,3 +67,14 @@ def freeze(df: DataFrame, label: str = "frozen") -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def discard(frozen: DataFrame) -> None:
+    """Delete the files of a frozen table that nothing reads any more; files outside the scratch folder stay."""
+    spark = frozen.sparkSession
+    root = scratch_root(spark).removeprefix("file://").removeprefix("file:")
+    folders = {f.rsplit("/", 1)[0] for f in frozen.inputFiles()}
+    for folder in folders:
+        if root in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -78,7 +78,7 @@ def test_classifiers_learn_and_reload(spark, table, tmp_path, kind):
 def test_regressors_learn(table, kind):
     small = {"n_estimators": 20} if "n_estimators" in DEFAULTS[kind] else {}
     small |= {"alpha": 0.01} if kind in ("lasso", "elastic_net") else {}
-    small |= {"hidden_layer_sizes": (8, 4), "max_iter": 40} if kind == "mlp_regressor" else {}
+    small |= {"hidden_layer_sizes": (8, 4), "max_iter": 40, "solver": "lbfgs"} if kind == "mlp_regressor" else {}
     small |= {"C": 50.0, "max_iter": 30} if kind == "svr" else {}
     model = fit_model(table, "y", kind, small, FEATURES)
     y = matrix(table)[1]
