@@ -9,6 +9,7 @@ from ..operators.clean import (
 from ..operators.encode import (
     fit_codes, label_encode, label_encode_table, onehot, ordinal_encode, target_encode, target_encode_crossfit,
 )
+from ..operators.impute_knn import impute_neighbours
 from ..operators.impute import impute, impute_table
 from ..operators.lookup import lookup_join
 from ..operators.scale import fit_scaler, scale
@@ -459,3 +460,31 @@ def recommend_query(t: Tables):
     return rounded(recommend(df))
 
 
+
+
+GAPPED = {"p_size": "p_partkey % 5 = 1", "p_retailprice": "p_partkey % 7 = 2", "width": "p_partkey % 11 IN (1, 3)"}
+
+
+def _neighbours_sql() -> str:
+    """Five nearest rows over the columns both have, for each missing cell."""
+    gapped = ", ".join(f"CASE WHEN NOT ({w}) THEN CAST({'length(p_name)' if c == 'width' else c} AS DOUBLE) END AS {c}" for c, w in GAPPED.items())
+    terms = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in GAPPED)
+    shared = " + ".join(f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in GAPPED)
+    cells = " UNION ALL ".join(f"""SELECT q, '{c}' AS c, avg(y) AS y FROM (
+        SELECT q, y_{c} AS y, row_number() OVER (PARTITION BY q ORDER BY sqrt(d * (3.0::DOUBLE / n)), r) AS rank FROM pairs
+        WHERE x_{c} IS NULL AND y_{c} IS NOT NULL AND n > 0) WHERE rank <= 5 GROUP BY q""" for c in GAPPED)
+    sides = ", ".join(f"a.{c} AS x_{c}, b.{c} AS y_{c}" for c in GAPPED)
+    filled = ", ".join(f"round(coalesce(g.{c}, (SELECT y FROM cells WHERE q = g.p_partkey AND c = '{c}'), avg(g.{c}) OVER ()), 4) AS {c}" for c in GAPPED)
+    return f"""WITH g AS (SELECT p_partkey, {gapped} FROM part),
+        pairs AS (SELECT a.p_partkey AS q, b.p_partkey AS r, {terms} AS d, {shared} AS n, {sides} FROM g a CROSS JOIN g b
+                  WHERE a.p_size IS NULL OR a.p_retailprice IS NULL OR a.width IS NULL),
+        cells AS ({cells}) SELECT p_partkey, {filled} FROM g"""
+
+
+@query("impute_knn_columns", _neighbours_sql())
+def impute_knn_columns(t: Tables):
+    """Gaps in three columns, filled from the rows nearest in the others."""
+    df = t.part.select("p_partkey", "p_size", "p_retailprice", F.length("p_name").alias("width"))
+    for column, where in GAPPED.items():
+        df = holes(df, column, where)
+    return rounded(impute_neighbours(df, list(GAPPED), key="p_partkey"))
