@@ -1,29 +1,30 @@
-"""Exact order statistics without sorting or shipping the table.
+"""Exact order statistics of typed columns.
 
-A sketch brackets each wanted rank; a second pass counts what lies left of and on the bracket; only
-the values strictly inside are gathered, and only once a count shows that they are few. A bracket
-that is still too full is narrowed by another sketch over its inside. Hot values end up as bracket
-ends, where they are counted, so a value held by a third of all rows costs nothing extra. Inputs
-counted as small skip the sketch and gather their columns directly.
+The cells of all columns are counted by value, so that a value held by a third of the rows is one row. The counts are
+range-partitioned once by (group, column, value); the totals of the ranges tell in which one a rank lies, and a running count
+inside that range picks it. Whole numbers and decimals keep their type: nothing becomes a double on the way. Inputs
+counted as small skip the partitioning.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal, localcontext
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import double, require, require_numeric
+from ..functions.columns import col, double, require, require_numeric
+from ..session import freeze
 
-SMALL_VALUES = 4_000_000  # values one task may gather, over all columns
-SMALL_BRACKET = 200_000
-ACCURACY = 10_000
+SMALL_VALUES = 4_000_000  # cells, over all columns, that are not partitioned by range
 MAX_GROUPS = 10_000
-GRID = 1024  # points of a narrowing sketch
+RANGE_CELLS = 2_000_000
 
-#: share of rows used to place the first bracket, and the 0-based position wanted among n values
+#: share of rows, and the 0-based position wanted among n values
 Target = tuple[float, Callable[[int], float]]
 
 
@@ -32,47 +33,12 @@ def share(p: float) -> Target:
     return p, lambda n: (n - 1) * p
 
 
-@dataclass
-class _Item:
-    group: tuple
-    column: int
-    target: int
-    n: int
-    position: float
-    low: float
-    high: float
-    value: float | None = None
-    below: int = 0
-    on_low: int = 0
-    inside: int = 0
-    on_high: int = 0
-
-    @property
-    def ranks(self) -> tuple[int, int]:
-        k = math.floor(self.position)
-        return k, min(k + 1, self.n - 1) if self.position > k else k
-
-    def pick(self, rank: int, middle: dict[int, float] | None) -> float | None:
-        """The value at ``rank``, or None while it is inside and not gathered."""
-        r = rank - self.below
-        if r < self.on_low:
-            return self.low
-        r -= self.on_low
-        if r < self.inside:
-            return None if middle is None else middle[r]
-        return self.high
-
-    def settle(self, middle: dict[int, float] | None) -> bool:
-        lo, hi = (self.pick(r, middle) for r in self.ranks)
-        if lo is None or hi is None:
-            return False
-        part = self.position - math.floor(self.position)
-        self.value = lo if part == 0 or lo == hi else lo + (hi - lo) * part
-        return True
-
-    def covers(self) -> bool:
-        end = self.below + self.on_low + self.inside + self.on_high
-        return self.ranks[0] >= self.below and self.ranks[1] < end
+def _typed(df: DataFrame, name: str) -> Column:
+    """The column in the widest type of its kind; NaN counts as missing."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DecimalType):
+        return col(name)
+    return col(name).cast("long") if isinstance(kind, T.IntegralType) else double(df, name)
 
 
 def order_statistics(
@@ -80,225 +46,151 @@ def order_statistics(
     wanted: dict[str, Sequence[Target]],
     keys: Sequence[str] = (),
     small: int | None = None,
-    accuracy: int = ACCURACY,
     max_groups: int = MAX_GROUPS,
-) -> dict[tuple, dict[str, tuple[int, list[float | None]]]]:
+    ranges: int | None = None,
+) -> dict[tuple, dict[str, tuple[int, list]]]:
     """{group: {column: (non-null count, values at the wanted positions)}}; nulls and NaN ignored.
 
-    ``small`` overrides both the size of an input and that of a bracket that may be gathered.
+    A position between two ranks interpolates. Values of whole-number columns are ``int``, of decimal columns ``Decimal``
+    (interpolated whole numbers are ``float``). ``small`` overrides the number of cells that need no ranges, ``ranges``
+    their number.
     """
     names = list(wanted)
     require(df, *keys)
     require_numeric(df, *names)
-    key_names = [f"g{i}" for i in range(len(keys))]
-    value_names = [f"v{i}" for i in range(len(names))]
-    base = df.select(
-        *[df[k].alias(g) for k, g in zip(keys, key_names)],
-        *[double(df, c).alias(v) for c, v in zip(names, value_names)],
-    )
-    margin = 2.0 / accuracy
-
-    few = base.count() <= (SMALL_VALUES // max(1, len(names)) if small is None else small)
-    bracket = SMALL_BRACKET if small is None else small
-
-    first = []
-    for name, v in zip(names, value_names):
-        first.append(F.count(v).alias(f"n_{v}"))
-        if not few:
-            probs = [min(1.0, max(0.0, p + s)) for p, _ in wanted[name] for s in (-margin, margin)]
-            first += [
-                F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"),
-                F.percentile_approx(v, probs, accuracy).alias(f"q_{v}"),
-            ]
-    summary = base.groupBy(*key_names).agg(*first).limit(max_groups + 1).collect()
+    groups = [f"g{i}" for i in range(len(keys))]
+    base = df.select(*[df[k].alias(g) for k, g in zip(keys, groups)], *[_typed(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    counted = base.groupBy(*groups).agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))])
+    summary = counted.limit(max_groups + 1).collect()
     if len(summary) > max_groups:
         raise ValueError(f"more than {max_groups} groups")
 
-    result: dict[tuple, dict[str, tuple[int, list[float | None]]]] = {}
-    items: list[_Item] = []
-    bounds: dict[tuple, tuple[float, float]] = {}
+    result: dict[tuple, dict[str, tuple[int, list]]] = {}
+    places: dict[tuple, dict[int, list[float]]] = {}  # positions by group and column
     for row in summary:
-        group = tuple(row[g] for g in key_names)
-        result[group] = {}
-        for i, (name, v) in enumerate(zip(names, value_names)):
-            n = row[f"n_{v}"]
+        group = tuple(row[g] for g in groups)
+        result[group], places[group] = {}, {}
+        for i, name in enumerate(names):
+            n = row[f"n{i}"]
             result[group][name] = (n, [None] * len(wanted[name]))
-            if not n:
-                continue
-            if not few:
-                bounds[group, i] = (row[f"min_{v}"], row[f"max_{v}"])
-            for j, (_, position) in enumerate(wanted[name]):
-                at = min(n - 1, max(0, position(n)))
-                if few:  # everything is "inside": gather the column once
-                    items.append(_Item(group, i, j, n, at, -math.inf, math.inf, inside=n))
-                else:
-                    q = row[f"q_{v}"]
-                    items.append(_Item(group, i, j, n, at, q[2 * j], q[2 * j + 1]))
-
-    if few:
-        _gather(base, key_names, value_names, items, whole=True)
-    else:
-        _narrow(base, key_names, value_names, items, bounds, bracket, accuracy)
-    for it in items:
-        n, values = result[it.group][names[it.column]]
-        values[it.target] = it.value
+            if n:
+                places[group][i] = [min(n - 1, max(0, position(n))) for _, position in wanted[name]]
+    limit = SMALL_VALUES if small is None else small
+    for columns in _by_type(base, len(names)):
+        cells = sum(row[f"n{i}"] for row in summary for i in columns)
+        ranks = {
+            (*group, i): sorted({r for at in per[i] for r in (math.floor(at), math.ceil(at))})
+            for group, per in places.items() for i in columns if i in per
+        }
+        if not ranks:
+            continue
+        found = _picked(base, groups, columns, ranks, cells, None if cells <= limit else ranges or max(2, cells // RANGE_CELLS))
+        for (*group, i), values in found.items():
+            out = result[tuple(group)][names[i]][1]
+            for j, at in enumerate(places[tuple(group)][i]):
+                out[j] = _between(values[math.floor(at)], values[math.ceil(at)], at - math.floor(at))
     return result
 
 
-def _attach(base: DataFrame, key_names: list[str], extra: dict[tuple, dict[str, object]], schema: T.StructType) -> DataFrame:
-    """Add per-group constants: literals without keys, a broadcast of the (bounded) groups with."""
-    if not key_names:
-        constants = extra[()]
-        return base.select("*", *[F.lit(constants[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields])
-    spark = base.sparkSession
-    fields = [T.StructField(f"k_{g}", base.schema[g].dataType) for g in key_names] + list(schema.fields)
-    rows = [tuple(group) + tuple(values[f.name] for f in schema.fields) for group, values in extra.items()]
-    side = spark.createDataFrame(rows, T.StructType(fields))
-    condition = None
-    for g in key_names:
-        match = F.col(g).eqNullSafe(F.col(f"k_{g}"))
-        condition = match if condition is None else condition & match
-    return base.join(F.broadcast(side), condition).drop(*[f"k_{g}" for g in key_names])
-
-
-def _slots(items: list[_Item]) -> dict[tuple[int, int], list[_Item]]:
-    """Items sharing a column and target form one set of aggregate columns."""
-    slots: dict[tuple[int, int], list[_Item]] = {}
-    for it in items:
-        slots.setdefault((it.column, it.target), []).append(it)
-    return slots
-
-
-def _with_brackets(base: DataFrame, key_names: list[str], items: list[_Item]) -> DataFrame:
-    slots = _slots(items)
-    fields = []
-    for s in range(len(slots)):
-        fields += [T.StructField(f"a{s}", T.DoubleType()), T.StructField(f"b{s}", T.DoubleType())]
-    extra: dict[tuple, dict[str, object]] = {}
-    for s, members in enumerate(slots.values()):
-        for it in members:
-            row = extra.setdefault(it.group, {f.name: None for f in fields})
-            row[f"a{s}"], row[f"b{s}"] = it.low, it.high
-    return _attach(base, key_names, extra, T.StructType(fields))
-
-
-def _gather(base, key_names, value_names, items: list[_Item], whole: bool = False) -> None:
-    """Fetch the wanted values from the sorted inside of each bracket (all known to be small).
-
-    One list per column when whole columns are small, else one per bracket; only the wanted positions
-    leave the executors.
+def _between(low, high, part: float):
+    if part == 0 or low == high:
+        return low
+    if isinstance(low, Decimal):
+        with localcontext(prec=76):  # twice the digits of the widest column
+            return low + (high - low) * Decimal(part)
+    return low + (high - low) * part
+
+
+def _by_type(base: DataFrame, n: int) -> list[list[int]]:
+    """The columns that share a type go through one job."""
+    kinds: dict[str, list[int]] = {}
+    for i in range(n):
+        kinds.setdefault(base.schema[f"v{i}"].dataType.simpleString(), []).append(i)
+    return list(kinds.values())
+
+
+def _counted(base: DataFrame, groups: list[str], columns: list[int]) -> DataFrame:
+    """(groups..., c column, v value, n): every present cell, equal ones counted together before anything is shuffled.
+
+    Without groups each batch of rows is counted on its own, so that a value comes up once a batch; with groups, or for
+    decimals, cells are counted by value over all rows.
     """
-    if not items:
-        return
-    lists, homes = [], {}  # homes: (column, target) -> index of its list
-    if whole:
-        columns = sorted({it.column for it in items})
-        lists = [F.collect_list(value_names[c]).alias(f"s{i}") for i, c in enumerate(columns)]
-        homes = {(it.column, it.target): columns.index(it.column) for it in items}
-        source = base
+    if groups or not isinstance(base.schema[f"v{columns[0]}"].dataType, (T.LongType, T.DoubleType)):
+        each = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in columns])
+        long = base.select(*groups, F.explode(each).alias("x")).select(*groups, "x.c", "x.v")
+        return long.where("v IS NOT NULL").groupBy(*groups, "c", "v").agg(F.count(F.lit(1)).alias("n"))
+    whole = isinstance(base.schema[f"v{columns[0]}"].dataType, T.LongType)
+    kind = pa.int64() if whole else pa.float64()
+    schema = pa.schema([("c", pa.int32()), ("v", kind), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in columns:
+                values, n = np.unique(batch.column(f"v{i}").drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i, np.int32)), pa.array(values, kind), pa.array(n, pa.int64())], schema=schema)
+
+    return base.select(*[f"v{i}" for i in columns]).mapInArrow(count, f"c int, v {'long' if whole else 'double'}, n long")
+
+
+def _picked(
+    base: DataFrame, groups: list[str], columns: list[int], ranks: dict[tuple, list[int]], cells: int, ranges: int | None
+) -> dict[tuple, dict[int, object]]:
+    """{(group..., column): {rank: value}}; ``ranges`` is None for an input that needs none."""
+    spark = base.sparkSession
+    counts, keys = _counted(base, groups, columns), [*groups, "c"]
+    if ranges is None:
+        counts = counts.withColumn("part", F.lit(0))
+        wanted = [(0, *key, 0, own) for key, own in ranks.items()]
     else:
-        source = _with_brackets(base, key_names, items)
-        inside_any = F.lit(False)
-        for s, (column, target) in enumerate(_slots(items)):
-            v = F.col(value_names[column])
-            inside = (v > F.col(f"a{s}")) & (v < F.col(f"b{s}"))
-            lists.append(F.collect_list(F.when(inside, v)).alias(f"s{s}"))
-            homes[column, target] = s
-            inside_any = inside_any | inside
-        source = source.where(inside_any)  # most rows lie in no bracket and stop here
-    grouped = source.groupBy(*key_names).agg(*lists)
-
-    wanted: dict[tuple, dict[str, list[int]]] = {}
-    for it in items:
-        row = wanted.setdefault(it.group, {f"r{i}": [] for i in range(len(lists))})
-        offset = it.below + it.on_low
-        row[f"r{homes[it.column, it.target]}"] += [r - offset for r in it.ranks]
-    fields = T.StructType([T.StructField(f"r{i}", T.ArrayType(T.IntegerType())) for i in range(len(lists))])
-    # the outer lambda binds the sorted list once; a plain column would be sorted again for every position
-    picks = [
-        F.expr(f"transform(array(sort_array(s{i})), s -> transform(r{i}, k -> get(s, k)))[0] AS p{i}")
-        for i in range(len(lists))
-    ]
-    picked = _attach(grouped, key_names, wanted, fields).select(*key_names, *picks).collect()
-    found = {tuple(r[g] for g in key_names): r for r in picked}
-    for it in items:
-        home = homes[it.column, it.target]
-        values = dict(zip(wanted[it.group][f"r{home}"], found[it.group][f"p{home}"]))
-        it.settle(values)
-
-
-def _narrow(base, key_names, value_names, items, bounds, small, accuracy) -> None:
-    """Count around the brackets, gather the ones that are small enough, sketch inside the others and repeat."""
-    while items:
-        _count(base, key_names, value_names, items)
-        ready, crowded, waiting = [], [], []
-        for it in items:
-            if not it.covers():  # the sketch missed: start again from the full range
-                it.low, it.high = bounds[it.group, it.column]
-                waiting.append(it)
-            elif it.settle(None):
-                continue
-            else:
-                (ready if it.inside <= small else crowded).append(it)
-        _gather(base, key_names, value_names, ready)
-        _tighten(base, key_names, value_names, crowded, accuracy)
-        items = waiting + crowded
-
-
-def _count(base, key_names, value_names, items: list[_Item]) -> None:
-    """Rows left of, on and inside every bracket: plain conditional counts, which stay in generated code."""
-    slots = _slots(items)
-    counts = []
-    for s, (column, _) in enumerate(slots):
-        v, a, b = F.col(value_names[column]), F.col(f"a{s}"), F.col(f"b{s}")
-        for name, condition in (("lt", v < a), ("le", v <= a), ("in", v < b), ("to", v <= b)):
-            counts.append(F.count_if(condition).alias(f"{name}{s}"))
-    rows = _with_brackets(base, key_names, items).groupBy(*key_names).agg(*counts).collect()
-    found = {tuple(r[g] for g in key_names): r for r in rows}
-    for s, members in enumerate(slots.values()):
-        for it in members:
-            left, low, inside, high = (found[it.group][f"{n}{s}"] for n in ("lt", "le", "in", "to"))
-            it.below, it.on_low = left, low - left
-            it.inside = inside - low if it.high > it.low else 0
-            it.on_high = high - inside if it.high > it.low else 0
-
-
-def _tighten(base, key_names, value_names, items: list[_Item], accuracy: int) -> None:
-    """Move the ends of crowded brackets to sketched values inside them."""
-    if not items:
-        return
-    grid = [i / GRID for i in range(GRID + 1)]
-    sketches = []
-    for s, (column, _) in enumerate(_slots(items)):
-        v = F.col(value_names[column])
-        inside = F.when((v > F.col(f"a{s}")) & (v < F.col(f"b{s}")), v)
-        sketches.append(F.percentile_approx(inside, grid, accuracy).alias(f"q{s}"))
-    rows = _with_brackets(base, key_names, items).groupBy(*key_names).agg(*sketches).collect()
-    found = {tuple(r[g] for g in key_names): r for r in rows}
-    margin = 2.0 / accuracy
-    for s, members in enumerate(_slots(items).values()):
-        for it in members:
-            q = found[it.group][f"q{s}"]
-            first = it.below + it.on_low
-            lo = max(0.0, (it.ranks[0] - first) / it.inside - margin)
-            hi = min(1.0, (it.ranks[1] - first + 1) / it.inside + margin)
-            # a rank on the bracket's edge keeps that edge
-            if it.ranks[0] >= first:
-                it.low = q[max(0, math.floor(lo * GRID) - (1 if lo > 0 else 0))]
-            if it.ranks[1] < first + it.inside:
-                it.high = q[min(GRID, math.ceil(hi * GRID) + (1 if hi < 1 else 0))]
+        dealt = counts.repartitionByRange(ranges, *keys, "v").withColumn("part", F.spark_partition_id())
+        counts = freeze(dealt, "ranges")
+        # at most a row for each range, and one more for each group and column
+        totals = counts.groupBy("part", *keys).agg(F.sum("n").alias("n")).orderBy("part").collect()
+        before: dict[tuple, tuple[list[int], list[int]]] = {}
+        for r in totals:
+            parts, ends = before.setdefault(tuple(r[k] for k in keys), ([], [0]))
+            parts.append(r["part"])
+            ends.append(ends[-1] + r["n"])
+        inside: dict[tuple, list[int]] = {}
+        for key, own in ranks.items():
+            parts, ends = before[key]
+            for rank in own:
+                at = bisect_right(ends, rank) - 1
+                inside.setdefault((parts[at], *key, ends[at]), []).append(rank)
+        wanted = [(*place, own) for place, own in inside.items()]
+    fields = [T.StructField("w_part", T.IntegerType())]
+    fields += [T.StructField(f"w_{g}", base.schema[g].dataType) for g in groups]
+    fields += [T.StructField("w_c", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("ranks", T.ArrayType(T.LongType()))]
+    side = spark.createDataFrame(wanted, T.StructType(fields))  # as many rows as places asked for
+    match = F.col("part") == F.col("w_part")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"w_{k}"))
+    # a value may have several counts
+    running = Window.partitionBy("part", *keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("n").over(running) + F.col("before")
+    met = counts.where(F.col("part").isin(sorted({w[0] for w in wanted}))).join(F.broadcast(side), match).withColumn("upto", upto)
+    here = F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+    rows = met.select(*keys, "v", here.alias("here")).where(F.size("here") > 0).collect()
+    found: dict[tuple, dict[int, object]] = {}
+    for r in rows:
+        found.setdefault(tuple(r[k] for k in keys), {}).update(dict.fromkeys(r["here"], r["v"]))
+    return found
 
 
 def quantiles(
-    df: DataFrame, probs: dict[str, Sequence[float]], keys: Sequence[str] = (), **options
-) -> dict[tuple, dict[str, list[float | None]]]:
-    """{group: {column: exact linearly interpolated quantiles}}."""
+    df: DataFrame, probs: dict[str, Sequence[float]], keys: Sequence[str] = (), typed: bool = False, **options
+) -> dict[tuple, dict[str, list]]:
+    """{group: {column: exact linearly interpolated quantiles}}; as floats unless ``typed``."""
     found = order_statistics(df, {c: [share(p) for p in ps] for c, ps in probs.items()}, keys, **options)
-    return {g: {c: values for c, (_, values) in per.items()} for g, per in found.items()}
+
+    def plain(value):
+        return value if typed or value is None else float(value)
+
+    return {g: {c: [plain(v) for v in values] for c, (_, values) in per.items()} for g, per in found.items()}
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Ungrouped quantiles of several columns, two passes for all of them together."""
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], typed: bool = False) -> dict[str, list]:
+    """Ungrouped quantiles of several columns."""
     if not columns:
         return {}
-    return quantiles(df, {c: probs for c in columns}).get((), {c: [None] * len(probs) for c in columns})
+    return quantiles(df, {c: probs for c in columns}, typed=typed).get((), {c: [None] * len(probs) for c in columns})

@@ -8,6 +8,7 @@ from ..operators.profile import (
     categorical_topk, data_summary, describe_numeric, duplicate_count, iqr_outlier_pct, null_counts, numeric_ranges,
     nunique, shape, target_mean, top_values, value_counts, version_statistics,
 )
+from ..operators.quantiles import order_statistics
 from ..operators.requests import request_assessment, request_endpoint_stats, request_error_counts, request_log_stats
 from .base import Tables, holes, query, rounded
 
@@ -328,3 +329,27 @@ def request_error_query(t: Tables):
 )
 def request_assessment_query(t: Tables):
     return rounded(request_assessment(_log(t), "latency", "success"))
+
+
+#: whole numbers beyond 2**53 and decimals of 30 digits
+WIDE = "l_orderkey * 4611686018427 + l_linenumber"
+
+
+@query(
+    "order_statistics",
+    f"""WITH w AS (SELECT l_returnflag, {WIDE} AS whole, CAST(l_extendedprice AS DECIMAL(18, 4)) + CAST('1234567890123.0001' AS DECIMAL(18, 4)) AS exact FROM lineitem)
+        SELECT l_returnflag, p AS place, whole, CAST(exact AS DECIMAL(18, 4)) AS exact FROM (
+          SELECT l_returnflag, unnest([0, 25, 50, 75, 100]) AS p, unnest(quantile_disc(whole, [0, 0.25, 0.5, 0.75, 1])) AS whole,
+                 unnest(quantile_disc(exact, [0, 0.25, 0.5, 0.75, 1])) AS exact FROM w GROUP BY l_returnflag)""",
+)
+def order_statistics_query(t: Tables):
+    """Ranks of whole numbers and decimals by group, through ranges, without a double on the way."""
+    exact = F.col("l_extendedprice").cast("decimal(18,4)") + F.lit("1234567890123.0001").cast("decimal(18,4)")
+    df = t.lineitem.select("l_returnflag", F.expr(WIDE.replace("4611686018427", "4611686018427L")).alias("whole"), exact.cast("decimal(18,4)").alias("exact"))
+    # the place that holds the share: the first one at or above it
+    places = [(p / 100, lambda n, p=p: max(0, -(-n * p // 100) - 1)) for p in (0, 25, 50, 75, 100)]
+    found = order_statistics(df, {"whole": places, "exact": places}, ["l_returnflag"], small=0, ranges=8)
+    rows = [
+        (flag, p, per["whole"][1][j], per["exact"][1][j]) for (flag,), per in found.items() for j, p in enumerate((0, 25, 50, 75, 100))
+    ]
+    return t.spark.createDataFrame(rows, "l_returnflag string, place int, whole long, exact decimal(18,4)")

@@ -85,7 +85,7 @@ def test_splits_are_exact_disjoint_and_repeatable(spark):
     sizes = {r["c"]: r["t"] for r in flagged.groupBy("c").agg(F.sum("is_test").alias("t")).collect()}
     assert sizes == {"tiny": 1, "big": 200}
     assert sorted(flagged.collect()) == sorted(holdout(df.repartition(7), ["id"], 0.2, "c").collect())
-    narrow = holdout(df, ["id"], 0.2, "c", small=20, accuracy=50)
+    narrow = holdout(df, ["id"], 0.2, "c", small=20, ranges=5)
     assert sorted(flagged.collect()) == sorted(narrow.collect())
     folds = [r["count"] for r in fold_column(df, ["id"], 5).groupBy("fold").count().orderBy("fold").collect()]
     assert folds == [201, 201, 201, 200, 200]
