@@ -120,22 +120,28 @@ def _text_codes(codes: DataFrame, column: str) -> DataFrame:
     return codes.withColumn(column, _text_key(codes, column))
 
 
+def target_cells(df: DataFrame, columns: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., c, key, n, s, q): target moments of every category of several columns, from one aggregate."""
+    require_numeric(df, target)
+    each = F.array(*[F.struct(F.lit(i).alias("c"), _text_key(df, c).alias("key")) for i, c in enumerate(columns)])
+    rows = df.select(*[col(b) for b in by], double(df, target).alias("y"), F.explode(each).alias("x")).select(*[col(b) for b in by], "x.c", "x.key", "y")
+    return rows.groupBy(*[col(b) for b in by], "c", "key").agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+
+
 def target_encode_crossfit(
-    df: DataFrame, column: str, target: str, keys: Sequence[str], folds: int = 5, seed: int = 42
+    df: DataFrame, columns: str | Sequence[str], target: str, keys: Sequence[str], folds: int = 5, seed: int = 42
 ) -> DataFrame:
     """Each row is encoded from the other folds only: totals minus the row's own fold.
 
-    One aggregation to (fold, category) and one lookup; the folds themselves are expressions.
+    One aggregation to (fold, column, category) for all columns and one lookup for each; the folds themselves are
+    expressions.
     """
+    columns = [columns] if isinstance(columns, str) else list(columns)
     names = df.columns
     folded = fold_column(df, keys, folds, seed=seed, name="__fold")
-    y = double(folded, target)
-    cells = folded.groupBy("__fold", _text_key(folded, column).alias("__key")).agg(
-        F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")
-    )
-    cells = freeze(cells, "cells")  # one row per fold and category, read three times
-    totals = cells.groupBy("__key").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
-    fold_rows = cells.groupBy("__fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    cells = freeze(target_cells(folded, columns, target, ["__fold"]), "cells")  # a row for each fold and category
+    totals = cells.groupBy("c", "key").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
+    fold_rows = cells.where("c = 0").groupBy("__fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     fits = {r["__fold"]: (r["n"], r["s"] or 0.0, r["q"] or 0.0) for r in fold_rows.collect()}
     n_all, s_all, q_all = (sum(v[i] for v in fits.values()) for i in range(3))
     mean, variance = F.lit(None).cast("double"), F.lit(None).cast("double")
@@ -146,11 +152,15 @@ def target_encode_crossfit(
             v = max((q_all - q) / rest - m * m, 0.0)
             mean = F.when(F.col("__fold") == fold, F.lit(m)).otherwise(mean)
             variance = F.when(F.col("__fold") == fold, F.lit(v)).otherwise(variance)
-    out = cells.join(totals, "__key").select(
-        "__fold", "__key",
+    out = cells.join(totals, ["c", "key"]).select(
+        "__fold", "c", F.col("key").alias("__key"),
         (F.col("tn") - F.col("n")).alias("n"),
         (F.coalesce("ts", F.lit(0.0)) - F.coalesce("s", F.lit(0.0))).alias("s"),
         (F.coalesce("tq", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))).alias("q"),
-    ).select("__fold", "__key", shrunk_mean(F.col("n"), F.col("s"), F.col("q"), mean, variance).alias("__code"))
-    joined = lookup_join(folded.withColumn("__key", _text_key(folded, column)), out, ["__fold", "__key"])
-    return joined.select(*[F.col("__code").alias(column) if n == column else col(n) for n in names])
+    ).select("__fold", "c", "__key", shrunk_mean(F.col("n"), F.col("s"), F.col("q"), mean, variance).alias("__code"))
+    out = freeze(out, "codes")
+    for i, column in enumerate(columns):
+        keyed = folded.withColumn("__key", _text_key(folded, column))
+        joined = lookup_join(keyed, out.where(F.col("c") == i).drop("c"), ["__fold", "__key"], derived=False)
+        folded = joined.withColumn(column, F.col("__code")).drop("__key", "__code")
+    return folded.select(*[col(n) for n in names])

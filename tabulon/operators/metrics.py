@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, double, require, require_numeric
@@ -207,58 +211,98 @@ def ecdf(df: DataFrame, column: str, **options) -> DataFrame:
 # --- clustering quality -------------------------------------------------------------------------
 
 
-def cluster_moments(df: DataFrame, features: str, label: str, dims: int) -> DataFrame:
-    """Per label: size and the array of coordinate means, one aggregate column per coordinate."""
-    x = col(features)
-    means = F.array(*[F.avg(x[i].cast("double")) for i in range(dims)])
-    return df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"), means.alias("centre"))
-
-
-def clustering_metrics(df: DataFrame, features: str, label: str, max_labels: int = 1000) -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin for an array column and a label column.
+def cluster_state(df: DataFrame, features: str, label: str, max_labels: int = 1000) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, sizes, vector sums, sums of squared norms) of the clusters: mergeable, one array for each task.
 
-    The label centres (bounded, checked) go back to the rows by broadcast; one pass sums each row's
-    distance to its own centre.
+    Rows with a null label or vector take no part. The labels are bounded and checked.
     """
     require(df, features, label)
-    width = df.select(F.max(F.size(col(features)))).first()[0]
+    rows = df.where(col(features).isNotNull() & col(label).isNotNull())
+    width = rows.select(F.max(F.size(col(features)))).first()[0]
     if not width or width < 1:
         raise ValueError("no feature vectors")
-    centres = cluster_moments(df, features, label, width).limit(max_labels + 1).collect()
-    if len(centres) > max_labels:
+    labels = [r[0] for r in rows.select(col(label)).distinct().limit(max_labels + 1).collect()]
+    if len(labels) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
-    k, n = len(centres), sum(r["n"] for r in centres)
-    side = df.sparkSession.createDataFrame(centres).withColumnRenamed("label", "__label").drop("n")
-    gaps = F.zip_with(col(features), F.col("centre"), lambda a, b: (a - b) * (a - b))
-    squared = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g)
-    rows = df.join(F.broadcast(side), col(label) == F.col("__label")).select(
-        F.col("__label").alias("label"), squared.alias("d2")
-    )
+    labels.sort()
+    place = {v: i for i, v in enumerate(labels)}
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums, squares = np.zeros(len(labels)), np.zeros((len(labels), width)), np.zeros(len(labels))
+        for batch in batches:
+            x, own = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), width), batch["label"].map(place).to_numpy()
+            np.add.at(n, own, 1)
+            np.add.at(sums, own, x)
+            np.add.at(squares, own, (x * x).sum(axis=1))
+        yield pd.DataFrame({"at": np.arange(len(labels)), "n": n, "s": list(sums), "q": squares})
+
+    narrow = rows.select(col(features).cast("array<double>").alias("x"), col(label).alias("label"))
+    parts = narrow.mapInPandas(add, "at int, n double, s array<double>, q double")
+    sums = F.array(*[F.sum(F.col("s")[i]) for i in range(width)])
+    found = {r["at"]: r for r in parts.groupBy("at").agg(F.sum("n").alias("n"), sums.alias("s"), F.sum("q").alias("q")).collect()}
+    held = [found[i] for i in range(len(labels))]
+    return labels, np.array([r["n"] for r in held]), np.array([r["s"] for r in held]), np.array([r["q"] for r in held])
+
+
+def row_distances(df: DataFrame, features: str, label: str, state: tuple) -> DataFrame:
+    """(label, own, silhouette): each row's squared distance to its centre, and its silhouette by squared distances.
+
+    The mean distance of a row to a cluster follows from the cluster's state, so no pairs of rows are formed.
+    """
+    labels, n, sums, squares = state
+    place = {v: i for i, v in enumerate(labels)}
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, own = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), -1), batch["label"].map(place).to_numpy()
+            norm, rows = (x * x).sum(axis=1), np.arange(len(x))
+            total = norm[:, None] * n - 2 * x @ sums.T + squares  # to all rows of each cluster
+            inside = total[rows, own] / np.maximum(n[own] - 1, 1)
+            mean = total / n
+            mean[rows, own] = np.inf
+            near = mean.min(axis=1) if len(labels) > 1 else np.full(len(x), np.nan)
+            larger = np.maximum(inside, near)
+            # a row alone in its cluster has 0
+            value = np.where((n[own] > 1) & (larger > 0), np.divide(near - inside, larger, out=np.zeros_like(near), where=larger > 0), 0.0)
+            gap = x - (sums / n[:, None])[own]
+            yield pd.DataFrame({"label": batch["label"], "own": (gap * gap).sum(axis=1), "silhouette": value})
+
+    rows = df.where(col(features).isNotNull() & col(label).isNotNull())
+    narrow = rows.select(col(features).cast("array<double>").alias("x"), col(label).alias("label"))
+    return narrow.mapInPandas(measure, f"label {df.schema[label].dataType.simpleString()}, own double, silhouette double")
+
+
+def clustering_metrics(df: DataFrame, features: str, label: str, max_labels: int = 1000) -> DataFrame:
+    """Calinski-Harabasz, Davies-Bouldin and the mean silhouette for an array column and a label column of any type."""
+    state = cluster_state(df, features, label, max_labels)
+    labels, n, sums, _ = state
+    rows = row_distances(df, features, label, state)
     within = {
-        r["label"]: (r["w"], r["s"])
-        for r in rows.groupBy("label").agg(F.sum("d2").alias("w"), F.avg(F.sqrt("d2")).alias("s")).collect()
+        r["label"]: r for r in rows.groupBy("label").agg(F.sum("own").alias("w"), F.avg(F.sqrt("own")).alias("s"), F.sum("silhouette").alias("v")).collect()
     }
-    overall = [sum(r["n"] * r["centre"][i] for r in centres) / n for i in range(width)]
-    between = sum(r["n"] * sum((a - b) ** 2 for a, b in zip(r["centre"], overall)) for r in centres)
-    inner = sum(w for w, _ in within.values())
-    ch = (between / (k - 1)) / (inner / (n - k)) if k > 1 and n > k and inner else None
-    worst = []
-    for a in centres:
-        ratios = []
-        for b in centres:
-            gap = sum((x - y) ** 2 for x, y in zip(a["centre"], b["centre"])) ** 0.5
-            if a["label"] != b["label"] and gap > 0:
-                ratios.append((within[a["label"]][1] + within[b["label"]][1]) / gap)
-        if ratios:
-            worst.append(max(ratios))
+    k, total, centres = len(labels), n.sum(), sums / n[:, None]
+    between = float((n * ((centres - sums.sum(axis=0) / total) ** 2).sum(axis=1)).sum())
+    inner = sum(r["w"] for r in within.values())
+    ch = (between / (k - 1)) / (inner / (total - k)) if k > 1 and total > k and inner else None
+    scatter = np.array([within[v]["s"] for v in labels])
+    gaps = np.sqrt(np.stack([((centres - c) ** 2).sum(axis=1) for c in centres]))  # a bounded table of labels
+    ratios = np.divide(scatter[:, None] + scatter, gaps, out=np.full(gaps.shape, -np.inf), where=gaps > 0)
+    worst = [float(r.max()) for r in ratios if r.max() > -np.inf]
     db = sum(worst) / k if worst else None
-    return df.sparkSession.createDataFrame([(k, n, ch, db)], "clusters long, n long, calinski_harabasz double, davies_bouldin double")
+    sil = sum(r["v"] for r in within.values()) / total if k > 1 else None
+    return df.sparkSession.createDataFrame(
+        [(k, int(total), *(None if v is None else float(v) for v in (ch, db, sil)))], "clusters long, n long, calinski_harabasz double, davies_bouldin double, silhouette double"
+    )
+
+
+def silhouette_by_label(df: DataFrame, features: str, label: str, max_labels: int = 1000) -> DataFrame:
+    """(label, n, silhouette): size and mean silhouette of each cluster, by squared Euclidean distances."""
+    rows = row_distances(df, features, label, cluster_state(df, features, label, max_labels))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette"))
 
 
 def silhouette(df: DataFrame, features: str, label: str) -> float:
     """Mean silhouette with squared Euclidean distance."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    ready = df.select(array_to_vector(col(features).cast("array<double>")).alias("f"), col(label).cast("int").alias("l"))
-    return ClusteringEvaluator(featuresCol="f", predictionCol="l").evaluate(ready)
+    return silhouette_by_label(df, features, label).agg(F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).first()[0]

@@ -69,7 +69,7 @@ def end_to_end(
 
     fitted = fit_features(train, target, **(feature_options or {}))
     model_type, settings = family_model(family, task, params)
-    engineered = freeze(fitted.apply(train), "engineered")
+    engineered = freeze(fitted.fitting, "engineered")
     model = fit_model(engineered, target, model_type, settings, fitted.selected)
     bundle = package(fitted, model, names, spark)
     bundle.save(path)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.columns import col, literal, numeric_columns, quoted, require, require_numeric, text_columns
+from ..functions.columns import col, double, literal, numeric_columns, quoted, require, require_numeric, text_columns, unused
 from ..functions.projection import Projection
 from ..operators.clean import clean_column, dedupe, delete_columns, iqr_filter
 from ..operators.construct import fit_interaction, fit_polynomial
-from ..operators.encode import categories, encode, fit_onehot, fit_target
+from ..operators.encode import categories, encode, fit_onehot, shrunk_mean, target_cells, target_encode_crossfit
 from ..operators.impute import impute, impute_table
 from ..operators.profile import iqr_outlier_pct, null_counts, numeric_ranges, nunique, shape
 from ..operators.scale import fit_scaler, scale
@@ -144,12 +145,33 @@ def prepare_data(
 
 @dataclass
 class Features:
-    """Fitted feature engineering: ordered projections and the names that survive selection."""
+    """Fitted feature engineering: ordered projections and the names that survive selection.
+
+    ``apply`` is for rows that weren't fitted on. ``fitting`` holds the rows of the fit themselves, whose target encodings
+    come from the other folds only, so that no row's features know its own target.
+    """
 
     steps: list[Projection]
     selected: list[str]
     target: str
     originals: list[str]
+    fitting: DataFrame | None = None
+
+    def save(self, path: str) -> None:
+        """Both outputs: the projections as JSON, the engineered rows of the fit as Parquet."""
+        about = {
+            "steps": [[s.columns, list(s.dropped), s.where] for s in self.steps], "selected": self.selected, "target": self.target,
+            "originals": self.originals,
+        }
+        spark = self.fitting.sparkSession
+        self.fitting.write.mode("overwrite").parquet(f"{path}/fitting")
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Features:
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        steps = [Projection(columns, tuple(dropped), where) for columns, dropped, where in about.pop("steps")]
+        return Features(steps, fitting=spark.read.parquet(f"{path}/fitting"), **about)
 
     def apply(self, df: DataFrame) -> DataFrame:
         for step in self.steps:
@@ -170,17 +192,23 @@ class Features:
 
 
 def _target_projection(df: DataFrame, columns: Sequence[str], target: str) -> Projection:
+    """Codes from all rows, one aggregate for all columns."""
+    y = double(df, target)
+    mean, variance = df.agg(F.avg(y), F.var_pop(y)).first()
+    code = shrunk_mean(F.col("n"), F.col("s"), F.col("q"), F.lit(mean), F.lit(variance))
+    rows = target_cells(df, columns, target).select("c", "key", code.alias("code")).orderBy("c", "key").limit(MAX_INLINE * len(columns) + 1).collect()
+    found: dict[int, list] = {}
+    for r in rows:
+        found.setdefault(r["c"], []).append((None if r["key"] == "n" else r["key"][1:], r["code"]))
     out = {}
-    for c in columns:
-        codes, mean = fit_target(df, c, target)
-        rows = codes.limit(MAX_INLINE + 1).collect()
-        if len(rows) > MAX_INLINE:
+    for i, c in enumerate(columns):
+        own = found.get(i, [])
+        if len(own) > MAX_INLINE or len(rows) > MAX_INLINE * len(columns):
             raise ValueError(f"column {c} has more than {MAX_INLINE} categories; encode it with target_encode")
         cases = " ".join(
-            f"WHEN {quoted(c)} {'IS NULL' if r[0] is None else '= ' + literal(r[0])} THEN {literal(float(r[1]))}"
-            for r in rows
+            f"WHEN {quoted(c)} {'IS NULL' if v is None else '= ' + literal(v)} THEN {literal(code)}" for v, code in own
         )
-        out[c] = f"CASE {cases} ELSE {literal(float(mean))} END" if cases else literal(float(mean))
+        out[c] = f"CASE {cases} ELSE {literal(mean)} END" if cases else literal(mean)
     return Projection(out)
 
 
@@ -202,11 +230,17 @@ def fit_features(
     encoding: str = "target",
     polynomial_degree: int | None = None,
     interactions: bool = True,
-    scaling: str = "standard",
+    scaling: str | None = "standard",
     selection: str | None = "mutual_info",
     max_features: int = MAX_FEATURES,
+    keys: Sequence[str] = (),
+    folds: int = 5,
 ) -> Features:
-    """Fit encode -> polynomial -> interaction -> scale -> select on training rows only."""
+    """Fit encode -> polynomial -> interaction -> scale -> select on training rows only.
+
+    Target encoding is cross-fitted: the later steps, and :attr:`Features.fitting`, see each row encoded from the other
+    folds. ``keys`` identify rows and deal them to folds; without any, rows are numbered as they are read.
+    """
     target = train.columns[-1] if target is None else target
     require(train, target)
     originals = [c for c in train.columns if c != target]
@@ -222,7 +256,10 @@ def fit_features(
     texts = [c for c in text_columns(df) if c != target]
     if texts:
         if encoding == "target" and target not in text_columns(df):
-            add(_target_projection(df, texts, target))
+            steps.append(_target_projection(df, texts, target))
+            number = unused(df.columns, "__row")
+            rows = df if keys else freeze(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+            df = freeze(target_encode_crossfit(rows, texts, target, list(keys) or [number], folds).drop(number), "crossfit")
         elif encoding == "onehot":
             for c in texts:
                 add(fit_onehot(df, c, drop_first=False))
@@ -233,15 +270,18 @@ def fit_features(
     if interactions:
         add(fit_interaction(df, target=target))
     numbers = [c for c in numeric_columns(df) if c != target]
-    add(fit_scaler(df, numbers, scaling))
+    if scaling:
+        add(fit_scaler(df, numbers, scaling))
     selected = numbers
     if selection:
         selected = [c for c in select_features(df, target, selection, max_features) if c != target]
-    return Features(steps, selected, target, originals)
+    fitting = df.select(*[col(c) for c in [*[n for n in df.columns if n in selected], target]])
+    return Features(steps, selected, target, originals, fitting)
 
 
 def engineer_features(df: DataFrame, target: str | None = None, **options) -> tuple[DataFrame, Features]:
+    """The engineered rows of ``df``, out of fold where their encoding knows the target, and the fitted features."""
     fitted = fit_features(df, target, **options)
-    return fitted.apply(df), fitted
+    return fitted.fitting, fitted
 
 

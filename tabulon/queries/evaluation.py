@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators.knn import knn_join
 from ..operators.metrics import (
     averaged_metrics, classification_metrics, classification_report, clustering_metrics, confusion_matrix, log_loss,
-    mape, pr_curve, prediction_statistics, regression_metrics, roc_auc, roc_curve, threshold_optimize,
+    mape, pr_curve, prediction_statistics, regression_metrics, roc_auc, roc_curve, silhouette_by_label, threshold_optimize,
 )
 from ..operators.validate import (
     alert_thresholds, drift_ks, fairness, performance_gate, threshold_check, validation_report,
@@ -196,9 +196,16 @@ b AS (SELECT sum(n * q) AS b FROM sizes JOIN (SELECT label, sum((c - g) * (c - g
 pairs AS (SELECT x.label AS l, y.label AS m, sqrt(sum((x.c - y.c) * (x.c - y.c))) AS gap FROM c x JOIN c y ON x.i = y.i AND x.label <> y.label
           GROUP BY x.label, y.label),
 db AS (SELECT avg(r) AS db FROM (SELECT l, max((a.s + z.s) / gap) AS r FROM pairs JOIN w a ON a.label = l JOIN w z ON z.label = m GROUP BY l)),
-k AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n FROM sizes)
+k AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n FROM sizes),
+{silhouettes}
 SELECT k AS clusters, n, round((b / (k - 1)) / ((SELECT sum(w) FROM w) / (n - k)), 4) AS calinski_harabasz,
-       round(db, 4) AS davies_bouldin FROM k, b, db"""
+       round(db, 4) AS davies_bouldin, (SELECT round(avg(v), 4) FROM one) AS silhouette FROM k, b, db"""
+#: silhouettes of single rows by all pairs; a row alone in its cluster has 0
+SILHOUETTES = """gaps AS (SELECT a.vec_id AS q, a.label AS l, z.label AS m, sum((a.x - z.x) * (a.x - z.x)) AS d FROM e a JOIN e z ON a.i = z.i GROUP BY 1, 2, 3),
+sides AS (SELECT q, l, max(CASE WHEN m = l THEN d / greatest(n - 1, 1) END) AS i, min(CASE WHEN m <> l THEN d / n END) AS o,
+          max(CASE WHEN m = l THEN n END) AS n FROM gaps JOIN sizes ON sizes.label = m GROUP BY q, l),
+one AS (SELECT l, CASE WHEN n > 1 AND greatest(i, o) > 0 THEN (o - i) / greatest(i, o) ELSE 0 END AS v FROM sides)"""
+CLUSTER_SQL = CLUSTER_SQL.replace("{silhouettes}", SILHOUETTES)
 
 
 @query("clustering_metrics", CLUSTER_SQL)
@@ -206,6 +213,18 @@ def clustering_query(t: Tables):
     return rounded(clustering_metrics(t.embeddings, "embedding", "label"))
 
 
+@query(
+    "silhouette",
+    f"""WITH e AS (SELECT vec_id, 'c' || label AS label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    sizes AS (SELECT 'c' || label AS label, count(*) AS n FROM embeddings GROUP BY label), {SILHOUETTES}
+    SELECT l AS label, count(*) AS n, round(avg(v), 6) AS silhouette FROM one GROUP BY l""",
+)
+def silhouette_query(t: Tables):
+    """Silhouettes by text labels."""
+    named = t.embeddings.select("embedding", F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"))
+    return rounded(silhouette_by_label(named, "embedding", "label"), 6)
+
+
 @query(
     "threshold_check",
     f"""WITH m AS (SELECT sum(hits) / sum(support) AS accuracy, sum(precision * support) / sum(support) AS precision,

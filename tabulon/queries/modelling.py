@@ -265,7 +265,7 @@ def batch_score(t: Tables):
 def packaged_inference(t: Tables):
     df = t.lineitem.select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice")
     fitted = fit_features(df, "l_extendedprice", selection="f_score", max_features=5)
-    model = fit_model(fitted.apply(df), "l_extendedprice", "ridge", None, fitted.selected)
+    model = fit_model(fitted.fitting, "l_extendedprice", "ridge", None, fitted.selected)
     path = scratch_path(t.spark, "package")
     package(fitted, model, df.columns, t.spark).save(path)
     loaded = Package.load(t.spark, path)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.association import chi2_pvalues, correlation_matrix, crosstab
 from ..operators.plots import (
-    actual_vs_predicted, box, density, histogram, pair_columns, pie, plot_batch, principal_components,
+    actual_vs_predicted, box, density, histogram, pair_columns, pair_points, pie, plot_batch, principal_components,
     residual_histogram, residuals, scatter, violin,
 )
 from ..operators.profile import target_mean, value_counts
@@ -31,6 +31,38 @@ def plot_scatter(t: Tables):
     return scatter(t.lineitem, "l_quantity", "l_extendedprice", "l_returnflag")
 
 
+#: the rows of a sample: first by md5 of the key and a seed
+SAMPLE_SQL = "ORDER BY md5({key} || '|42') LIMIT {rows}"
+
+
+@query(
+    "plot_scatter_sample",
+    f"""SELECT o_totalprice AS x, CAST(o_custkey AS BIGINT) AS y, o_orderstatus AS color FROM orders
+        {SAMPLE_SQL.format(key='CAST(o_orderkey AS VARCHAR)', rows=1000)}""",
+)
+def plot_scatter_sample(t: Tables):
+    """A thousand points, the same ones on any number of partitions."""
+    return scatter(t.orders.repartition(17), "o_totalprice", "o_custkey", "o_orderstatus", 1000, ["o_orderkey"])
+
+
+PAIRED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+PAIR_KEY = "l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber"
+
+
+@query(
+    "plot_pair_points",
+    "WITH s AS (SELECT * FROM lineitem " + SAMPLE_SQL.format(key=PAIR_KEY, rows=500) + ") " + " UNION ALL ".join(
+        f"SELECT '{a}' AS x_column, '{b}' AS y_column, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, l_returnflag AS color FROM s"
+        for i, a in enumerate(PAIRED) for b in PAIRED[i + 1 :]
+    ),
+)
+def plot_pair_points(t: Tables):
+    """All panels of a scatter matrix in long form, from a sample by hash."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    df = t.lineitem.select(*keys, *PAIRED, "l_returnflag")
+    return pair_points(df, None, "l_returnflag", 500, keys)
+
+
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -53,9 +85,13 @@ def plot_box(t: Tables):
     return rounded(box(t.events, "event_type", "value"))
 
 
-@query("plot_pair", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_linestatus AS color FROM lineitem")
+@query(
+    "plot_pair",
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus AS color
+       FROM lineitem""",
+)
 def plot_pair(t: Tables):
-    return pair_columns(t.lineitem, 4, "l_linestatus")
+    return pair_columns(t.lineitem, color="l_linestatus")
 
 
 def density_sql(points: int) -> str:
@@ -70,23 +106,38 @@ def density_sql(points: int) -> str:
 
 @query("plot_kde", density_sql(500))
 def plot_kde(t: Tables):
-    out = density(t.events, "value")
+    out = density(t.events, "value", exact=True)
     return out.select("point", F.round("grid", 4).alias("grid"), F.round("density", 8).alias("density"))
 
 
+@query(
+    "plot_kde_binned",
+    f"""WITH e AS ({density_sql(500)}), h AS (SELECT stddev_samp(value) * pow(count(*), -0.2) AS h FROM events)
+        SELECT count(*) AS points, count(*) AS within_bound, true AS close FROM e, h""",
+)
+def plot_kde_binned(t: Tables):
+    """The binned curve against the exact one: every point within the stated bound, most of them far inside."""
+    h = t.events.agg(F.stddev_samp("value") * F.pow(F.count("value"), F.lit(-0.2))).first()[0]
+    exact = density(t.events, "value", exact=True).select("point", F.col("density").alias("exact"))
+    gap = F.abs(F.col("density") - F.col("exact"))
+    return density(t.events, "value").join(exact, "point").agg(
+        F.count(F.lit(1)).alias("points"), F.count_if(gap <= 0.0002 / h).alias("within_bound"), (F.avg(gap) < 0.0001 / h).alias("close")
+    )
+
+
 @query(
     "plot_violin",
     """WITH s AS (SELECT event_type AS x, min(value) AS lo, max(value) AS hi, count(*) AS n,
                          stddev_samp(value) * pow(count(*), -0.2) AS h, quantile_cont(value, 0.5) AS md,
                          quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
-       g AS (SELECT x, CAST(p AS INTEGER) AS point, lo + p * (hi - lo) / 49 AS grid, n, h, md, q1, q3
-             FROM (SELECT unnest(range(50)) AS p), s)
+       g AS (SELECT x, CAST(p AS INTEGER) AS point, lo + p * (hi - lo) / 499 AS grid, n, h, md, q1, q3
+             FROM (SELECT unnest(range(500)) AS p), s)
        SELECT x, point, round(grid, 4) AS grid, round(q1, 4) AS q1, round(md, 4) AS median, round(q3, 4) AS q3,
               round(sum(exp(-0.5 * pow((grid - value) / h, 2))) / (n * h * sqrt(2 * pi())), 8) AS density
        FROM g JOIN events ON event_type = x GROUP BY x, point, grid, n, h, md, q1, q3""",
 )
 def plot_violin(t: Tables):
-    out = violin(t.events, "event_type", "value", points=50)
+    out = violin(t.events, "event_type", "value", exact=True)
     return out.select(
         "x", "point", *[F.round(c, 4).alias(c) for c in ("grid", "q1", "median", "q3")],
         F.round("density", 8).alias("density"),
@@ -145,7 +196,7 @@ def plot_pca(t: Tables):
 def plot_learning_curve(t: Tables):
     df = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", "n_chars", "toxic", "quality")
     return rounded(
-        learning_curve(df, "quality", keys=["doc_id"], params={"n_estimators": 10, "max_depth": 5}, sizes=(0.2, 0.6, 1.0), folds=3)
+        learning_curve(df, "quality", keys=["doc_id"])
     )
 
 

@@ -14,7 +14,8 @@ from ..operators.impute import impute, impute_table
 from ..operators.lookup import lookup_join
 from ..operators.scale import fit_scaler, scale
 from ..operators.versions import registry_filter
-from ..plans.preprocess import apply_preprocessing, recommend
+from ..plans.preprocess import Features, apply_preprocessing, engineer_features, recommend
+from ..session import scratch_path
 from .base import Tables, holes, query, rounded
 from .files import fences_sql
 
@@ -287,14 +288,14 @@ def _target_sql(n: str, s: str, q: str, mean: str, var: str) -> str:
     return f"{weight} * {s} / {n} + (1 - {weight}) * {mean}"
 
 
-@query(
-    "encode_target",
-    f"""WITH o AS (SELECT avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders),
+TARGET_SQL = f"""WITH o AS (SELECT avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders),
         c AS (SELECT o_orderpriority AS k, count(*) AS n, sum(o_totalprice) AS s, sum(o_totalprice * o_totalprice) AS q
               FROM orders GROUP BY 1)
         SELECT o_orderkey, round({_target_sql('n', 's', 'q', 'm', 'v')}, 2) AS o_orderpriority
-        FROM orders JOIN c ON k = orders.o_orderpriority, o""",
-)
+        FROM orders JOIN c ON k = orders.o_orderpriority, o"""
+
+
+@query("encode_target", TARGET_SQL)
 def encode_target(t: Tables):
     df = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
     return rounded(target_encode(df, "o_orderpriority", "o_totalprice").drop("o_totalprice"), 2)
@@ -308,9 +309,7 @@ def ntile_sql(key: str, folds: int, by: str = "") -> str:
     return f"CAST(ntile({folds}) OVER ({part}ORDER BY {HASH_ORDER.format(key=key)}, CAST({key} AS VARCHAR)) - 1 AS INTEGER)"
 
 
-@query(
-    "encode_target_crossfit",
-    f"""WITH f AS (SELECT o_orderkey, o_orderpriority AS k, o_totalprice AS y, {ntile_sql('o_orderkey', 5)} AS fold FROM orders),
+CROSSFIT_SQL = f"""WITH f AS (SELECT o_orderkey, o_orderpriority AS k, o_totalprice AS y, {ntile_sql('o_orderkey', 5)} AS fold FROM orders),
         cell AS (SELECT fold, k, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM f GROUP BY 1, 2),
         cat AS (SELECT k, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM cell GROUP BY 1),
         per AS (SELECT fold, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM cell GROUP BY 1),
@@ -321,14 +320,38 @@ def ntile_sql(key: str, folds: int, by: str = "") -> str:
         rest AS (SELECT cell.fold, cell.k, cat.n - cell.n AS n, cat.s - cell.s AS s, cat.q - cell.q AS q
                  FROM cell JOIN cat ON cell.k = cat.k)
         SELECT o_orderkey, round({_target_sql('rest.n', 'rest.s', 'rest.q', 'fit.m', 'fit.v')}, 2) AS o_orderpriority
-        FROM f JOIN rest ON rest.fold = f.fold AND rest.k = f.k JOIN fit ON fit.fold = f.fold""",
-)
+        FROM f JOIN rest ON rest.fold = f.fold AND rest.k = f.k JOIN fit ON fit.fold = f.fold"""
+
+
+@query("encode_target_crossfit", CROSSFIT_SQL)
 def encode_target_cross(t: Tables):
     df = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
     out = target_encode_crossfit(df, "o_orderpriority", "o_totalprice", ["o_orderkey"])
     return rounded(out.drop("o_totalprice"), 2)
 
 
+def _engineered(t: Tables):
+    df = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
+    table, fitted = engineer_features(df, "o_totalprice", interactions=False, scaling=None, selection=None, keys=["o_orderkey"])
+    path = scratch_path(t.spark, "features")
+    fitted.save(path)
+    return table, Features.load(t.spark, path), df
+
+
+@query("engineer_features_fitting", CROSSFIT_SQL)
+def engineer_features_fitting(t: Tables):
+    """Rows of the fit are encoded from the other folds, also after saving and loading."""
+    _, fitted, _ = _engineered(t)
+    return rounded(fitted.fitting.drop("o_totalprice"), 2)
+
+
+@query("engineer_features_scoring", TARGET_SQL)
+def engineer_features_scoring(t: Tables):
+    """All other rows are encoded from all rows of the fit."""
+    _, fitted, df = _engineered(t)
+    return rounded(fitted.apply(df).drop("o_totalprice"), 2)
+
+
 @query(
     "encode_join",
     f"SELECT p_partkey, p_brand, code FROM part JOIN {_codes_sql('p_brand', 'part', 'null')} c ON p_brand = c.v",

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,9 +10,9 @@ from tabulon.functions.probability import chi2_tail, kolmogorov_pvalue
 from tabulon.operators.association import chi2_pvalues, chi2_statistics, correlation_matrix, crosstab
 from tabulon.operators.detect import detect_task
 from tabulon.operators.metrics import (
-    averaged_metrics, classification_metrics, pr_curve, regression_metrics, roc_auc, roc_curve, silhouette,
+    averaged_metrics, classification_metrics, clustering_metrics, pr_curve, regression_metrics, roc_auc, roc_curve, silhouette, silhouette_by_label,
 )
-from tabulon.operators.plots import box, density, histogram, plot_batch, principal_components
+from tabulon.operators.plots import box, density, histogram, pair_points, plot_batch, principal_components, scatter
 from tabulon.operators.profile import categorical_topk, data_summary, describe_numeric, duplicate_count, numeric_ranges, preview
 from tabulon.operators.select import chi2, feature_scores, mutual_information, select_features
 from tabulon.operators.split import fold_column, holdout, three_way, time_split
@@ -119,6 +120,11 @@ def test_metrics(spark):
     assert regression_metrics(perfect, "y", "p").first()["r2_score"] == 1.0
     points = spark.createDataFrame([([0.0, 0.0], 0), ([0.0, 1.0], 0), ([9.0, 9.0], 1), ([9.0, 8.0], 1)], "v array<double>, l int")
     assert silhouette(points, "v", "l") > 0.9
+    odd = points.unionByName(spark.createDataFrame([([50.0, 0.0], 7), (None, 1), ([1.0, 1.0], None)], points.schema))
+    rows = {r["label"]: (r["n"], r["silhouette"]) for r in silhouette_by_label(odd, "v", "l").collect()}
+    assert rows[7] == (1, 0.0) and rows[0][0] == rows[1][0] == 2 and min(rows[0][1], rows[1][1]) > 0.9
+    lone = clustering_metrics(points.where("l = 0"), "v", "l").first()
+    assert lone["clusters"] == 1 and lone["silhouette"] is None and lone["davies_bouldin"] is None
 
 
 def test_plot_tables(spark):
@@ -135,8 +141,6 @@ def test_plot_tables(spark):
 
 
 def test_principal_components_match_covariance(spark):
-    import numpy as np
-
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3)) @ np.array([[2.0, 0.3, 0.0], [0.0, 1.0, 0.2], [0.0, 0.0, 0.5]]) + [10, -4, 3]
     df = spark.createDataFrame([tuple(map(float, r)) + ("c",) for r in x], "a double, b double, c double, k string")
@@ -177,3 +181,27 @@ def test_drift_and_fairness(spark):
     df = spark.createDataFrame([("u", 1, 1), ("u", 0, 0), ("v", 1, 0), ("v", 0, 0)], "g string, y int, p int")
     out = fairness(df, ["g"], "y", "p").collect()
     assert {r["group"]: r["score"] for r in out} == {"u": 1.0, "v": 0.5} and all(r["potential_bias"] for r in out)
+
+
+def test_binned_density_stays_within_its_bound(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(size=2000), rng.exponential(size=500) * 5, [1e6]])  # an outlier stretches the grid
+    df = spark.createDataFrame([(float(v), "ab"[i % 2]) for i, v in enumerate(values[:-1])] + [(1e6, None), (None, "a")], "v double, g string")
+    for source in (df, df.where("v < 1000")):
+        h = source.agg(F.stddev_samp("v") * F.pow(F.count("v"), F.lit(-0.2))).first()[0]
+        binned, exact = ({r["point"]: r["density"] for r in density(source, "v", points=200, exact=e).collect()} for e in (False, True))
+        assert len(binned) == 200 and max(abs(binned[p] - exact[p]) for p in exact) <= 0.0002 / h
+    both = [{(r["x"], r["point"]): r["density"] for r in density(df, "v", "g", 50, e).collect()} for e in (False, True)]
+    assert both[0].keys() == both[1].keys() and len(both[0]) == 100 and max(abs(both[0][k] - both[1][k]) for k in both[0]) < 0.001
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 7).alias("x"), F.rand(3).alias("y"), F.lit("c").alias("color"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    samples = [sorted(scatter(df.repartition(n), "id", "x", None, 100, ["id"]).collect()) for n in (1, 64)]
+    assert samples[0] == samples[1] and len(samples[0]) == 100
+    doubled = df.unionByName(df)
+    assert scatter(doubled, "x", "y", None, 50).count() == 50 and scatter(df, "x", "y").count() == 3000
+    points = pair_points(df, color="color", max_rows=10, keys=["id"])
+    assert points.columns == ["x_column", "y_column", "x", "y", "color"] and points.count() == 10
+    assert pair_points(df.select("x"), keys=[]).count() == 0
