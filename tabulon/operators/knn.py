@@ -1,6 +1,7 @@
 """Exact nearest neighbours.
 
-A reference that fits a checked size is broadcast and scanned in numpy blocks. A larger one is cut into
+A reference that fits a checked size is broadcast and scanned in numpy blocks. A larger one of many
+dimensions, where every cell would be visited, goes through a join of blocks; one of few is cut into
 cells around pivots; the triangle inequality tells each query which cells can hold one of its
 neighbours, and only those are visited. Cells are split into chunks and their queries into blocks, so
 every task sees a bounded piece however crowded a cell is. Copies of one vector are reduced to the k
@@ -27,6 +28,8 @@ CHUNK_ROWS = 2048
 BLOCK_ROWS = 4096
 SALTS = 64
 SLACK = 1e-9
+#: Dimensions from which on cells can't be left out.
+CELL_DIMS = 16
 
 
 def _nearest(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +117,12 @@ def knn_join(
     n, dims = ref.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     if n * (dims + 2) * 8 <= broadcast_bytes:
         found = _broadcast_join(q, ref, wanted)
-    else:
+    elif dims <= CELL_DIMS:
         found = _cell_join(q, ref, n, wanted, pivots, chunk_rows, block_rows)
+    else:
+        from .knn_blocks import block_join
+
+        found = block_join(q, _first_copies(ref, wanted), wanted, chunk_rows, block_rows)
     if exclude_self:
         found = found.where(F.col("q") != F.col("r"))
     best = _best(found, k)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.knn import knn_join
+from ..operators.knn_blocks import approximate_knn_join
 from ..operators.metrics import (
     averaged_metrics, classification_metrics, classification_report, clustering_metrics, confusion_matrix, log_loss,
     mape, pr_curve, prediction_statistics, regression_metrics, roc_auc, roc_curve, silhouette_by_label, threshold_optimize,
@@ -380,3 +381,21 @@ SELECT query_id, neighbour_id, round(d, 5) AS distance, rank, label FROM (
 def knn_query(t: Tables):
     found = knn_join(t.embeddings, t.embeddings, "vec_id", "vec_id", "embedding", 5, "label", exclude_self=True)
     return rounded(found.withColumn("label", F.col("label").cast("int")), 5)
+
+
+@query("knn_join_blocks", KNN_SQL)
+def knn_blocks_query(t: Tables):
+    """The join of a reference that is too large for a broadcast, in many dimensions."""
+    found = knn_join(t.embeddings, t.embeddings, "vec_id", "vec_id", "embedding", 5, "label", exclude_self=True, broadcast_bytes=0)
+    return rounded(found.withColumn("label", F.col("label").cast("int")), 5)
+
+
+@query("knn_join_approximate")
+def knn_approximate_query(t: Tables):
+    """How many of the exact neighbours the hashed join finds, over all rows."""
+    found, report = approximate_knn_join(t.embeddings, t.embeddings, "vec_id", "vec_id", "embedding", 5, exclude_self=True)
+    exact = knn_join(t.embeddings, t.embeddings, "vec_id", "vec_id", "embedding", 5, exclude_self=True)
+    both = exact.join(found.select("query_id", "neighbour_id", F.lit(1).alias("hit")), ["query_id", "neighbour_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall")).withColumns(
+        {"sample_recall": F.lit(round(report["recall"], 4)), "reached": F.col("recall") >= 0.9, "projections": F.lit(report["projections"]), "tables": F.lit(report["tables"])}
+    )
