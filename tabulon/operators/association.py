@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import col, double, literal, missing, numeric_columns, require, require_numeric, text_columns
+from ..functions.cells import pair_cells
+from ..functions.columns import col, double, missing, numeric_columns, require, require_numeric, text_columns
 from ..functions.probability import chi2_pvalue
 from ..session import freeze
-from .encode import categories
 
 MAX_LEVELS = 1000
 
@@ -50,38 +49,31 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, batc
 def crosstab(df: DataFrame, x: str, y: str, limit: int = MAX_LEVELS) -> DataFrame:
     """(x, y, count), zero-filled over all level combinations; null keys left out.
 
-    Levels of y become conditional sums, so no product of the two level sets is ever formed.
+    One aggregate counts the pairs that occur; the levels come from it, and the others are zero.
     """
     require(df, x, y)
     present = df.where(~missing(df, x) & ~missing(df, y))
-    levels = categories(present, y, limit)
-    dtype = df.schema[y].dataType
-    counts = [F.count_if(col(y) == F.expr(literal(v)).cast(dtype)).alias(f"c{i}") for i, v in enumerate(levels)]
-    if not levels:
-        return present.select(col(x).alias("x"), col(y).alias("y"), F.lit(0).cast("long").alias("count"))
-    wide = present.groupBy(col(x).alias("x")).agg(*counts)
-    cells = [F.struct(F.expr(literal(v)).cast(dtype).alias("y"), F.col(f"c{i}").alias("count")) for i, v in enumerate(levels)]
-    return wide.select("x", F.explode(F.array(*cells)).alias("p")).select("x", "p.*")
+    counts = freeze(present.groupBy(col(x).alias("x"), col(y).alias("y")).agg(F.count(F.lit(1)).alias("count")), "pairs")
+    levels = [r["y"] for r in counts.select("y").distinct().limit(limit + 1).collect()]
+    if len(levels) > limit:
+        raise ValueError(f"column {y} has more than {limit} categories")
+    kind = counts.schema["y"].dataType
+    every = F.array(*[F.lit(v).cast(kind) for v in levels]).cast(T.ArrayType(kind))
+    full = counts.select("x").distinct().select("x", F.explode(every).alias("y"))
+    return full.join(counts, ["x", "y"], "left").select("x", "y", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
 
 
 def chi2_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(x, y, chi2, dof) per ordered pair of distinct text columns, Yates-corrected for one degree of freedom.
 
-    All pairs are counted from one scan: each row adds one cell per pair and equal cells combine
-    before the shuffle. An empty cell contributes its expectation, so none has to be written out.
+    All pairs are counted from one scan: each batch of rows combines its equal cells, and only those are shuffled. An
+    empty cell contributes its expectation, so none has to be written out.
     """
     columns = text_columns(df) if columns is None else list(columns)
     require(df, *columns)
     if len(columns) < 2:
         raise ValueError("chi-square needs at least 2 categorical columns")
-    pairs = list(combinations(columns, 2))
-    cell = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), col(a).alias("u"), col(b).alias("v")) for a, b in pairs
-    ]
-    cells = (
-        df.select(F.explode(F.array(*cell)).alias("p")).select("p.*").where("u IS NOT NULL AND v IS NOT NULL")
-        .groupBy("x", "y", "u", "v").agg(F.count(F.lit(1)).cast("double").alias("o"))
-    )
+    cells = pair_cells(df, columns).withColumn("o", F.col("o").cast("double"))
     cells = freeze(cells, "cells")  # the counts are read four times, the table once
     rows = cells.groupBy("x", "y", "u").agg(F.sum("o").alias("r"))
     cols = cells.groupBy("x", "y", "v").agg(F.sum("o").alias("c"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cells import distinct_cells
 from ..functions.columns import col, double, literal, quoted, require, require_numeric, text_columns
 from ..functions.projection import Projection
 from ..session import freeze
@@ -69,8 +70,20 @@ def ordinal_encode(df: DataFrame, column: str, codes: DataFrame | None = None) -
 
 
 def label_encode_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    for c in text_columns(df) if columns is None else columns:
-        df = label_encode(df, c)
+    """Codes of several columns by sorted text, from one pass over their distinct values; null is the category "nan"."""
+    columns = text_columns(df) if columns is None else list(columns)
+    require(df, *columns)
+    if not columns:
+        return df
+    texts = df.select(*[F.coalesce(col(c).cast("string"), F.lit("nan")).alias(f"v{i}") for i, c in enumerate(columns)])
+    values = freeze(distinct_cells(texts, texts.columns), "values")
+    order = [F.col("c"), F.col("value")]
+    places = row_numbers(values, order, "place")
+    first = places.groupBy("c").agg(F.min("place").alias("first"))  # one row for each column
+    codes = freeze(places.join(F.broadcast(first), "c").select("c", "value", (F.col("place") - F.col("first")).cast("long").alias("__code")), "codes")
+    for i, c in enumerate(columns):
+        own = codes.where(F.col("c") == i).select(F.col("value").alias(c), "__code")
+        df = _coded(df, c, F.coalesce(col(c).cast("string"), F.lit("nan")), own, None)
     return df
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.cells import cell_text, distinct_cells
 from ..functions.columns import (
     col, double, missing, numeric_columns, present, require, require_numeric, text_columns,
 )
@@ -105,11 +106,27 @@ def categorical_topk(df: DataFrame, columns: Sequence[str] | None = None, k: int
 
 
 def nunique(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, distinct_values), nulls not counted."""
+    """(column, distinct_values), nulls not counted; each batch sends its distinct values only."""
     columns = list(df.columns) if columns is None else list(columns)
     require(df, *columns)
-    row = df.agg(*[F.countDistinct(present(df, c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    return unpivot_row(row, [(c, f"c{i}") for i, c in enumerate(columns)], value="distinct_values")
+    found = distinct_cells(df, columns).groupBy("c").agg(F.count(F.lit(1)).alias("distinct_values"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "c int, column string")
+    return names.join(found, "c", "left").select("column", F.coalesce("distinct_values", F.lit(0).cast("long")).alias("distinct_values"))
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str] | None = None, bits: int = 14) -> DataFrame:
+    """(column, sketch): a mergeable sketch of each column's distinct values, to be stored beside a snapshot."""
+    columns = list(df.columns) if columns is None else list(columns)
+    require(df, *columns)
+    row = df.agg(*[F.hll_sketch_agg(cell_text(df, c), F.lit(bits)).alias(f"s{i}") for i, c in enumerate(columns)])
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(columns)]
+    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def merged_distinct(sketches: DataFrame) -> DataFrame:
+    """(column, distinct_values): estimates over all tables whose sketches are in (column, sketch), within 2 %."""
+    merged = sketches.groupBy("column").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("column", F.hll_sketch_estimate("sketch").alias("distinct_values"))
 
 
 def data_summary(df: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def _by_type(base: DataFrame, n: int) -> list[list[int]]:
     return list(kinds.values())
 
 
-def _counted(base: DataFrame, groups: list[str], columns: list[int]) -> DataFrame:
+def counted_cells(base: DataFrame, groups: list[str], columns: list[int]) -> DataFrame:
     """(groups..., c column, v value, n): every present cell, equal ones counted together before anything is shuffled.
 
     Without groups each batch of rows is counted on its own, so that a value comes up once a batch; with groups, or for
@@ -137,7 +137,7 @@ def _picked(
 ) -> dict[tuple, dict[int, object]]:
     """{(group..., column): {rank: value}}; ``ranges`` is None for an input that needs none."""
     spark = base.sparkSession
-    counts, keys = _counted(base, groups, columns), [*groups, "c"]
+    counts, keys = counted_cells(base, groups, columns), [*groups, "c"]
     if ranges is None:
         counts = counts.withColumn("part", F.lit(0))
         wanted = [(0, *key, 0, own) for key, own in ranks.items()]

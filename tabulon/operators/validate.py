@@ -11,6 +11,7 @@ from ..functions.probability import kolmogorov_pvalue
 from .metrics import classification_metrics, regression_metrics
 from ..session import freeze
 from .ordered import running_sums
+from .quantiles import counted_cells
 
 MAX_GROUP_VALUES = 10
 BIAS_GAP = 0.1
@@ -46,13 +47,14 @@ def drift_ks(
         raise ValueError("no shared numeric column")
 
     def cells(df: DataFrame, first: int) -> DataFrame:
-        parts = [F.struct(F.lit(c).alias("column"), double(df, c).alias("value")) for c in columns]
-        flat = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("value IS NOT NULL")
-        return flat.withColumns({"a": F.lit(first).cast("long"), "b": F.lit(1 - first).cast("long")})
-
-    counts = cells(reference, 1).unionByName(cells(new, 0)).groupBy("column", "value").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b")
-    )
+        base = df.select(*[double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+        met = counted_cells(base, [], list(range(len(columns))))  # equal cells of a batch count together
+        n, zero = F.col("n"), F.lit(0).cast("long")
+        return met.select("c", F.col("v").alias("value"), (n if first else zero).alias("a"), (zero if first else n).alias("b"))
+
+    names = F.array(*[F.lit(c) for c in columns])
+    counts = cells(reference, 1).unionByName(cells(new, 0)).groupBy("c", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = counts.select(names[F.col("c")].alias("column"), "value", "a", "b")
     counts = freeze(counts, "counts")
     running = running_sums(counts, [F.asc("value")], {"ca": "a", "cb": "b"}, ["column"], frozen=True, **options)
     totals = counts.groupBy("column").agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
@@ -114,8 +116,8 @@ def fairness(
 ) -> DataFrame:
     """(feature, group, score, difference, potential_bias) for sensitive features of at most ten values.
 
-    The score is accuracy when the label has at most ten values, R2 otherwise. All features and groups
-    come from one aggregation.
+    The score is accuracy when the label has at most ten values, R2 otherwise. All features and groups come from one
+    aggregation. A feature of one group or of more than ten has one row, whose group is "skipped".
     """
     require(df, label, prediction, *features)
     if not features:
@@ -134,10 +136,16 @@ def fairness(
     # groups of a feature are few once checked, so the summary per feature is small
     summary = scores.groupBy("feature").agg(
         F.count(F.lit(1)).alias("groups"), (F.max("score") - F.min("score")).alias("difference")
-    ).where((F.col("groups") <= MAX_GROUP_VALUES) & (F.col("groups") > 1))
-    return scores.join(F.broadcast(summary), "feature").select(
+    )
+    fit = (F.col("groups") <= MAX_GROUP_VALUES) & (F.col("groups") > 1)
+    judged = scores.join(F.broadcast(summary.where(fit)), "feature").select(
         "feature", "group", "score", "difference", (F.col("difference") > limit).alias("potential_bias")
     )
+    skipped = summary.where(~fit).select(
+        "feature", F.lit("skipped").alias("group"), F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("double").alias("difference"), F.lit(None).cast("boolean").alias("potential_bias"),
+    )
+    return judged.unionByName(skipped)
 
 
 def validation_report(

@@ -33,9 +33,9 @@ def scan_json(t: Tables):
     return _round_trip(t, t.part, "json")
 
 
-@query("sink_csv", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("sink_csv", "SELECT event_id, user_id, ts, event_type, value, props FROM events")
 def sink_csv(t: Tables):
-    return _round_trip(t, t.events.drop("ts"), "csv")
+    return _round_trip(t, t.events, "csv")
 
 
 @query(

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from ..operators.association import chi2_pvalues, chi2_statistics, correlation_matrix, crosstab
 from ..operators.metrics import ecdf
 from ..operators.profile import (
-    categorical_topk, data_summary, describe_numeric, duplicate_count, iqr_outlier_pct, null_counts, numeric_ranges,
-    nunique, shape, target_mean, top_values, value_counts, version_statistics,
+    categorical_topk, data_summary, describe_numeric, distinct_sketches, duplicate_count, iqr_outlier_pct,
+    merged_distinct, null_counts, numeric_ranges, nunique, shape, target_mean, top_values, value_counts,
+    version_statistics,
 )
 from ..operators.quantiles import order_statistics
 from ..operators.requests import request_assessment, request_endpoint_stats, request_error_counts, request_log_stats
+from ..session import scratch_path
 from .base import Tables, holes, query, rounded
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -353,3 +355,18 @@ def order_statistics_query(t: Tables):
         (flag, p, per["whole"][1][j], per["exact"][1][j]) for (flag,), per in found.items() for j, p in enumerate((0, 25, 50, 75, 100))
     ]
     return t.spark.createDataFrame(rows, "l_returnflag string, place int, whole long, exact decimal(18,4)")
+
+
+@query(
+    "nunique_sketch",
+    """SELECT 'l_partkey' AS "column", count(DISTINCT l_partkey) AS distinct_values, true AS within FROM lineitem
+       UNION ALL SELECT 'l_extendedprice', count(DISTINCT l_extendedprice), true FROM lineitem""",
+)
+def nunique_sketch(t: Tables):
+    """Sketches of two halves of a table, stored and merged, against the exact counts."""
+    columns, path = ["l_partkey", "l_extendedprice"], scratch_path(t.spark, "sketches")
+    for half in (0, 1):
+        distinct_sketches(t.lineitem.where(F.col("l_orderkey") % 2 == half), columns).write.mode("append").parquet(path)
+    guessed = merged_distinct(t.spark.read.parquet(path)).select("column", F.col("distinct_values").alias("guess"))
+    near = F.abs(F.col("guess") - F.col("distinct_values")) <= 0.02 * F.col("distinct_values")
+    return nunique(t.lineitem, columns).join(guessed, "column").select("column", "distinct_values", near.alias("within"))

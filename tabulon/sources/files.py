@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.columns import col
 
 FORMATS = ("csv", "json", "parquet")
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def format_of(path: str, fmt: str | None = None) -> str:
@@ -38,7 +39,8 @@ def read_table(
 def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists") -> None:
     """Write CSV (with header), JSON lines or Parquet; every task writes its own part."""
     fmt = format_of(path, fmt)
-    writer = df.write.mode(mode)
+    # all digits of a time, which the default formats cut to milliseconds
+    writer = df.write.mode(mode).option("timestampNTZFormat", MICROS).option("timestampFormat", MICROS + "[XXX]")
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
