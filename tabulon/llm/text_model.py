@@ -18,8 +18,8 @@ BUCKETS = 1 << BUCKET_BITS
 FEATURES = BUCKETS + 256
 
 
-def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(counts by feature, number of words between white space) of each text."""
+def text_counts(texts: pa.Array) -> np.ndarray:
+    """Counts by feature of each text."""
     n = len(texts)
     words = words_of(texts, lower=True, separators=PUNCTUATION)
     place = words.owners() * FEATURES + (words.codes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -28,7 +28,12 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = np.searchsorted(offsets, marks, "right") - 1
     place = np.concatenate([place, owner * FEATURES + BUCKETS + data[marks]])
     counts = np.bincount(place, minlength=n * FEATURES).reshape(n, FEATURES)
-    return counts.astype(np.float32), words_of(texts).counts
+    return counts.astype(np.float32)
+
+
+def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(counts by feature, number of words between white space) of each text."""
+    return text_counts(texts), words_of(texts).counts
 
 
 @dataclass

@@ -4,16 +4,18 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulon.llm import mixing as mixing_module
+from tabulon.llm import mixing as mixing_module, quality
 from tabulon.llm.mixing import mix, mixed_documents
 from tabulon.llm.near_duplicates import near_duplicates
 from tabulon.llm.quality import quality_scores
 from tabulon.llm.queries import QUERIES
 from tabulon.llm.simple8b import pack_block, read_ids, unpack
+from tabulon.llm.text_model import FEATURES, TextModel
 from tabulon.llm.tokens import ChunkEncoder, tokenize_documents
 from tabulon.llm.topk import exact_topk
 from tabulon.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity, Scanner
@@ -113,6 +115,42 @@ def test_quality(spark, documents, nothing, texts):
     assert np.mean([(r.score >= 0.5) == (r.doc_id >= 300) for r in held]) >= 0.95
     assert quality_scores(nothing, labels).collect() == []
     assert quality_scores(documents, labels.limit(0)).count() == len(texts) + 2
+    none = {r.doc_id: r.score for r in quality_scores(frame, labels, rounds=0).collect() if r.doc_id is not None}
+    order = lambda scores: quality.area(np.array([scores[r.doc_id] for r in held]), np.array([r.doc_id >= 300 for r in held]))
+    assert order({r.doc_id: r.score for r in held}) >= order(none)
+
+
+def test_views_learn_from_all_unlabelled_documents(spark, documents):
+    rows = quality.views(documents).select("text", "page")
+    rng = np.random.default_rng(4)
+    text = TextModel(rng.normal(size=(2, FEATURES)), np.zeros(2))
+    page = quality.PageModel(rng.normal(size=quality.PAGES), 0.1)
+    calibration = [np.array([2.0, 0.0]), np.array([3.0, 0.1])]
+    whole = pa.RecordBatch.from_pylist([r.asDict() for r in rows.collect()], pa.schema([("text", pa.string()), ("page", pa.list_(pa.int32()))]))
+    counts, places, *odds = quality.step_odds(whole, text, page)
+    own = quality.ranks(odds, calibration)
+    limits = quality.surest(rows, text, page, calibration, 0.2)
+    for (low, high), held in zip(limits, own, strict=True):
+        assert low <= -1 and high >= 1
+        for inside, further in ((held <= low, held < low), (held >= high, held > high)):
+            assert further.sum() < 0.2 * len(held)  # the last rank goes in whole
+        for sign, inside in ((-1, held <= low), (1, held >= high)):
+            assert inside.sum() >= 0.2 * len(held) or (inside == (held * sign > 0)).all()  # all sure ones, where they are few
+    told = lambda step: (*quality.step_odds(step, text, page)[:2], *[(o > 0).astype(int) for o in quality.step_odds(step, text, page)[2:]])
+    said, placed = quality.count_views(rows, told)
+    for k in range(2):
+        mine = counts[(odds[0] > 0) == k].astype(float)
+        mine /= np.sqrt(np.maximum(1, mine.sum(axis=1, keepdims=True)))
+        assert np.allclose(said.features[k], mine.sum(axis=0), atol=1e-3) and said.documents[k] == len(mine)
+        assert (placed.features[k] == np.bincount(places[(odds[1] > 0) == k].ravel(), minlength=quality.PAGES)).all()
+    assert said.documents.sum() == placed.documents.sum() == rows.count()
+
+
+def test_area_counts_ordered_pairs():
+    rng = np.random.default_rng(5)
+    odds, good = rng.integers(0, 9, 60).astype(float), rng.random(60) < 0.4
+    pairs = [(a > b) + 0.5 * (a == b) for a in odds[good] for b in odds[~good]]
+    assert abs(quality.area(odds, good) - np.mean(pairs)) < 1e-12 and quality.area(odds, good | True) == 0.0
 
 
 def test_mixing(spark, documents, nothing, texts):
