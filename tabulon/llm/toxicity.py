@@ -2,12 +2,14 @@
 
 The insult lexicon is induced from labelled rows: word beginnings and whole words that toxic texts share and clean texts
 don't, kept where their tail probability survives the number of candidates. Texts are scanned for the lexicon; only
-clauses with a match go through the grammar, which marks insults and threats as targeted, negated or reported. A ridge
-logistic regression towards stated priors weighs the marks.
+clauses with a match go through the grammar, which marks insults and threats as targeted, negated or reported. The arc
+weights of the grammar are learnt by a logistic regression held towards stated priors: a match counts with its evidence times
+the weight of its path, and neither a negation nor reported speech ever raises a path's weight.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -33,14 +35,22 @@ INSULTS = "idiot idiots stupid moron morons loser losers scum trash garbage wort
 LISTED = 3.0
 #: Texts that a piece has to stand in to be tested, and the share of them that has to be toxic.
 LEAST_TEXTS, LEAST_SHARE = 4, 0.8
-#: What the weights are before any label is seen, per unit of evidence.
-PRIOR = {"insult": 1.0, "threat": 1.0, "target": 0.2, "negation": -0.4, "reported_speech": -0.4}
-BIAS = -3.0
-#: Labelled rows that the fit may read, and entries of the lexicon; both bounds hold at every size.
-FIT_ROWS, LEXICON = 20_000, 4_096
+#: What the arc weights are before any label is seen; a path's weight is their sum, and nothing below zero.
+PRIOR = {"insult": 1.0, "threat": 1.0, "target": 0.2, "negation": -0.8, "reported_speech": -0.6}
+#: How firmly arc weights, slope and bias are held there; the insult's arc is the unit of all others.
+HOLD = np.array([1e9, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0])
+#: Log-odds without a match, and what the logarithm of one and all weighted evidence adds, before any label is seen.
+BIAS, SLOPE = -3.0, 2.0
+#: Marks of a match: insult or threat, then targeted, negated, reported; and the arcs of each.
+MARKS = [(kind, *(m for m, on in zip("tnr", bits) if on)) for kind in (INSULT, THREAT) for bits in itertools.product((0, 1), repeat=3)]
+ARCS = np.array([[INSULT in m, THREAT in m, "t" in m, "n" in m, "r" in m] for m in MARKS], dtype=float)
+PLACES = {frozenset(m): k for k, m in enumerate(MARKS)}
+#: Labelled rows that the fit may read; the bound holds at every size.
+FIT_ROWS = 20_000
 STEM = range(3, 11)
 WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+(?:'[a-z]+)?")
-CLAUSE_END = ".!?;\n"
+CLAUSE_ENDS = ".!?;\n"
+CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 
 
 @dataclass
@@ -48,6 +58,11 @@ class ToxicityModel:
     stems: dict[str, float]  # word beginning, or a whole word ended by "$", and its evidence
     weights: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
     bias: float = BIAS
+    slope: float = SLOPE
+
+    def score(self, evidence: float) -> float:
+        """From the weighted evidence of all matches, 0 to 1."""
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.bias + self.slope * math.log1p(evidence)))))
 
 
 def pieces(text: str) -> set[str]:
@@ -89,11 +104,12 @@ def shingle_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """One row of each group of copies or near copies, so that no text votes twice: rows that share a shingle minimum."""
+    """One row of each group of copies or near copies, so that no text votes twice: rows of one label that share two minima."""
     rows = rows.mapInArrow(shingle_minima, "doc_id long, text string, label int, " + ", ".join(f"{n} long" for n in MINIMA))
-    for name in MINIMA:
-        rows = rows.groupBy(name).agg(F.min(F.struct("doc_id", "text", "label", *[n for n in MINIMA if n > name])).alias("r")).select("r.*")
-    return rows
+    for pair in itertools.combinations(MINIMA, 2):
+        others = [n for n in MINIMA if n not in pair]
+        rows = rows.groupBy("label", *pair).agg(F.min(F.struct("doc_id", "text", *others)).alias("r")).select("label", *pair, "r.*")
+    return rows.select("doc_id", "text", "label")
 
 
 def induce(rows: DataFrame) -> dict[str, float]:
@@ -111,26 +127,24 @@ def induce(rows: DataFrame) -> dict[str, float]:
     gain = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     evidence = (F.col("toxic") + F.col("clean")) * gain
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n - n_toxic + 1.0))
-    strong = (
+    strong = freeze(
         counts.where((share > base) & (share >= LEAST_SHARE)).where(evidence > math.log(2.0 * max(1, tested)))
-        .select("piece", "toxic", odds.alias("odds")).orderBy(F.desc("toxic"), F.desc(F.length("piece")), "piece").limit(LEXICON)
+        .select("piece", "toxic", odds.alias("odds")), "strong-pieces",
     )
-    rows = strong.collect()  # at most LEXICON
-    inside: Counter = Counter()  # most texts of a longer candidate, by its beginnings
-    for row in rows:
-        for k in STEM:
-            if k < len(row.piece):
-                inside[row.piece[:k]] = max(inside[row.piece[:k]], row.toxic)
+    beginnings = lambda most: F.transform(F.sequence(F.lit(STEM[0]), F.greatest(F.lit(STEM[0]), most)), lambda k: F.substring("piece", F.lit(1), k))
+    plain = F.least(F.lit(STEM[-1]), F.length(F.rtrim(F.col("piece"), F.lit("$"))))
+    begun = strong.select("toxic", "piece", F.explode(F.array_distinct(beginnings(F.least(plain, F.length("piece") - 1)))).alias("start"))
+    begun = begun.where("start <> piece")
+    inside = begun.groupBy(F.col("start").alias("piece")).agg(F.max("toxic").alias("inside"))
+    told = strong.join(inside, "piece", "left").where(F.coalesce("inside", F.lit(0)) < LEAST_SHARE * F.col("toxic"))  # else a longer piece says as much
+    told = freeze(told.select("piece", "odds"), "told-pieces")
+    covered = begun.join(told.select(F.col("piece").alias("start")), "start", "left_semi").select("piece")
+    rows = told.join(covered, "piece", "left_anti").orderBy("piece").collect()  # none begins another; all from FIT_ROWS texts
     listed = {f"{w}$": (0, 0) for w in INSULTS} | {
         r.piece: (r.toxic, r.clean) for r in counts.where(F.col("piece").isin([f"{w}$" for w in INSULTS])).collect()
     }
     stems = {w: LISTED for w, (toxic, clean) in listed.items() if toxic >= clean}
-    for row in sorted(rows, key=lambda r: (len(r.piece), r.piece)):
-        plain = row.piece.rstrip("$")
-        covered = any(plain[:k] in stems for k in STEM if k <= len(plain))
-        if not covered and inside[row.piece] < LEAST_SHARE * row.toxic:  # else a longer piece says as much
-            stems[row.piece] = max(row.odds, stems.get(row.piece, 0.0))
-    return stems
+    return stems | {r.piece: max(r.odds, stems.get(r.piece, 0.0)) for r in rows}
 
 
 class Scanner:
@@ -156,14 +170,14 @@ class Scanner:
     def clauses(self, text: str) -> list[tuple[str, list[tuple[int, str, float]], list[float]]]:
         """(clause, hits, evidence of each hit) of every clause with a match."""
         low = text.lower()
-        found, done = [], -1
+        found, done = [], 0
         for end, piece in self.automaton.iter(low):
             start = end - len(piece) + 1
             if start < done or (start and WORD.fullmatch(low[start - 1])):
                 continue
-            begin = max(low.rfind(c, 0, start) for c in CLAUSE_END) + 1
-            stops = [at for c in CLAUSE_END if (at := low.find(c, end)) >= 0]
-            done = min(stops, default=len(low))
+            begin = max(done, max(low.rfind(c, done, start) for c in CLAUSE_ENDS) + 1)
+            stop = CLAUSE_END.search(low, end)
+            done = stop.start() if stop else len(low)
             clause = low[begin:done]
             words = WORD.findall(clause)
             each = [self.evidence(w) for w in words]
@@ -172,16 +186,18 @@ class Scanner:
                 found.append((clause, hits, [each[place] or 1.0 for place, _, _ in hits]))
         return found
 
-    def features(self, text: str | None) -> tuple[list[float], int]:
-        """Evidence by mark, on a log scale, and the number of matched clauses."""
-        sums = dict.fromkeys(PRIOR, 0.0)
+    def total(self, text: str | None) -> tuple[float, int]:
+        """Evidence of all matches times the weights of their paths, and the number of matched clauses."""
         clauses = self.clauses(text) if text else []
-        for _, hits, each in clauses:
+        return sum(x * max(0.0, weight) for _, hits, each in clauses for (_, _, weight), x in zip(hits, each, strict=True)), len(clauses)
+
+    def features(self, text: str | None) -> list[float]:
+        """Evidence by marks."""
+        sums = [0.0] * len(MARKS)
+        for _, hits, each in self.clauses(text) if text else []:
             for (_, marks, _), evidence in zip(hits, each, strict=True):
-                sums["insult" if marks[0] == INSULT else "threat"] += evidence
-                for mark, name in (("t", "target"), ("n", "negation"), ("r", "reported_speech")):
-                    sums[name] += evidence * (mark in marks[1:])
-        return [math.log1p(x) for x in sums.values()], len(clauses)
+                sums[PLACES[frozenset(marks)]] += evidence
+        return sums
 
 
 def scanner(model: ToxicityModel) -> Scanner:
@@ -192,18 +208,36 @@ def scanner(model: ToxicityModel) -> Scanner:
     return state["scanner"]
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps, held towards the priors."""
-    prior = np.array([*PRIOR.values(), BIAS])
-    x, beta = np.column_stack([x, np.ones(len(x))]), prior.copy()
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (p - y) + ridge * (beta - prior)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), grad)
-        beta = beta - step
-        if np.abs(step).max() < 1e-8:
+def fit_weights(evidence: np.ndarray, y: np.ndarray) -> tuple[dict[str, float], float, float]:
+    """Arc weights, slope and bias by projected Gauss-Newton steps, held towards the priors and on their side of zero."""
+    prior = np.array([*PRIOR.values(), SLOPE, BIAS])
+    signs = np.sign(prior[:-1])
+
+    def held(beta: np.ndarray) -> np.ndarray:
+        return np.append(np.where(beta[:-1] * signs < 0, 0.0, beta[:-1]), beta[-1])
+
+    def state(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        path = ARCS @ beta[:5]
+        total = evidence @ np.maximum(0.0, path)
+        z = np.clip(beta[6] + beta[5] * np.log1p(total), -30, 30)
+        slopes = (evidence @ (ARCS * (path > 0)[:, None])) * (beta[5] / (1 + total))[:, None]
+        loss = np.logaddexp(0, z).sum() - (y * z).sum() + (HOLD * (beta - prior) ** 2).sum() / 2
+        return float(loss), z, np.column_stack([slopes, np.log1p(total), np.ones(len(y))])
+
+    beta = prior.copy()
+    loss, z, slopes = state(beta)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-z))
+        step = np.linalg.solve((slopes * (p * (1 - p))[:, None]).T @ slopes + np.diag(HOLD), slopes.T @ (p - y) + HOLD * (beta - prior))
+        for length in 0.5 ** np.arange(12):
+            tried = held(beta - length * step)
+            better = state(tried)
+            if better[0] < loss:
+                break
+        if not better[0] < loss - 1e-9:
             break
-    return beta[:-1], float(beta[-1])
+        beta, (loss, z, slopes) = tried, better
+    return dict(zip(PRIOR, map(float, beta[:5]), strict=True)), float(beta[5]), float(beta[6])
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -226,12 +260,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_RO
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = scanner(model)
         for batch in batches:
-            yield pd.DataFrame({"x": [own.features(t)[0] for t in batch["text"]], "y": batch["label"].astype(float)})
+            yield pd.DataFrame({"x": [own.features(t) for t in batch["text"]], "y": batch["label"].astype(float)})
 
     sample = rows.mapInPandas(features, "x array<double>, y double").collect()  # at most fit_rows short rows
     if len({r.y for r in sample}) == 2:
-        weights, model.bias = fit_weights(np.array([r.x for r in sample]), np.array([r.y for r in sample]))
-        model.weights = dict(zip(PRIOR, map(float, weights), strict=True))
+        model.weights, model.slope, model.bias = fit_weights(np.array([r.x for r in sample]), np.array([r.y for r in sample]))
     return model
 
 
@@ -241,15 +274,12 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, text_column: str
     Null and empty texts have no clauses and get the score of the bias alone. Columns of those two names are replaced;
     every other column, whatever its name, is passed on and never looked at; whole texts are read, whatever their length.
     """
-    weights = list(model.weights.values())
-
     @F.pandas_udf("score double, clauses int")
     def score(texts: pd.Series) -> pd.DataFrame:
         own, rows = scanner(model), []
         for text in texts:
-            x, n = own.features(text)
-            z = model.bias + sum(a * b for a, b in zip(weights, x, strict=True))
-            rows.append((1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), n))
+            evidence, n = own.total(text)
+            rows.append((model.score(evidence), n))
         return pd.DataFrame(rows, columns=["score", "clauses"])
 
     clean = documents.drop("toxic_score", "toxic_clauses")

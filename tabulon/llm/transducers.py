@@ -83,25 +83,31 @@ def insult(weight: float = 0.0) -> Transducer:
     return Transducer(0, step)
 
 
-def threat(weight: float = 0.0) -> Transducer:
-    """A threatening verb counts with a target before it or within the next words; alone it is an ordinary word."""
-    def step(left: int, symbol: str) -> Arc:
+def threat(weight: float = 0.0, marks: dict[str, float] | None = None) -> Transducer:
+    """A threatening verb counts with a target before it or within the next words; alone it is an ordinary word.
+
+    A verb that waits for its target keeps its marks; ``marks`` has the weights that they, and the target, add then.
+    """
+    extra = marks or {}
+
+    def step(state: tuple[int, str], symbol: str) -> Arc:
+        left, waiting = state
         if symbol[0] == THREAT:
-            return (symbol, weight, 0) if "t" in symbol else (OTHER, 0.0, TARGET_REACH)
+            return (symbol, weight, (0, "")) if "t" in symbol else (OTHER, 0.0, (TARGET_REACH, symbol[1:]))
         if symbol == TARGET and left:
-            return THREAT + "t", weight, 0
-        return (OTHER if symbol == TARGET else symbol), 0.0, max(0, left - 1)
+            return THREAT + waiting + "t", weight + sum(extra.get(m, 0.0) for m in waiting + "t"), (0, "")
+        return (OTHER if symbol == TARGET else symbol), 0.0, (left - 1, waiting) if left > 1 else (0, "")
 
-    return Transducer(0, step)
+    return Transducer((0, ""), step)
 
 
 def clause_grammar(weights: dict[str, float]) -> tuple[object, dict[object, dict[str, Arc]]]:
-    """Start state and arcs of the composed grammar."""
-    parts = (reported_speech, negation, target, insult, threat)
-    whole = None
-    for part in parts:
-        one = part(weights.get(part.__name__, 0.0))
-        whole = one if whole is None else whole.compose(one)
+    """Start state and arcs of the five transducers, composed; weights by name."""
+    of = lambda name: weights.get(name, 0.0)
+    marks = {"r": of("reported_speech"), "n": of("negation"), "t": of("target")}
+    whole = reported_speech(marks["r"])
+    for part in (negation(marks["n"]), target(marks["t"]), insult(of("insult")), threat(of("threat"), marks)):
+        whole = whole.compose(part)
     return whole.start, whole.compiled(ALPHABET)
 
 

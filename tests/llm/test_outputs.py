@@ -1,5 +1,6 @@
 """Token files, exact search, classifiers, mixing and the pipeline."""
 
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulon.llm import mixing as mixing_module, quality
+from tabulon.llm import mixing as mixing_module, quality, toxicity
 from tabulon.llm.mixing import mix, mixed_documents
 from tabulon.llm.near_duplicates import near_duplicates
 from tabulon.llm.quality import quality_scores
@@ -85,7 +86,8 @@ def test_clause_grammar():
     assert match(grammar, list("YNI")) == [(2, "Int", -1.5)]
     assert match(grammar, list("RoI")) == [(2, "Ir", 0.0)]
     assert match(grammar, list("Too")) == []
-    assert [m[:2] for m in match(grammar, list("ToY"))] == [(2, "Tt")]
+    assert match(grammar, list("ToY")) == [(2, "Tt", 2.5)]
+    assert match(grammar, list("NToY")) == [(3, "Tnt", -0.5)] and match(grammar, list("RTooooY")) == []
 
 
 def test_toxicity(spark, documents, nothing, texts):
@@ -103,6 +105,32 @@ def test_toxicity(spark, documents, nothing, texts):
     assert unlearnt.weights == ToxicityModel({}).weights and len(Scanner(unlearnt).clauses("You are a moron. Fine, you idiot!")) == 2
 
 
+def test_path_weights_score_clauses():
+    rng = np.random.default_rng(6)
+    evidence = np.zeros((600, len(toxicity.MARKS)))
+    evidence[np.arange(600), rng.integers(0, len(toxicity.MARKS), 600)] = rng.gamma(2.0, 2.0, 600)
+    for strange in (False, True):  # labels that call negated insults toxic, too, must not raise them
+        real = np.array([1.0, 1.5, 0.5, 0.4 if strange else -0.9, -0.7])
+        z = 3 * np.log1p(evidence @ np.maximum(0, toxicity.ARCS @ real)) - 4
+        weights, slope, bias = toxicity.fit_weights(evidence, (rng.random(600) < 1 / (1 + np.exp(-z))).astype(float))
+        assert abs(weights["insult"] - 1) < 1e-3 and weights["negation"] <= 0 and weights["reported_speech"] <= 0 and slope > 0
+        if not strange:
+            assert weights["negation"] < -0.3 and weights["reported_speech"] < -0.3 and weights["target"] > 0
+        own = Scanner(ToxicityModel({"idiot$": 3.0}, weights, bias, slope))
+        plain, *weaker = (own.total(t)[0] for t in ("You are an idiot.", "You are not an idiot.", "He said you are an idiot.", "You will kill it."))
+        assert plain > 0 and all(w <= plain for w in weaker[:2])
+        assert own.total("Never kill you.")[0] <= own.total("I kill you.")[0] and own.total("")[0] == own.total(None)[0] == 0
+
+
+def test_clauses_of_long_texts_are_cut_once():
+    own = Scanner(ToxicityModel({"idiot": 3.0}))
+    for text, clauses in (("an idiot, " * 30_000, 1), ("an idiot. " * 30_000, 30_000), ("plain words " * 30_000 + "idiots! idiot", 2)):
+        start = time.perf_counter()
+        assert len(own.clauses(text)) == clauses
+        assert time.perf_counter() - start < 10  # a search for each end from each match takes minutes
+    assert [c for c, _, _ in own.clauses("Fine; you idiot.idiot\nno IDIOTS here")] == [" you idiot", "idiot", "no idiots here"]
+
+
 def test_quality(spark, documents, nothing, texts):
     rng = np.random.default_rng(3)
     junk = {i: "### ".join(texts[i % 20].split()[: int(rng.integers(20, 60))]) + "$$$" for i in range(200, 260)}
