@@ -12,6 +12,8 @@ from .lookup import lookup_join
 KEEP_VERSIONS = 5
 AGE_BONUS_DAYS = 30
 AGE_BONUS_WEIGHT = 0.1
+#: Why a model isn't eligible.
+REASONS = ("Primary metric {primary} below threshold", "Secondary metric thresholds not met", "Model size exceeds limit")
 
 
 def _best_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -164,9 +166,7 @@ def compare_models(
     fits = size_mb <= max_size_mb if max_size_mb else F.lit(True)
     reasons = F.array_compact(
         F.array(
-            F.when(~meets, f"Primary metric {primary} below threshold"),
-            F.when(~meets_rest, "Secondary metric thresholds not met"),
-            F.when(~fits, "Model size exceeds limit"),
+            *[F.when(~holds, reason.format(primary=primary)) for holds, reason in zip((meets, meets_rest, fits), REASONS, strict=True)]
         )
     )
     return models.withColumns(

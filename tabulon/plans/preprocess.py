@@ -57,6 +57,8 @@ def _step(df: DataFrame, operation: str, column: str, categorical: bool, method:
 
 
 OPERATIONS = ("imputation", "encoding", "normalization", "cleaning", "deletion")
+#: What a failed step reports.
+UNKNOWN, FAILED = "Unknown operation: {operation}", "Error processing {operation} on {column}: {error}"
 
 
 def apply_preprocessing(
@@ -66,13 +68,13 @@ def apply_preprocessing(
     outcome = Outcome(df, columns_before=list(df.columns))
     for operation, column, *method in steps.items() if isinstance(steps, dict) else steps:
         if operation not in OPERATIONS:
-            outcome.errors.append(f"Unknown operation: {operation}")
+            outcome.errors.append(UNKNOWN.format(operation=operation))
             continue
         try:
             outcome.data = _step(outcome.data, operation, column, categorical, method[0] if method else None)
             outcome.applied.append(f"{operation} on {column}")
         except Exception as error:  # errors are values here
-            outcome.errors.append(f"Error processing {operation} on {column}: {error}")
+            outcome.errors.append(FAILED.format(operation=operation, column=column, error=error))
     return outcome
 
 
