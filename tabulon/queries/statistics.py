@@ -345,16 +345,22 @@ WIDE = "l_orderkey * 4611686018427 + l_linenumber"
                  unnest(quantile_disc(exact, [0, 0.25, 0.5, 0.75, 1])) AS exact FROM w GROUP BY l_returnflag)""",
 )
 def order_statistics_query(t: Tables):
-    """Ranks of whole numbers and decimals by group, through ranges, without a double on the way."""
+    """Ranks of whole numbers and decimals by group, through ranges, without a double on the way.
+
+    Keys whose product is beyond 64 bits give ``whole`` as a decimal of no places.
+    """
+    most = t.lineitem.agg(F.max(F.abs(F.col("l_orderkey").cast("decimal(20,0)")))).first()[0]
+    fits = most is None or (int(most) + 1) * 4611686018427 < 1 << 63
+    kind, whole = ("long", WIDE.replace("4611686018427", "4611686018427L")) if fits else ("decimal(38,0)", f"CAST({WIDE.replace('l_orderkey', 'CAST(l_orderkey AS DECIMAL(20,0))')} AS DECIMAL(38,0))")
     exact = F.col("l_extendedprice").cast("decimal(18,4)") + F.lit("1234567890123.0001").cast("decimal(18,4)")
-    df = t.lineitem.select("l_returnflag", F.expr(WIDE.replace("4611686018427", "4611686018427L")).alias("whole"), exact.cast("decimal(18,4)").alias("exact"))
+    df = t.lineitem.select("l_returnflag", F.expr(whole).alias("whole"), exact.cast("decimal(18,4)").alias("exact"))
     # the place that holds the share: the first one at or above it
     places = [(p / 100, lambda n, p=p: max(0, -(-n * p // 100) - 1)) for p in (0, 25, 50, 75, 100)]
     found = order_statistics(df, {"whole": places, "exact": places}, ["l_returnflag"], small=0, ranges=8)
     rows = [
         (flag, p, per["whole"][1][j], str(per["exact"][1][j])) for (flag,), per in found.items() for j, p in enumerate((0, 25, 50, 75, 100))
     ]
-    return t.spark.createDataFrame(rows, "l_returnflag string, place int, whole long, exact string")
+    return t.spark.createDataFrame(rows, f"l_returnflag string, place int, whole {kind}, exact string")
 
 
 @query(
