@@ -1,8 +1,8 @@
 """Exact nearest neighbours.
 
 A reference that fits a checked size is broadcast and scanned in numpy blocks. A larger one of many
-dimensions, where every cell would be visited, goes through a join of blocks; one of few is cut into
-cells around pivots; the triangle inequality tells each query which cells can hold one of its
+dimensions, where every cell would be visited, goes through a join of blocks; one of few dimensions and
+many rows, which a scan would compare with every query, is cut into cells around pivots; the triangle inequality tells each query which cells can hold one of its
 neighbours, and only those are visited. Cells are split into chunks and their queries into blocks, so
 every task sees a bounded piece however crowded a cell is. Copies of one vector are reduced to the k
 with the smallest ids, which are the only ones that can be among k neighbours.
@@ -23,7 +23,11 @@ from .lookup import lookup_join
 from .quantiles import order_statistics
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_PIVOTS = 1000
+#: Rows of a reference of few dimensions that every query is compared with.
+SCAN_ROWS = 50_000
+MAX_PIVOTS = 4000
+#: Distances to pivots that a task holds at a time.
+GAPS = 2_000_000
 CHUNK_ROWS = 2048
 BLOCK_ROWS = 4096
 SALTS = 64
@@ -115,7 +119,7 @@ def knn_join(
     )
     wanted = k + 1 if exclude_self else k
     n, dims = ref.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    if n * (dims + 2) * 8 <= broadcast_bytes:
+    if n * (dims + 2) * 8 <= broadcast_bytes and (dims > CELL_DIMS or n <= SCAN_ROWS):
         found = _broadcast_join(q, ref, wanted)
     elif dims <= CELL_DIMS:
         found = _cell_join(q, ref, n, wanted, pivots, chunk_rows, block_rows)
@@ -158,8 +162,14 @@ def _cell_join(
         square = (v * v).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (v @ c.T)
         return np.sqrt(np.maximum(square, 0))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, GAPS // len(shared.value))
         for batch in batches:
+            for start in range(0, len(batch), step):
+                yield batch.iloc[start:start + step]
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in slices(batches):
             if len(batch):
                 gap = to_centres(np.stack(batch["v"].to_numpy()).astype("float64"))
                 cell = gap.argmin(axis=1)
@@ -181,7 +191,7 @@ def _cell_join(
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reach, radius = layout.value
-        for batch in batches:
+        for batch in slices(batches):
             if not len(batch):
                 continue
             gap = to_centres(np.stack(batch["v"].to_numpy()).astype("float64"))

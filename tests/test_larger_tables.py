@@ -2,6 +2,10 @@
 
 from decimal import Decimal
 
+import numpy as np
+import pytest
+
+from tabulon.operators import knn
 from tabulon.queries.catalog import QUERIES
 
 
@@ -15,3 +19,15 @@ def test_order_statistics_of_products_beyond_64_bits(spark, tmp_path):
     folder = stored(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_extendedprice double")
     found = {r.place: r.whole for r in QUERIES["order_statistics"](spark, folder).collect()}
     assert found == {p: Decimal(k * 4611686018427 + 1) for p, k in ((0, 1), (25, 5), (50, 2_000_001), (75, 9_000_000), (100, 36_000_000))}
+
+
+def test_many_rows_of_few_dimensions_are_not_scanned_by_every_query(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.integers(0, 40, 2)], float(i % 3)) for i in range(900)]  # many ties and copies
+    points = spark.createDataFrame(rows, "id long, v array<double>, y double")
+    key = lambda found: sorted(tuple(r) for r in found.collect())
+    scanned = key(knn.knn_join(points, points, "id", "id", "v", 5, "y"))
+    monkeypatch.setattr(knn, "SCAN_ROWS", 800)
+    monkeypatch.setattr(knn, "GAPS", 100)
+    monkeypatch.setattr(knn, "_broadcast_join", lambda *_: pytest.fail("scanned"))
+    assert key(knn.knn_join(points, points, "id", "id", "v", 5, "y")) == scanned
