@@ -1,6 +1,8 @@
 """Second-order gradient boosting over histograms.
 
-Features are binned once; rows lie packed in blocks of bins, labels and margins. A pass sums gradient, hessian and count by
+Features are binned once; rows of equal bins get equal margins, so that they are combined into one cell, with a count for
+each class or the label's mean and spread; cells lie packed in blocks of bins, labels, weights and margins. Rows that are
+drawn anew for each round stay single. A pass sums gradient, hessian and count by
 node, feature and bin, one array for each task, and only for the smaller of two siblings: the other is the parent minus
 it. Splits are found on the driver from these sums, whose size doesn't depend on the number of rows: 6 KB for each open leaf
 and feature. Trees grow by level (all leaves that gain) or best first, up to a number of leaves; the latter computes the
@@ -37,8 +39,11 @@ CELLS = BINS + 1
 BLOCK_ROWS = 65_536
 #: Rounds after which margins are written anew; passes replay the trees since.
 STORE_EVERY = 10
-BLOCK = "block long, n int, x binary, y binary, margin binary, checked binary"
-BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("n", pa.int32()), *((c, pa.binary()) for c in ("x", "y", "margin", "checked"))])
+BINARY = ("x", "y", "weight", "spread", "margin", "checked")
+BLOCK = ", ".join(["block long", "n int", *(f"{c} binary" for c in BINARY)])
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("n", pa.int32()), *((c, pa.binary()) for c in BINARY)])
+CELL = pa.schema([("cell", pa.binary()), ("n", pa.int64()), ("total", pa.float64()), ("squares", pa.float64())])
+CELL_KINDS = "cell binary, n long, total double, squares double"
 
 
 @dataclass
@@ -137,39 +142,112 @@ def bin_edges(rows: DataFrame, names: list[str]) -> list[np.ndarray]:
     return [edges[c][1:] for c in names]
 
 
-def packed(rows: DataFrame, names: list[str], edges: list[np.ndarray], base: np.ndarray) -> DataFrame:
-    """Blocks of rows (features, label, __check): bins, labels, margins and which rows only check."""
+def binned(batch: pa.RecordBatch, names: list[str], edges: list[np.ndarray]) -> np.ndarray:
+    """The bins of a batch, a row for each of its rows."""
+    x = np.empty((batch.num_rows, len(names)), np.uint8)
+    for i, (name, own) in enumerate(zip(names, edges)):
+        values = batch.column(name).to_numpy(zero_copy_only=False).astype(np.float64)
+        x[:, i] = np.where(np.isnan(values), MISSING, np.searchsorted(own, values, "right"))
+    return x
+
+
+def merged(cells: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows of bytes once, in ascending order, with their sums added in the order given."""
+    width = cells.shape[1]
+    if width > 8:
+        keys = np.ascontiguousarray(cells).view(f"V{width}").ravel()
+    else:  # as whole numbers
+        keys = np.zeros((len(cells), 8), np.uint8)
+        keys[:, :width] = cells
+        keys = keys.view(np.uint64).ravel()
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    return cells[first], np.column_stack([np.bincount(at, c, len(first)) for c in sums.T])
+
+
+def combined(rows: DataFrame, names: list[str], edges: list[np.ndarray], centre: float | None) -> DataFrame:
+    """(cell, n, total, squares): rows of equal bins that fit or check alike, with the sums of label - centre and of its square.
+
+    Without a ``centre`` labels are numbers of classes, and rows of a cell share theirs. A cell is its bins, whether it checks
+    and two bytes of the class. Each batch is combined before the shuffle; the order of every sum is fixed.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                y, check = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "__check"))
+                own = y.astype(np.uint16) if centre is None else np.zeros(len(y), np.uint16)
+                gap = np.zeros(len(y)) if centre is None else y - centre
+                cells = np.column_stack([binned(batch, names, edges), check.astype(np.uint8), own >> 8, own & 255]).astype(np.uint8)
+                yield as_cells(*merged(cells, np.column_stack([np.ones(len(y)), gap, gap * gap])))
+
+    def as_cells(cells: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        keys = pa.array([c.tobytes() for c in cells], pa.binary())
+        return pa.RecordBatch.from_arrays([keys, pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 2])], schema=CELL)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[np.ndarray, np.ndarray] | None = None  # the last cell may go on in the next batch
+        for batch in batches:
+            if batch.num_rows:
+                cells = np.frombuffer(b"".join(batch.column("cell").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                sums = np.column_stack([batch.column(c).to_numpy() for c in ("n", "total", "squares")])
+                if kept is not None:
+                    cells, sums = np.vstack([kept[0], cells]), np.vstack([kept[1], sums])
+                starts = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(axis=1)))
+                cells, sums = cells[starts], np.add.reduceat(sums, starts, axis=0)
+                kept = cells[-1:], sums[-1:]
+                yield as_cells(cells[:-1], sums[:-1])
+        if kept is not None:
+            yield as_cells(*kept)
+
+    parts = rows.select(*names, "label", "__check").mapInArrow(count, CELL_KINDS)
+    return freeze(parts.repartition("cell").sortWithinPartitions("cell", "n", "total", "squares").mapInArrow(add, CELL_KINDS), "boosting-cells")
+
+
+def packed(rows: DataFrame, names: list[str], edges: list[np.ndarray], base: np.ndarray, combine: bool = False, classes: int = 0) -> DataFrame:
+    """Blocks of rows (features, label, __check): bins, labels, weights, margins and which rows only check.
+
+    With ``combine`` rows of equal bins are one, which weighs as many; its label is their mean.
+    """
+    d, centre = len(names), None if classes else float(base[0])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = TaskContext.get().partitionId() << 32, []
 
         def out() -> pa.RecordBatch:
             nonlocal seen, held
-            x, y, check = (np.concatenate(part) for part in zip(*held))
-            margin = np.broadcast_to(base, (len(y), len(base)))
-            cells = [seen, len(y), x.tobytes(), y.tobytes(), np.ascontiguousarray(margin).tobytes(), check.tobytes()]
+            x, y, weight, spread, check = (np.concatenate(part) for part in zip(*held))
+            margin = np.ascontiguousarray(np.broadcast_to(base, (len(y), len(base))))
+            cells = [seen, len(y), *(v.tobytes() for v in (x, y, weight, spread, margin, check))]
             seen, held = seen + 1, []
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, BLOCK_SCHEMA, strict=True)], schema=BLOCK_SCHEMA)
 
         for batch in batches:
-            x = np.empty((batch.num_rows, len(names)), np.uint8)
-            for i, (name, own) in enumerate(zip(names, edges)):
-                values = batch.column(name).to_numpy(zero_copy_only=False).astype(np.float64)
-                x[:, i] = np.where(np.isnan(values), MISSING, np.searchsorted(own, values, "right"))
-            held.append((x, batch.column("label").to_numpy(zero_copy_only=False), batch.column("__check").to_numpy(zero_copy_only=False)))
+            if combine and batch.num_rows:
+                cells = np.frombuffer(b"".join(batch.column("cell").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                n, total, squares = (batch.column(c).to_numpy().astype(np.float64) for c in ("n", "total", "squares"))
+                if centre is None:
+                    y, spread = cells[:, d + 1] * 256.0 + cells[:, d + 2], np.zeros(len(n))
+                else:
+                    y, spread = centre + total / n, np.maximum(squares - total * total / n, 0.0)
+                held.append((cells[:, :d], y, n, spread, cells[:, d].astype(bool)))
+            elif batch.num_rows:
+                y = batch.column("label").to_numpy(zero_copy_only=False)
+                held.append((binned(batch, names, edges), y, np.ones(len(y)), np.zeros(len(y)), batch.column("__check").to_numpy(zero_copy_only=False)))
             if sum(len(h[1]) for h in held) >= BLOCK_ROWS:
                 yield out()
-        if held and sum(len(h[1]) for h in held):
+        if held:
             yield out()
 
-    full = rows.select(*names, "label", "__check")
-    full = full.coalesce(max(1, rows.count() // BLOCK_ROWS))  # no task of a pass without a whole block
-    return freeze(full.mapInArrow(pack, BLOCK), "boosting-blocks")
+    full = combined(rows, names, edges, centre) if combine else rows.select(*names, "label", "__check")
+    blocks = freeze(full.coalesce(max(1, full.count() // BLOCK_ROWS)).mapInArrow(pack, BLOCK), "boosting-blocks")  # no task of a pass without a whole block
+    if combine:
+        discard(full)
+    return blocks
 
 
-def unpacked(row: dict, d: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bins, labels, margins, whether a row only checks) of a block."""
+def unpacked(row: dict, d: int, k: int) -> tuple[np.ndarray, ...]:
+    """(bins, labels, weights, spreads of labels, margins, whether a row only checks) of a block."""
     return (
-        np.frombuffer(row["x"], np.uint8).reshape(-1, d), np.frombuffer(row["y"], np.float64),
+        np.frombuffer(row["x"], np.uint8).reshape(-1, d), *(np.frombuffer(row[c], np.float64) for c in ("y", "weight", "spread")),
         np.frombuffer(row["margin"], np.float64).reshape(-1, k), np.frombuffer(row["checked"], bool),
     )
 
@@ -224,7 +302,7 @@ class Booster:
                 raise ValueError("no complete rows to train on")
             odds = min(max(mean, 1e-6), 1 - 1e-6)
             self.base = np.array([math.log(odds / (1 - odds)) if classes else mean])
-        self.blocks = packed(rows, names, self.edges, self.base)
+        self.blocks = packed(rows, names, self.edges, self.base, s.row_share == 1, classes)
         self.tasks = self.blocks.rdd.getNumPartitions()
         self.rounds: list[list[Tree]] = []
         self.stored = 0
@@ -242,9 +320,10 @@ class Booster:
             losses = np.zeros(4)
             for batch in batches:
                 for row in batch.to_pylist():
-                    x, y, margin, check = unpacked(row, d, k)
+                    x, y, weight, spread, margin, check = unpacked(row, d, k)
                     g, h, loss = gradients(added(margin, x, since), y, classification)
-                    losses += [loss[~check].sum(), (~check).sum(), loss[check].sum(), check.sum()]
+                    g, h, loss = g * weight[:, None], h * weight[:, None], loss * weight + spread / 2
+                    losses += [loss[~check].sum(), weight[~check].sum(), loss[check].sum(), weight[check].sum()]
                     used = ~check
                     if s.row_share < 1:
                         used = used & (np.random.default_rng([s.seed, number, row["block"]]).random(len(y)) < s.row_share)
@@ -257,8 +336,8 @@ class Booster:
                             continue
                         for j, f in enumerate(features[c]):
                             cell = at[own] * CELLS + x[own, f]
-                            for i, weight in enumerate((g[own, c], h[own, c], None)):
-                                sums = np.bincount(cell, weight, len(wanted[c]) * CELLS)
+                            for i, values in enumerate((g[own, c], h[own, c], weight[own])):
+                                sums = np.bincount(cell, values, len(wanted[c]) * CELLS)
                                 total[c][i, :, j] += sums.reshape(-1, CELLS)
             out = np.concatenate([losses, *(t.ravel() for t in total)])
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()])], names=["part", "sums"])
@@ -315,7 +394,7 @@ class Booster:
         def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    x, _, margin, _ = unpacked(row, d, k)
+                    x, _, _, _, margin, _ = unpacked(row, d, k)
                     row["margin"] = np.ascontiguousarray(added(margin, x, since)).tobytes()
                     yield pa.RecordBatch.from_pylist([row], schema=BLOCK_SCHEMA)
 

@@ -5,6 +5,8 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
+from tabulon.models import boosting
+from tabulon.models.catalogue import hyperparameters
 from tabulon.operators import knn
 from tabulon.queries.catalog import QUERIES
 
@@ -31,3 +33,15 @@ def test_many_rows_of_few_dimensions_are_not_scanned_by_every_query(spark, monke
     monkeypatch.setattr(knn, "GAPS", 100)
     monkeypatch.setattr(knn, "_broadcast_join", lambda *_: pytest.fail("scanned"))
     assert key(knn.knn_join(points, points, "id", "id", "v", 5, "y")) == scanned
+
+
+def test_rows_of_equal_bins_are_one_weighted_cell(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), float(a * b + e), bool(c)) for a, b, e, c in zip(rng.integers(0, 4, 600), rng.integers(0, 3, 600), rng.normal(size=600), rng.random(600) < 0.2)]
+    table = spark.createDataFrame(rows, "__f0 double, __f1 double, label double, __check boolean").repartition(5)
+    booster = boosting.Booster(table, ["__f0", "__f1"], boosting.settings_of({**hyperparameters("xgboost_regressor"), "n_estimators": 2}, False), 0)
+    assert booster.blocks.agg({"n": "sum"}).first()[0] == 24  # 4 * 3 cells that fit, and as many that check
+    booster.grow()
+    for which, check in enumerate((False, True)):
+        y = np.array([r[2] for r in rows if r[3] == check])
+        assert np.isclose(booster.losses[0][which], 0.5 * ((y - booster.base[0]) ** 2).mean())
