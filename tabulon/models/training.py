@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -276,11 +276,11 @@ def _fit_bayes(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
 # --- radial kernels by random Fourier features ----------------------------------------------------
 
 
-def _kernel_columns(rows: DataFrame, model: FittedModel, d: int) -> tuple[str, int]:
-    """SQL adding ``__k0..``: cos(w.x + b) features that approximate a Gaussian kernel."""
+def _kernel_columns(rows: DataFrame, model: FittedModel, d: int) -> tuple[str, int, Callable[[np.ndarray], np.ndarray]]:
+    """SQL adding ``__k0..``: cos(w.x + b) features that approximate a Gaussian kernel; their number; the same on arrays."""
     p = model.params
     if p["kernel"] == "linear":
-        return "SELECT *, " + ", ".join(f"__f{i} AS __k{i}" for i in range(d)) + " FROM __THIS__", d
+        return "SELECT *, " + ", ".join(f"__f{i} AS __k{i}" for i in range(d)) + " FROM __THIS__", d, lambda x: x
     gamma = p["gamma"]
     if gamma in ("scale", "auto"):
         cells = rows.select(F.explode(F.array(*[F.col(f"__f{i}") for i in range(d)])).alias("x"))
@@ -295,13 +295,18 @@ def _kernel_columns(rows: DataFrame, model: FittedModel, d: int) -> tuple[str, i
     for j in range(size):
         inner = " + ".join(f"{literal(float(w[j, i]))} * __f{i}" for i in range(d))
         columns.append(f"{height} * cos({inner} + {literal(float(b[j]))}) AS __k{j}")
-    return f"SELECT *, {', '.join(columns)} FROM __THIS__", size
+
+    def expand(x: np.ndarray) -> np.ndarray:
+        inner = sum(x[:, i : i + 1] * w[:, i] for i in range(d))  # in the order of the SQL
+        return np.sqrt(2.0 / size) * np.cos(inner + b)
+
+    return f"SELECT *, {', '.join(columns)} FROM __THIS__", size, expand
 
 
 def _fit_kernel_classifier(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
     if model.params["kernel"] == "linear":
         return _fit_builtin(rows, model, d)
-    statement, size = _kernel_columns(rows, model, d)
+    statement, size, _ = _kernel_columns(rows, model, d)
     stages = [
         SQLTransformer(statement=statement),
         VectorAssembler(inputCols=[f"__k{j}" for j in range(size)], outputCol="features"),
@@ -311,26 +316,24 @@ def _fit_kernel_classifier(rows: DataFrame, model: FittedModel, d: int) -> Pipel
 
 
 def _fit_kernel_regressor(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
-    statement, size = _kernel_columns(rows, model, d)
+    statement, size, features = _kernel_columns(rows, model, d)
     expand = SQLTransformer(statement=statement)
-    data = expand.transform(rows).select(
-        F.array(*[F.col(f"__k{j}") for j in range(size)]).alias("x"), F.col("label").alias("y")
-    ).persist()
-    try:
-        n, mean = data.agg(F.count(F.lit(1)), F.avg("y")).first()
-        tasks = data.rdd.getNumPartitions()
-        loss = tube_loss(model.params["epsilon"])
-        c = model.params["C"]
-
-        def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
-            # C * sum(loss) + |w|^2 / 2, both divided by C * n to keep the numbers near one
-            value, gradient = summed_gradient(data, loss, theta, tasks)
-            weights = np.append(theta[:-1], 0.0)
-            return value / n + weights @ weights / (2 * c * n), gradient / n + weights / (c * n)
-
-        theta = minimise(evaluate, np.append(np.zeros(size), mean), model.params["max_iter"])
-    finally:
-        data.unpersist()
+    # the rows are kept as they are: every pass expands a batch at a time
+    data = rows.select(F.array(*[F.col(f"__f{i}") for i in range(d)]).alias("x"), F.col("label").alias("y"))
+    n, mean = data.agg(F.count(F.lit(1)), F.avg("y")).first()
+    tasks = data.rdd.getNumPartitions()
+    tube, c = tube_loss(model.params["epsilon"]), model.params["C"]
+
+    def loss(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        return tube(theta, features(x), y)
+
+    def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        # C * sum(loss) + |w|^2 / 2, both divided by C * n to keep the numbers near one
+        value, gradient = summed_gradient(data, loss, theta, tasks)
+        weights = np.append(theta[:-1], 0.0)
+        return value / n + weights @ weights / (2 * c * n), gradient / n + weights / (c * n)
+
+    theta = minimise(evaluate, np.append(np.zeros(size), mean), model.params["max_iter"])
     total = " + ".join(f"{literal(float(t))} * __k{j}" for j, t in enumerate(theta[:-1]))
     final = SQLTransformer(
         statement=f"SELECT *, {total} + {literal(float(theta[-1]))} AS __prediction FROM __THIS__"

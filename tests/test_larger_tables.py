@@ -5,7 +5,7 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from tabulon.models import boosting
+from tabulon.models import boosting, optimise, training
 from tabulon.models.catalogue import hyperparameters
 from tabulon.operators import knn
 from tabulon.queries.catalog import QUERIES
@@ -45,3 +45,15 @@ def test_rows_of_equal_bins_are_one_weighted_cell(spark):
     for which, check in enumerate((False, True)):
         y = np.array([r[2] for r in rows if r[3] == check])
         assert np.isclose(booster.losses[0][which], 0.5 * ((y - booster.base[0]) ** 2).mean())
+
+
+def test_svr_keeps_its_rows_as_they_are(spark, monkeypatch):
+    """Kernel features are made a batch at a time, not held for all rows."""
+    seen = []
+    monkeypatch.setattr(training, "summed_gradient", lambda data, loss, theta, tasks: seen.append(data) or optimise.summed_gradient(data, loss, theta, tasks))
+    rows = [(float(i % 17) / 17, float(i % 5) / 5, float(i % 17)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    model = training.fit_model(df, "y", "svr", {"n_components": 40, "max_iter": 30})
+    assert len(seen[0].first()["x"]) == 2
+    scored = model.transform(df)
+    assert scored.where("abs(prediction - y) > 3").count() == 0
