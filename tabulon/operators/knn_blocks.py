@@ -28,6 +28,8 @@ from .lookup import lookup_join
 #: Queries whose exact neighbours tune the hashes, and rows that tell how far apart vectors are in general.
 PILOT, SPREAD = 200, 200
 TABLES, MOST_PROJECTIONS = 10, 16
+#: Pairs of rows whose distances a task holds at a time.
+PAIRS = 500_000
 PACKED = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("carried", pa.binary())])
 
 
@@ -53,6 +55,20 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("i", "v", "y").mapInArrow(pack, "ids binary, vectors binary, carried binary")
 
 
+def compared(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest references of each query, for every pair of blocks of a batch; cells are read in place."""
+    kinds = {"ids": np.int64, "q_ids": np.int64, "vectors": np.float64, "q_vectors": np.float64, "carried": np.float64}
+    for at in range(batch.num_rows):
+        ids, own, matrix, points, carried = (np.frombuffer(batch.column(c)[at].as_buffer(), kind) for c, kind in kinds.items())
+        matrix, points = matrix.reshape(len(ids), -1), points.reshape(len(own), -1)
+        step = max(1, PAIRS // max(1, len(ids)))
+        for start in range(0, len(own), step):
+            rows, refs, distance = _nearest(points[start : start + step], matrix, ids, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[start : start + step][rows]), pa.array(ids[refs]), pa.array(distance), pa.array(carried[refs])], names=["q", "r", "distance", "y"]
+            )
+
+
 def block_join(q: DataFrame, ref: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(q, r, distance, y): the k nearest of each block of references to each query (q, v); references are (r, v, y)."""
     blocks = freeze(packed(ref.select(F.col("r").alias("i"), "v", "y"), chunk_rows), "reference-blocks")
@@ -63,16 +79,7 @@ def block_join(q: DataFrame, ref: DataFrame, k: int, chunk_rows: int = CHUNK_ROW
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                matrix, points = np.frombuffer(row["vectors"]).reshape(len(ids), -1), np.frombuffer(row["q_vectors"]).reshape(len(own), -1)
-                carried = np.frombuffer(row["carried"])
-                step = max(1, 4_000_000 // max(1, len(ids)))
-                for start in range(0, len(own), step):
-                    rows, refs, distance = _nearest(points[start : start + step], matrix, ids, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[start : start + step][rows]), pa.array(ids[refs]), pa.array(distance), pa.array(carried[refs])], names=["q", "r", "distance", "y"]
-                    )
+            yield from compared(batch, k)
 
     return sent.join(laid, "slot").mapInArrow(search, RESULT)
 

@@ -3,11 +3,12 @@
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabulon.models import boosting, optimise, training
 from tabulon.models.catalogue import hyperparameters
-from tabulon.operators import knn
+from tabulon.operators import knn, knn_blocks
 from tabulon.queries.catalog import QUERIES
 
 
@@ -57,3 +58,17 @@ def test_svr_keeps_its_rows_as_they_are(spark, monkeypatch):
     assert len(seen[0].first()["x"]) == 2
     scored = model.transform(df)
     assert scored.where("abs(prediction - y) > 3").count() == 0
+
+
+def test_pairs_of_blocks_are_compared_in_bounded_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(50, 20)), rng.normal(size=(30, 20))
+    sizes, plain = [], knn._nearest
+    monkeypatch.setattr(knn_blocks, "PAIRS", 200)
+    monkeypatch.setattr(knn_blocks, "_nearest", lambda a, b, ids, k: sizes.append(len(a) * len(b)) or plain(a, b, ids, k))
+    cells = {"ids": np.arange(50), "q_ids": np.arange(30), "vectors": x, "q_vectors": q, "carried": np.zeros(50)}
+    batch = pa.RecordBatch.from_pylist([{c: v.tobytes() for c, v in cells.items()}] * 2, schema=pa.schema([(c, pa.binary()) for c in cells]))
+    found = pa.Table.from_batches(knn_blocks.compared(batch, 3)).to_pylist()
+    assert max(sizes) <= 200 and len(found) == 2 * 30 * 3
+    near = np.argsort(((q[:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, :3]
+    assert [r["r"] for r in found[:90]] == near.ravel().tolist()
