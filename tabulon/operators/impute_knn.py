@@ -1,8 +1,9 @@
 """Neighbour imputation over several numeric columns.
 
 The distance of two rows is taken over the columns both have and scaled up for the others. Rows that miss the same columns
-are packed together, so that a block of them meets a block of donors in a few matrix operations; each block keeps its k
-best donors for each missing cell, and the bests of all blocks are merged. Donor blocks stay where they are.
+and lie close to each other are packed together, so that a block of them meets a block of donors in a few matrix operations.
+The bounds of a donor block tell how near and how far its rows can be: a block of rows with gaps meets only the donor blocks
+that can hold one of its k nearest, the nearest first, and stops where no other can be nearer. The bests of parts are merged.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import col, double, require, require_numeric, unused
 from ..session import freeze
 
-#: Rows of a block of donors, and of a block of rows with one pattern of missing columns.
-DONOR_ROWS, GAP_ROWS = 2048, 256
+#: Rows of a block of donors, and of a block of rows with one pattern of missing columns; the latter search in pieces.
+DONOR_ROWS, GAP_ROWS, PIECE_ROWS = 2048, 4096, 256
+#: Donor blocks that a block of rows meets in one task.
+PART_BLOCKS = 512
+#: Bits of a place along the curve, and the most that a column has of them.
+CURVE_BITS, COLUMN_BITS = 62, 8
 SLACK = 1e-9
-DONORS = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("values", pa.binary())])
-GAPS = pa.schema([("pattern", pa.binary()), ("own_ids", pa.binary()), ("own_values", pa.binary())])
+BLOCKS = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("pattern", pa.binary()), ("bounds", pa.binary()), ("ids", pa.binary()), ("values", pa.binary())])
+BLOCK_KINDS = "block long, n long, pattern binary, bounds binary, ids binary, values binary"
+PAIRS = pa.schema([("gap", pa.int64()), ("part", pa.int64()), ("block", pa.int64())])
 FOUND = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("distance", pa.float64()), ("donor", pa.int64()), ("value", pa.float64())])
 
 
@@ -63,6 +69,116 @@ def nearest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, pres
     return own[row[keep]], distance[keep], who[keep], y[donors][at[keep], column]
 
 
+def gaps_between(own: np.ndarray, other: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, largest) distance of a row within the bounds ``own`` and one within each of ``other``, over the columns ``held``.
+
+    Bounds are (lowest, highest) by column; infinite where no column is shared.
+    """
+    apart = np.maximum(np.maximum(other[:, 0] - own[1], own[0] - other[:, 1]), 0.0)
+    across = np.maximum(np.abs(other[:, 1] - own[0]), np.abs(own[1] - other[:, 0]))
+    shared = held.sum(axis=1)
+    scale = np.divide(held.shape[1], shared, out=np.full(len(held), np.inf), where=shared > 0)
+    with np.errstate(invalid="ignore"):
+        least, most = (np.sqrt(np.where(shared > 0, np.where(held, v * v, 0.0).sum(axis=1) * scale, np.inf)) for v in (apart, across))
+    return least, most
+
+
+def within_reach(bounds: np.ndarray, missing: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, without: np.ndarray, k: int) -> np.ndarray:
+    """Which donor blocks can hold one of the k nearest donors of a missing column of a row within ``bounds``.
+
+    ``blocks`` are bounds, ``without`` the columns that a block's rows miss.
+    """
+    held = ~without & ~missing
+    least, most = gaps_between(bounds, blocks, held)
+    near = np.zeros(len(blocks), bool)
+    for column in np.flatnonzero(missing):
+        useful = ~without[:, column] & held.any(axis=1)
+        order = np.flatnonzero(useful)[np.argsort(most[useful], kind="stable")]
+        enough = np.searchsorted(np.cumsum(sizes[order]), k)
+        reach = most[order[enough]] if enough < len(order) else np.inf
+        near |= useful & (least <= reach * (1 + SLACK) + SLACK)
+    return near
+
+
+def searched(x: np.ndarray, own: np.ndarray, missing: np.ndarray, blocks: list[tuple], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest donors of each missing cell of rows that miss the same columns; blocks are (pattern, bounds, ids, values)."""
+    width, present = len(missing), np.flatnonzero(~missing)
+    without, bounds = np.stack([b[0] for b in blocks]), np.stack([b[1] for b in blocks])
+    own_bounds = np.stack([x.min(axis=0), x.max(axis=0)])
+    least, _ = gaps_between(own_bounds, bounds, ~without & ~missing)
+    for column in np.flatnonzero(missing):
+        best, found = np.full((len(x), k), np.inf), []
+        for at in np.argsort(least, kind="stable"):
+            reach = best[:, k - 1].max()
+            if least[at] > reach * (1 + SLACK) + SLACK or np.isinf(least[at]):
+                break
+            if without[at, column]:
+                continue
+            row, distance, donor, value = nearest(x, np.arange(len(x)), blocks[at][3], blocks[at][2], present, int(column), k)
+            found.append((row, distance, donor, value))
+            new = np.full((len(x), k), np.inf)
+            new[row, np.arange(len(row)) - np.searchsorted(row, row)] = distance
+            best = np.sort(np.hstack([best, new]), axis=1)[:, :k]
+        if not found:
+            continue
+        row, distance, donor, value = (np.concatenate(v) for v in zip(*found))
+        order = np.lexsort((donor, distance, row))
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        row, distance, donor, value = (np.concatenate(v)[order] for v in zip(*found))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own[row], pa.int64()), pa.array(np.full(len(row), column, np.int32)), pa.array(distance), pa.array(donor, pa.int64()), pa.array(value)], schema=FOUND
+        )
+
+
+def placed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with the number of their pattern's kind and their place along a curve through the columns' quantiles (Morton 1966)."""
+    bits = min(COLUMN_BITS, max(1, CURVE_BITS // len(names)))
+    used = names[: CURVE_BITS // bits]
+    edges = rows.approxQuantile(used, [i / (1 << bits) for i in range(1, 1 << bits)], 0.001)
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), "kind long", "place long"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = matrix_of(batch, len(names))[1]
+            kind, at = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+            for i in range(len(names)):
+                kind = kind * 3 + np.isnan(values[:, i])  # a hash where there are many columns: blocks are cut by pattern anyway
+            for bit in range(bits):
+                for i in range(len(used)):
+                    step = np.where(np.isnan(values[:, i]), 0, np.searchsorted(np.unique(edges[i]), values[:, i], "right"))
+                    at |= ((step >> bit) & 1) << (bit * len(used) + i)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind), pa.array(at)], names=[*batch.schema.names, "kind", "place"])
+
+    dealt = rows.mapInArrow(place, kinds).repartitionByRange("kind", "place", "id")
+    return dealt.sortWithinPartitions("kind", "place", "id").select("id", *names)
+
+
+def packed(rows: DataFrame, names: list[str], size: int, label: str) -> DataFrame:
+    """Blocks of up to ``size`` neighbouring rows with one pattern of missing columns, and their bounds."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = TaskContext.get().partitionId() << 32, []
+        for batch in [*batches, None]:
+            if batch is not None:
+                held.append(matrix_of(batch, len(names)))
+            if not held or (batch is not None and sum(len(h[0]) for h in held) < size):
+                continue
+            ids, values = (np.concatenate(part) for part in zip(*held))
+            gaps = np.isnan(values)
+            starts = np.append(np.flatnonzero(np.append(True, (gaps[1:] != gaps[:-1]).any(axis=1))), len(ids)) if len(ids) else np.zeros(1, np.int64)
+            cuts = [(at, min(at + size, end)) for begin, end in zip(starts[:-1], starts[1:]) for at in range(begin, end, size)]
+            rest = cuts.pop() if cuts and batch is not None else (len(ids), len(ids))  # may go on in the next batch
+            for a, b in cuts:
+                bounds = np.stack([values[a:b].min(axis=0), values[a:b].max(axis=0)])
+                yield pa.RecordBatch.from_pylist(
+                    [{"block": seen, "n": b - a, "pattern": gaps[a].tobytes(), "bounds": bounds.tobytes(), "ids": ids[a:b].tobytes(), "values": values[a:b].tobytes()}], schema=BLOCKS
+                )
+                seen += 1
+            held = [(ids[slice(*rest)], values[slice(*rest)])] if rest[1] > rest[0] else []
+
+    return freeze(placed(rows, names).mapInArrow(pack, BLOCK_KINDS), label)
+
+
 def impute_neighbours(df: DataFrame, columns: Sequence[str], k: int = 5, key: str | None = None) -> DataFrame:
     """``df`` with the missing cells of ``columns`` filled by the mean of the k nearest rows that have the column.
 
@@ -85,57 +201,40 @@ def impute_neighbours(df: DataFrame, columns: Sequence[str], k: int = 5, key: st
     some_missing = F.expr(" OR ".join(f"{n} IS NULL" for n in names))
     some_present = F.expr(" OR ".join(f"{n} IS NOT NULL" for n in names))
 
-    def pack_donors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held = TaskContext.get().partitionId() << 32, []
-        for batch in [*batches, None]:
-            if batch is not None:
-                held.append(matrix_of(batch, width))
-            while held and (batch is None or sum(len(h[0]) for h in held) >= DONOR_ROWS):
-                ids, values = (np.concatenate(part) for part in zip(*held))
-                own = slice(0, DONOR_ROWS)
-                if len(ids):
-                    yield pa.RecordBatch.from_pylist([{"block": seen, "ids": ids[own].tobytes(), "values": values[own].tobytes()}], schema=DONORS)
-                seen, held = seen + 1, [(ids[DONOR_ROWS:], values[DONOR_ROWS:])] if len(ids) > DONOR_ROWS else []
-
-    def pack_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
+    donors = packed(rows.where(some_present), names, DONOR_ROWS, "donors")
+    gaps = packed(rows.where(some_missing & some_present), names, GAP_ROWS, "gaps")
+    about = donors.select("block", "n", "pattern", "bounds").orderBy("block").toPandas()  # a row for each block
+    numbers, sizes = about["block"].to_numpy(), about["n"].to_numpy()
+    without = np.array([np.frombuffer(p, bool) for p in about["pattern"]]).reshape(-1, width)
+    layout = df.sparkSession.sparkContext.broadcast((numbers, sizes, without, np.array([np.frombuffer(b) for b in about["bounds"]]).reshape(-1, 2, width)))
 
-        def out(pattern: bytes) -> pa.RecordBatch:
-            ids, values = (np.concatenate(part) for part in zip(*held.pop(pattern)))
-            return pa.RecordBatch.from_pylist([{"pattern": pattern, "own_ids": ids.tobytes(), "own_values": values.tobytes()}], schema=GAPS)
-
-        for batch in batches:
-            ids, values = matrix_of(batch, width)
-            kinds, which = np.unique(np.isnan(values), axis=0, return_inverse=True)
-            for j, kind in enumerate(kinds):
-                own = np.flatnonzero(which == j)
-                for at in range(0, len(own), GAP_ROWS):
-                    part = own[at : at + GAP_ROWS]
-                    held.setdefault(kind.tobytes(), []).append((ids[part], values[part]))
-                    if sum(len(h[0]) for h in held[kind.tobytes()]) >= GAP_ROWS:
-                        yield out(kind.tobytes())
-        for pattern in [*held]:
-            yield out(pattern)
-
-    donors = freeze(rows.where(some_present).mapInArrow(pack_donors, "block long, ids binary, values binary"), "donors")
-    gaps = freeze(rows.where(some_missing & some_present).mapInArrow(pack_gaps, "pattern binary, own_ids binary, own_values binary"), "gaps")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, sizes, without, bounds = layout.value
         for batch in batches:
             for row in batch.to_pylist():
-                ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["own_ids"], np.int64)
-                y, x = (np.frombuffer(row[c]).reshape(-1, width) for c in ("values", "own_values"))
-                missing = np.frombuffer(row["pattern"], bool)
-                for column in np.flatnonzero(missing):
-                    who, distance, donor, value = nearest(x, own, y, ids, np.flatnonzero(~missing), int(column), k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(who, pa.int64()), pa.array(np.full(len(who), column, np.int32)), pa.array(distance), pa.array(donor, pa.int64()), pa.array(value)], schema=FOUND
-                    )
-
-    slots = max(1, donors.count())  # rows with gaps are sent to every slot, and so to every block
-    sent = gaps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    laid = donors.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int"))
-    met = sent.join(laid, "slot").mapInArrow(meet, "id long, cell int, distance double, donor long, value double")
+                own = np.frombuffer(row["bounds"]).reshape(2, width)
+                near = numbers[within_reach(own, np.frombuffer(row["pattern"], bool), bounds, sizes, without, k)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), row["block"])), pa.array(np.arange(len(near)) // PART_BLOCKS), pa.array(near)], schema=PAIRS)
+
+    pairs = freeze(gaps.select("block", "pattern", "bounds").mapInArrow(reach, "gap long, part long, block long"), "pairs")
+
+    def meet(asked: pa.Table, given: pa.Table) -> pa.Table:
+        blocks = [
+            (np.frombuffer(r["pattern"], bool), np.frombuffer(r["bounds"]).reshape(2, width), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["values"]).reshape(-1, width))
+            for r in given.sort_by("block").to_pylist()
+        ]
+        out = []
+        for row in asked.to_pylist() if blocks else ():
+            own, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["values"]).reshape(-1, width)
+            for at in range(0, len(own), PIECE_ROWS):
+                piece = slice(at, at + PIECE_ROWS)
+                out += searched(x[piece], own[piece], np.frombuffer(row["pattern"], bool), blocks, k)
+        return pa.Table.from_batches(out, FOUND)
+
+    parts = pairs.select(F.col("gap").alias("own_gap"), F.col("part").alias("own_part")).distinct()
+    asked = gaps.select(F.col("block").alias("own_gap"), "pattern", "ids", "values").join(parts, "own_gap")
+    given = donors.drop("n").join(pairs, "block")
+    met = asked.groupBy("own_gap", "own_part").cogroup(given.groupBy("gap", "part")).applyInArrow(meet, "id long, cell int, distance double, donor long, value double")
     order = F.row_number().over(Window.partitionBy("id", "cell").orderBy("distance", "donor"))
     best = met.withColumn("rank", order).where(F.col("rank") <= k).groupBy("id").pivot("cell", list(range(width))).agg(F.avg("value"))
     filled = df.join(best.withColumnRenamed("id", "__id"), col(number) == F.col("__id"), "left")

@@ -8,7 +8,7 @@ import pytest
 
 from tabulon.models import boosting, optimise, training
 from tabulon.models.catalogue import hyperparameters
-from tabulon.operators import knn, knn_blocks
+from tabulon.operators import impute_knn, knn, knn_blocks
 from tabulon.queries.catalog import QUERIES
 
 
@@ -72,3 +72,14 @@ def test_pairs_of_blocks_are_compared_in_bounded_pieces(monkeypatch):
     assert max(sizes) <= 200 and len(found) == 2 * 30 * 3
     near = np.argsort(((q[:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, :3]
     assert [r["r"] for r in found[:90]] == near.ravel().tolist()
+
+
+def test_gaps_meet_only_donor_blocks_within_reach():
+    grid = np.arange(400.0).reshape(20, 20)  # twenty blocks of one column, twenty donors each
+    blocks = np.stack([np.column_stack([b.min(keepdims=True), [0.0]]) for b in grid] + [np.column_stack([b.max(keepdims=True), [1.0]]) for b in grid]).reshape(2, 20, 2).swapaxes(0, 1)
+    sizes, without, missing = np.full(20, 20), np.zeros((20, 2), bool), np.array([False, True])
+    near = impute_knn.within_reach(np.array([[105.0, np.nan], [110.0, np.nan]]), missing, blocks, sizes, without, 5)
+    assert 5 in np.flatnonzero(near) and near.sum() <= 3
+    assert impute_knn.within_reach(np.array([[105.0, np.nan], [110.0, np.nan]]), missing, blocks, sizes, without, 1000).all()  # all donors count
+    without[5, 1] = True  # a block that has no value to give
+    assert not impute_knn.within_reach(np.array([[105.0, np.nan], [110.0, np.nan]]), missing, blocks, sizes, without, 5)[5]
