@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator, classification as mc, regression as mr
 
+from .forest import ForestSettings
+
 CLASSIFIERS = (
     "logistic_regression", "random_forest_classifier", "decision_tree_classifier", "svc", "knn_classifier",
     "naive_bayes", "gradient_boosting_classifier", "mlp_classifier", "xgboost_classifier", "lightgbm_classifier",
@@ -187,6 +189,11 @@ def _forest(p: dict, subset: str) -> dict:
     }
 
 
+def forest_settings(p: dict, d: int, classification: bool) -> ForestSettings:
+    """The same forest as :func:`spark_estimator`'s, grown from cells."""
+    return ForestSettings(p["n_estimators"], _depth(p), _least_rows(p), math.ceil(math.sqrt(d)) if classification else d, p["random_state"])
+
+
 def _tree(p: dict) -> dict:
     return {"maxDepth": _depth(p), "minInstancesPerNode": _least_rows(p), "seed": p["random_state"]}
 

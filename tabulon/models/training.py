@@ -16,9 +16,10 @@ from ..functions.columns import col, double, is_text, literal, numeric_columns,
 from ..operators.encode import categories
 from ..operators.knn import knn_join
 from ..operators.ordered import row_numbers
-from .catalogue import TrainingFacts, hyperparameters, is_classifier, spark_estimator
+from .catalogue import TrainingFacts, forest_settings, hyperparameters, is_classifier, spark_estimator
 from .boosting import BoostedTrees, fit_boosted
 from .boosting import settings_of as boosting_settings
+from .forest import Forest, fit_forest
 from .network import fit_network
 from .network import settings_of as network_settings
 from .optimise import minimise, summed_gradient, tube_loss
@@ -198,6 +199,7 @@ def fit_model(
         fit = {
             "naive_bayes": _fit_bayes, "svc": _fit_kernel_classifier, "svr": _fit_kernel_regressor,
             "mlp_regressor": _fit_network, "mlp_classifier": _fit_network, **dict.fromkeys(BOOSTED, _fit_boosted),
+            "random_forest_classifier": _fit_forest, "random_forest_regressor": _fit_forest,
         }.get(model_type, _fit_builtin)
         model.stages = fit(rows, model, len(features))
     finally:
@@ -357,6 +359,14 @@ def _fit_boosted(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
     return PipelineModel(stages=[trees])
 
 
+# --- forests --------------------------------------------------------------------------------------
+
+
+def _fit_forest(rows: DataFrame, model: FittedModel, d: int) -> PipelineModel:
+    forest = fit_forest(rows, d, len(model.classes or ()), forest_settings(model.params, d, model.classification))
+    return PipelineModel(stages=[forest]) if forest is not None else _fit_builtin(rows, model, d)
+
+
 # --- importance -----------------------------------------------------------------------------------
 
 
@@ -368,6 +378,8 @@ def feature_importance(model: FittedModel, spark: SparkSession) -> DataFrame:
         gains, splits = np.array(about["gains"]), np.array(about["splits"], dtype=float)
         values = splits if model.model_type.startswith("lightgbm") else np.divide(gains, splits, out=np.zeros_like(gains), where=splits > 0)
         values = values / values.sum() if values.sum() and not model.model_type.startswith("lightgbm") else values
+    elif isinstance(stage, Forest):
+        values = np.array(stage.about()["importance"])
     elif hasattr(stage, "featureImportances"):
         values = stage.featureImportances.toArray()
     elif hasattr(stage, "coefficientMatrix") and model.model_type != "svc":
