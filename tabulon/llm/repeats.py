@@ -4,7 +4,9 @@ A window of ``length`` words is routed by its minimiser, the smallest fingerprin
 windows with one minimiser form a segment. Only minimisers that occur again matter; their segments are reduced to distinct
 ones, each standing for its first place, and every later copy of a segment is a repeat as a whole. Distinct segments that
 share a minimiser may still share windows: they meet in a shard, where an index finds the shared windows. A minimiser with
-very many distinct segments is routed by single windows instead, so that no shard grows with a frequent phrase.
+very many distinct segments has them halved by the place of their windows about it: a half is routed by the words that all
+its windows hold, copies are taken out again, and what is still too many is halved again, so that no shard grows with a
+frequent phrase. A half of one window has one segment only.
 """
 
 from __future__ import annotations
@@ -20,8 +22,13 @@ from pyspark.sql import DataFrame, functions as F
 from .tables import freeze, steps
 from .words import Words, sequence_codes, sequence_sums, window_minima, words_of
 
-#: Distinct segments of one minimiser that go to a shard together; more are routed window by window.
+#: Distinct segments of one minimiser that go to a shard together; more are halved.
 TOGETHER = 256
+MASK = (1 << 64) - 1
+HALVES = [
+    pa.field("route", pa.int64()), pa.field("segment", pa.int64()), pa.field("doc_id", pa.int64()), pa.field("start", pa.int32()),
+    pa.field("n", pa.int32()), pa.field("codes", pa.binary()), pa.field("low", pa.int32()), pa.field("high", pa.int32()),
+]
 #: Words of a shard (8 bytes each).
 SHARD_WORDS = 400_000
 #: Documents whose segments are fetched by a broadcast list of places (about 12 bytes a place) instead of a shuffle.
@@ -106,21 +113,35 @@ def fetched(documents: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def single_windows(rows: DataFrame, length: int) -> DataFrame:
-    """The windows of segments: (route, doc_id, start, codes), routed by the window itself."""
+def halves(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(route, segment, doc_id, start, n, codes, low, high): the windows of segments, parted by their offset before the minimiser.
+
+    ``low`` to ``high`` are the offsets that a segment's windows may have, which its two parts halve. All windows of a part
+    hold the same words about the minimiser, and equal windows have the same offset: those words are the part's route.
+    """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [np.frombuffer(c, np.uint64) for c in batch.column("codes").to_pylist()]
-            for k, own in enumerate(codes):
-                at = np.arange(len(own) - length + 1)
-                route = sequence_codes(sequence_sums(own), at, length)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(route.view(np.int64)), batch.column("doc_id").take(pa.array(np.full(len(at), k))),
-                    pa.array((batch.column("start")[k].as_py() + at).astype(np.int32)),
-                    pa.array([own[i : i + length].tobytes() for i in at], pa.binary()),
-                ], names=["route", "doc_id", "start", "codes"])
-
-    return rows.mapInArrow(split, "route long, doc_id long, start int, codes binary")
+            made = []
+            for row in batch.to_pylist():
+                own, low, high = np.frombuffer(row["codes"], np.uint64), row["low"], row["high"]
+                sums = sequence_sums(own)
+                spot = int(window_minima(sequence_codes(sums, np.arange(len(own) - gram + 1), gram), length - gram + 1)[1][0])
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = spot - min(b, spot), spot - max(a, spot + length - len(own))
+                    if a > b or first > last:  # no offsets, or no windows
+                        continue
+                    shared = int(sequence_codes(sums, np.array([spot - a]), length - (b - a))[0])
+                    n = last - first + length
+                    route = (shared ^ (row["route"] & MASK) ^ ((a + 1) * 0x9E3779B97F4A7C15)) & MASK
+                    code = int(sequence_codes(sums, np.array([first]), n)[0])
+                    made.append((route, code, row["doc_id"], row["start"] + first, n, own[first : first + n].tobytes(), a, b))
+            if made:
+                route, code, *rest = zip(*made)
+                signed = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (route, code)]
+                yield pa.RecordBatch.from_arrays([*signed, *(pa.array(v, f.type) for v, f in zip(rest, HALVES[2:], strict=True))], schema=pa.schema(HALVES))
+
+    return rows.mapInArrow(split, "route long, segment long, doc_id long, start int, n int, codes binary, low int, high int")
 
 
 def shard_repeats(rows: DataFrame, find: Callable[[Shard], np.ndarray], length: int, shards: int) -> DataFrame:
@@ -138,7 +159,7 @@ def shard_repeats(rows: DataFrame, find: Callable[[Shard], np.ndarray], length:
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(at) > 1) | (own[at[1:]] != own[at[:-1]])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
+        last = np.append(first, len(at))[1:] - 1
         return pd.DataFrame({
             "doc_id": docs[at[first]], "start": places[at[first]].astype(np.int32), "stop": (places[at[last]] + length).astype(np.int32),
         })
@@ -155,22 +176,33 @@ def repeated_spans(documents: DataFrame, find: Callable[[Shard], np.ndarray], le
     rows = segment_rows(documents, length, gram)
     again = rows.groupBy("route").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("route")
     found = freeze(rows.join(again, "route", "left_semi"), "segments")
+    copies, places = distinct_segments(found)
+    spans, hot = copies, places.where(F.col("variants") > TOGETHER)
+    rows = fetched(documents, places.where(F.col("variants") <= TOGETHER))
+    words = places.where(F.col("variants") <= TOGETHER).agg(F.sum("n")).first()[0] or 0
+    if hot.limit(1).count():
+        parts = fetched(documents, hot).withColumns({"low": F.lit(0), "high": F.lit(length - gram)})
+        while parts is not None:
+            parts = freeze(halves(parts, length, gram), "halves")
+            copies, places = distinct_segments(parts)
+            spans = spans.unionByName(copies)
+            first = parts.join(places.select("route", "segment", "doc_id", "start", "variants"), ["route", "segment", "doc_id", "start"])
+            rows = rows.unionByName(first.where(F.col("variants") <= TOGETHER).select("route", "doc_id", "start", "codes"))
+            words += places.where(F.col("variants") <= TOGETHER).agg(F.sum("n")).first()[0] or 0
+            more = places.where(F.col("variants") > TOGETHER).limit(1).count()
+            parts = first.where(F.col("variants") > TOGETHER).select("route", "doc_id", "start", "codes", "low", "high") if more else None
+    return spans.unionByName(shard_repeats(rows, find, length, int(words // SHARD_WORDS) + 1))
+
+
+def distinct_segments(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of all copies (doc_id, start, stop) but the first of each segment, and the first places where a route has several segments."""
     classes = found.groupBy("route", "segment").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("times"))
     classes = freeze(classes.select("route", "segment", "first.doc_id", "first.start", "n", "times"), "segment-classes")
     copied = classes.where("times > 1").select("route", "segment", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"))
     copies = found.join(copied, ["route", "segment"]).where("doc_id <> first_doc or start <> first_start")
     copies = copies.select("doc_id", "start", (F.col("start") + F.col("n")).alias("stop"))
     shared = freeze(classes.groupBy("route").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1"), "shared-routes")
-    places = freeze(classes.join(shared, "route").select("route", "doc_id", "start", "n", "variants"), "places")
-    rows = fetched(documents, places.where(F.col("variants") <= TOGETHER))
-    spans = copies
-    if places.where(F.col("variants") > TOGETHER).limit(1).count():
-        windows = freeze(single_windows(fetched(documents, places.where(F.col("variants") > TOGETHER)), length), "windows")
-        firsts = windows.groupBy("route").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-        late = windows.drop("codes").join(firsts.select("route", "first"), "route").where("doc_id <> first.doc_id or start <> first.start")
-        spans = spans.unionByName(late.select("doc_id", "start", (F.col("start") + F.lit(length)).alias("stop")))
-    words = places.where(F.col("variants") <= TOGETHER).agg(F.sum("n")).first()[0] or 0
-    return spans.unionByName(shard_repeats(rows, find, length, int(words // SHARD_WORDS) + 1))
+    return copies, freeze(classes.join(shared, "route").select("route", "segment", "doc_id", "start", "n", "variants"), "places")
 
 
 def earlier(groups: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:

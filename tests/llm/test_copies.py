@@ -205,3 +205,23 @@ def test_benchmark_windows(spark, documents, nothing, texts):
     assert clean.columns == documents.columns and clean.count() == sum(not r.contaminated for r in rows)
     assert decontaminate(nothing, benchmark).collect() == []
     assert not any(r.contaminated for r in decontaminate(documents, benchmark.limit(0)).collect())
+
+
+@pytest.mark.parametrize(("dedup", "length"), [(suffix_array_dedup, 50), (substring_dedup, 20)])
+def test_frequent_phrase_is_halved(spark, dedup, length, monkeypatch):
+    """Many different texts about one phrase: what is routed again stays near the number of segments, not of windows."""
+    made, plain = [], repeats.halves
+
+    def counted(rows, *about):
+        out = plain(rows, *about)
+        made.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(repeats, "TOGETHER", 8)
+    monkeypatch.setattr(repeats, "halves", counted)
+    phrase = [f"common{i}" for i in range(length + 15)]
+    texts = {d: " ".join([f"a{d}x{i}" for i in range(40)] + phrase + [f"b{d}x{i}" for i in range(40)]) for d in range(60)}
+    found = {r.doc_id: r for r in dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), length).collect()}
+    assert found[0].n_removed == 0 and all(found[d].n_removed == len(phrase) for d in range(1, 60))
+    assert all(found[d].kept == " ".join(w for w in texts[d].split() if not w.startswith("common")) for d in range(1, 60))
+    assert made and all(out <= 2 * came for came, out in made)
