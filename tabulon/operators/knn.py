@@ -34,21 +34,36 @@ SALTS = 64
 SLACK = 1e-9
 #: Dimensions from which on cells can't be left out.
 CELL_DIMS = 16
+#: Pairs ranked at a time in double precision; queries and references of a product in single precision.
+PAIRS, TILE_QUERIES, TILE_REFERENCES = 1_000_000, 256, 4096
+#: Queries answered at a time, and pairs measured at a time.
+STEP_QUERIES, MEASURED = 16_384, 200_000
 
 
 def _nearest(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For a block of queries: (query row, reference row, distance) of the k nearest, ties by id.
 
     A matrix product ranks roughly; every reference within rounding error of the k-th is then
-    measured exactly.
+    measured exactly. Vectors of many dimensions are ranked in single precision, a tile at a time.
     """
     k = min(k, len(r))
-    qq, rr = (q * q).sum(axis=1)[:, None], (r * r).sum(axis=1)[None, :]
-    rough = np.maximum(qq + rr - 2 * (q @ r.T), 0)
-    cut = np.partition(rough, k - 1, axis=1)[:, k - 1:k]
-    rows, refs = np.nonzero(rough <= cut + SLACK * (qq + rr.max()))
-    gaps = q[rows] - r[refs]
-    dist = np.sqrt((gaps * gaps).sum(axis=1))
+    if not len(q) or not k:
+        none = np.zeros(0, dtype="int64")
+        return none, none, np.zeros(0)
+    tiled = _tiles(q, r) if q.shape[1] > CELL_DIMS else None
+    step = max(1, PAIRS // len(r)) if tiled is None else TILE_QUERIES
+    parts = []
+    for at in range(0, len(q), step):
+        if tiled is None:
+            near, far = _within_reach(q[at:at + step], r, k)
+            parts.append((near + at, far))
+        else:
+            parts.append(_reached(tiled[0][at:at + step], tiled[1], k, tiled[2], at))
+    rows, refs = (np.concatenate(p) for p in zip(*parts))
+    dist = np.empty(len(rows))
+    for at in range(0, len(rows), MEASURED):
+        gaps = q[rows[at:at + MEASURED]] - r[refs[at:at + MEASURED]]
+        dist[at:at + MEASURED] = np.sqrt((gaps * gaps).sum(axis=1))
     order = np.lexsort((ids[refs], dist, rows))
     rows, refs, dist = rows[order], refs[order], dist[order]
     first = np.searchsorted(rows, np.arange(len(q)))
@@ -56,17 +71,87 @@ def _nearest(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.
     return rows[keep], refs[keep], dist[keep]
 
 
+def _within_reach(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    qq, rr = (q * q).sum(axis=1)[:, None], (r * r).sum(axis=1)[None, :]
+    rough = np.maximum(qq + rr - 2 * (q @ r.T), 0)
+    cut = np.partition(rough, k - 1, axis=1)[:, k - 1:k]
+    return np.nonzero(rough <= cut + SLACK * (qq + rr.max()))
+
+
+def _tiles(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Queries and references in single precision, whose product is larger the nearer they are, and twice its rounding error.
+
+    Both are moved to the references' mean and scaled to lengths of at most one; None where that is not possible.
+    """
+    centre = r.mean(axis=0)
+    a, b = q - centre, r - centre
+    longest = np.sqrt(max((a * a).sum(axis=1).max(), (b * b).sum(axis=1).max()))
+    if not 1e-100 < longest < 1e100:
+        return None
+    # cancellation against a far centre is covered by the error that single precision has for moved vectors
+    if longest < 1e-6 * np.abs(centre).max():
+        return None
+    a, b = a / longest, b / longest
+    half = (b * b).sum(axis=1)[:, None] / 2
+    left = np.concatenate([a, np.full((len(a), 1), -1.0)], axis=1).astype("float32")
+    return left, np.concatenate([b, half], axis=1).astype("float32"), 4 * (q.shape[1] + 8) * 2.0**-24
+
+
+def _reached(a: np.ndarray, b: np.ndarray, k: int, slack: float, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query row + ``at``, reference row) of all pairs that may be among the k largest products of their query."""
+    first = max(TILE_REFERENCES // 4, k)
+    cut, held, size = None, [], 0
+    buffer = np.empty(len(a) * max(first, TILE_REFERENCES), dtype="float32")
+
+    def narrowed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, refs, near = (np.concatenate(p) for p in zip(*held))
+        order = np.lexsort((-near, rows))
+        rows, refs, near = rows[order], refs[order], near[order]
+        kth = near[np.searchsorted(rows, np.arange(len(a))) + k - 1]
+        keep = near >= kth[rows] - slack
+        cut[:] = kth - slack
+        return rows[keep], refs[keep], near[keep]
+
+    start = 0
+    while start < len(b):
+        part = b[start:start + (TILE_REFERENCES if start else first)]
+        near = np.matmul(a, part.T, out=buffer[:len(a) * len(part)].reshape(len(a), len(part)))
+        if cut is None:
+            cut = np.partition(near, len(part) - k, axis=1)[:, len(part) - k] - slack
+        places = np.flatnonzero(near >= cut.astype("float32")[:, None])
+        rows, refs = np.divmod(places, len(part))
+        held.append((rows, refs + start, near.ravel()[places]))
+        size += len(rows)
+        start += len(part)
+        if size > 8 * k * len(a):
+            held = [narrowed()]
+            size = len(held[0][0])
+            if size > MEASURED and len(a) > 1:  # very many equally near: fewer queries at a time
+                middle = len(a) // 2
+                halves = (_reached(a[:middle], b, k, slack, at), _reached(a[middle:], b, k, slack, at + middle))
+                return tuple(np.concatenate(p) for p in zip(*halves))
+    rows, refs, _ = narrowed()
+    return rows + at, refs
+
+
+def _in_steps(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The results of :func:`_nearest` for a few thousand queries after the other, query rows counted from the first."""
+    for start in range(0, len(q), STEP_QUERIES):
+        rows, refs, dist = _nearest(q[start:start + STEP_QUERIES], r, ids, k)
+        yield rows + start, refs, dist
+
+
 def _block_neighbours(queries: pd.DataFrame, ref: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> pd.DataFrame:
+    if queries.empty:
+        return pd.DataFrame({"q": [], "r": [], "distance": [], "y": []})
     matrix, ids, carried = ref
-    parts = []
-    step = max(1, 4_000_000 // max(1, len(ids)))
-    for start in range(0, len(queries), step):
-        part = queries.iloc[start:start + step]
-        rows, refs, dist = _nearest(np.stack(part["v"].to_numpy()).astype("float64"), matrix, ids, k)
-        parts.append(
-            pd.DataFrame({"q": part["q"].to_numpy()[rows], "r": ids[refs], "distance": dist, "y": carried[refs]})
-        )
-    return pd.concat(parts) if parts else pd.DataFrame({"q": [], "r": [], "distance": [], "y": []})
+    own = queries["q"].to_numpy()
+    points = np.stack(queries["v"].to_numpy()).astype("float64")
+    parts = [
+        pd.DataFrame({"q": own[rows], "r": ids[refs], "distance": dist, "y": carried[refs]})
+        for rows, refs, dist in _in_steps(points, matrix, ids, k)
+    ]
+    return pd.concat(parts)
 
 
 def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

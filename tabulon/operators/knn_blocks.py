@@ -1,7 +1,7 @@
 """Nearest neighbours of large references: an exact join of blocks, and an approximate one by p-stable hashing.
 
-The exact join packs both sides. Reference blocks are shuffled once and stay; the blocks of queries are sent to each of
-them. It is meant for many dimensions, where no cell can be left out.
+The exact join packs both sides into blocks and lays them on a grid: every pair of groups of blocks meets in one task. It is
+meant for many dimensions, where no cell can be left out.
 
 The approximate join hashes every vector into several tables, each by several projections onto random directions (Datar et
 al. 2004), and compares only vectors that share a bucket. The width of the steps and the number of projections are chosen
@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import col, require
 from ..functions.hashing import hash_order
 from ..session import freeze
-from .knn import BLOCK_ROWS, CHUNK_ROWS, RESULT, _arrays, _best, _block_neighbours, _first_copies, _nearest
+from .knn import RESULT, _arrays, _best, _block_neighbours, _first_copies, _in_steps
 from .lookup import lookup_join
 
 #: Queries whose exact neighbours tune the hashes, and rows that tell how far apart vectors are in general.
 PILOT, SPREAD = 200, 200
 TABLES, MOST_PROJECTIONS = 10, 16
-#: Pairs of rows whose distances a task holds at a time.
-PAIRS = 500_000
+#: Rows of a block of queries and of references, and bytes of vectors that a task holds of either side.
+BLOCK_ROWS, CHUNK_ROWS, CELL_BYTES = 32_768, 32_768, 16 * 1024 * 1024
 PACKED = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("carried", pa.binary())])
 
 
@@ -55,33 +55,54 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("i", "v", "y").mapInArrow(pack, "ids binary, vectors binary, carried binary")
 
 
-def compared(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest references of each query, for every pair of blocks of a batch; cells are read in place."""
-    kinds = {"ids": np.int64, "q_ids": np.int64, "vectors": np.float64, "q_vectors": np.float64, "carried": np.float64}
-    for at in range(batch.num_rows):
-        ids, own, matrix, points, carried = (np.frombuffer(batch.column(c)[at].as_buffer(), kind) for c, kind in kinds.items())
-        matrix, points = matrix.reshape(len(ids), -1), points.reshape(len(own), -1)
-        step = max(1, PAIRS // max(1, len(ids)))
-        for start in range(0, len(own), step):
-            rows, refs, distance = _nearest(points[start : start + step], matrix, ids, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[start : start + step][rows]), pa.array(ids[refs]), pa.array(distance), pa.array(carried[refs])], names=["q", "r", "distance", "y"]
-            )
+def unpacked(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """The blocks of a table as one array for each column, whole numbers for the ids; vectors row by row."""
+    kinds = {"ids": np.int64}
+    flat = [np.concatenate([np.frombuffer(cell.as_buffer(), kinds.get(n, np.float64)) for cell in table.column(n)]) for n in names]
+    return [v.reshape(len(flat[0]), -1) if n == "vectors" else v for n, v in zip(names, flat)]
 
 
-def block_join(q: DataFrame, ref: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(q, r, distance, y): the k nearest of each block of references to each query (q, v); references are (r, v, y)."""
+def grid(blocks: DataFrame, asked: DataFrame) -> tuple[int, int]:
+    """(groups of reference blocks, groups of query blocks): no group far beyond CELL_BYTES, and enough pairs of groups for all cores."""
+    sides = [df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("vectors")), F.lit(0))).first() for df in (blocks, asked)]
+    groups = [min(max(1, n), max(1, math.ceil(size / CELL_BYTES))) for n, size in sides]
+    wanted = 4 * blocks.sparkSession.sparkContext.defaultParallelism
+    while groups[0] * groups[1] < wanted:
+        room = [i for i in (0, 1) if groups[i] < sides[i][0]]
+        if not room:
+            break
+        grown = max(room, key=lambda i: sides[i][1] / groups[i])
+        groups[grown] += 1
+    return groups[0], groups[1]
+
+
+def block_join(q: DataFrame, ref: DataFrame, k: int, chunk_rows: int = 2048, block_rows: int = 4096) -> DataFrame:
+    """(q, r, distance, y): the k nearest of each group of references to each query (q, v); references are (r, v, y).
+
+    Blocks of either side are dealt to groups, and every pair of groups meets in one task: a block moves once for each
+    group of the other side, not once for each of its blocks.
+    """
     blocks = freeze(packed(ref.select(F.col("r").alias("i"), "v", "y"), chunk_rows), "reference-blocks")
     asked = freeze(packed(q.select(F.col("q").alias("i"), "v", F.lit(0.0).alias("y")), block_rows), "query-blocks")
-    slots = max(1, blocks.count())
-    laid = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    sent = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    across, down = grid(blocks, asked)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from compared(batch, k)
+    def dealt(df: DataFrame, own: str, groups: int, other: str, others: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias(own)
+        return df.select("ids", "vectors", "carried", mine, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    laid, sent = dealt(blocks, "across", across, "down", down), dealt(asked, "down", down, "across", across)
+    schema = pa.schema([("q", pa.int64()), ("r", pa.int64()), ("distance", pa.float64()), ("y", pa.float64())])
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids, matrix, carried = unpacked(left, "ids", "vectors", "carried")
+        own, points = unpacked(right, "ids", "vectors")
+        found = [[own[rows], ids[refs], distance, carried[refs]] for rows, refs, distance in _in_steps(points, matrix, ids, k)]
+        return pa.table([np.concatenate(c) for c in zip(*found)], schema=schema)
 
-    return sent.join(laid, "slot").mapInArrow(search, RESULT)
+    keys = ["across", "down"]
+    return laid.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(search, RESULT)
 
 
 def collision(distance: np.ndarray, width: float) -> np.ndarray:
@@ -126,6 +147,9 @@ def approximate_knn_join(
     ref = reference.select(col(reference_id).cast("bigint").alias("r"), vector.alias("v"), y.alias("y")).where("v IS NOT NULL")
     ref = freeze(_first_copies(ref, wanted), "references")
     sample = freeze(q.orderBy(hash_order(["q"], seed), "q").limit(PILOT), "sample")
+    dims = ref.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    fitting = max(1, CELL_BYTES // (8 * max(1, dims)))  # rows of a block
+    block_rows, chunk_rows = min(BLOCK_ROWS, fitting), min(CHUNK_ROWS, fitting)
     exact = _best(block_join(sample, ref, wanted), wanted)
     truth = exact.where(F.col("q") != F.col("r")).collect() if exclude_self else exact.collect()  # PILOT times k rows
     near = np.array([r["distance"] for r in truth]) if truth else np.ones(1)
@@ -159,7 +183,7 @@ def approximate_knn_join(
     sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(right.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket")
     # only buckets that don't fit one block are cut; the others have one block on either side
     cuts = freeze(
-        sizes.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"), F.ceil(F.col("m") / CHUNK_ROWS).alias("chunks")).where("blocks > 1 OR chunks > 1"), "large-buckets"
+        sizes.select("bucket", F.ceil(F.col("n") / block_rows).alias("blocks"), F.ceil(F.col("m") / chunk_rows).alias("chunks")).where("blocks > 1 OR chunks > 1"), "large-buckets"
     )
     one = F.lit(1).cast("long")
     left = lookup_join(left, cuts, ["bucket"], derived=False).select(
