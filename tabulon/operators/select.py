@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, double, numeric_columns, require, require_numeric
@@ -82,12 +85,46 @@ def chi2(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     return _scores(sums.agg(*out), features)
 
 
+JOINT = pa.schema([("c", pa.int32()), ("b", pa.int32()), ("y", pa.large_string()), ("n", pa.int64())])
+
+
+def _joint_cells(values: DataFrame, cuts: list[np.ndarray], target_cuts: np.ndarray | None) -> DataFrame:
+    """(c, b, y, n): how often bin b of feature c (v0, v1, ...) meets the target y, counted in each batch of rows.
+
+    With ``target_cuts`` the target is binned, too. A bin is the number of cuts below a value; missing values have none.
+    """
+    def binned(column: pa.Array, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = column.to_numpy(zero_copy_only=False)  # a missing value becomes NaN
+        return np.searchsorted(edges, v, side="left"), np.isnan(v)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if target_cuts is None:
+                coded = batch.column("y").dictionary_encode()
+                labels = coded.dictionary.cast(pa.large_string())
+                own, missing = np.asarray(pc.fill_null(coded.indices, 0), np.int64), np.asarray(pc.is_null(coded.indices))
+            else:
+                labels = pa.array([str(i) for i in range(len(target_cuts) + 1)], pa.large_string())
+                own, missing = binned(batch.column("y"), target_cuts)
+            for i, edges in enumerate(cuts):
+                place, absent = binned(batch.column(f"v{i}"), edges)
+                both = ~(missing | absent)
+                met, n = np.unique(place[both] * max(1, len(labels)) + own[both], return_counts=True)
+                place, own_place = np.divmod(met, max(1, len(labels)))
+                columns = [np.full(len(n), i, np.int32), place.astype(np.int32), labels.take(pa.array(own_place)), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, JOINT)], schema=JOINT)
+
+    return values.mapInArrow(count, "c int, b int, y string, n long")
+
+
 def mutual_information(
     df: DataFrame, features: Sequence[str], target: str, classification: bool = True, bins: int = MI_BINS
 ) -> DataFrame:
     """Mutual information of equal-frequency bins with the target (binned too when continuous).
 
-    One scan yields the joint counts of all features; everything after works on those counts.
+    One scan yields the joint counts of all features, counted by batch; everything after works on those counts.
     """
     require(df, target)
     require_numeric(df, *features)
@@ -95,20 +132,12 @@ def mutual_information(
     numeric_target = [] if classification else [target]
     edges = column_quantiles(df, [*features, *numeric_target], probs)
 
-    def bin_of(c: str):
-        v = double(df, c)
-        cuts = sorted({e for e in edges[c] if e is not None})
-        index = F.lit(0)
-        for e in cuts:
-            index = index + (v > F.lit(e)).cast("int")
-        return F.when(v.isNotNull(), index)
-
-    y = col(target).cast("string") if classification else bin_of(target).cast("string")
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(c).alias("b")) for c in features])
-    joint = (
-        df.select(y.alias("y"), F.explode(cells).alias("x")).select("y", "x.*")
-        .where("y IS NOT NULL AND b IS NOT NULL").groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n"))
-    )
+    cuts = {c: np.array(sorted({e for e in edges[c] if e is not None})) for c in edges}
+    y = col(target).cast("string") if classification else double(df, target)
+    values = df.select(y.alias("y"), *[double(df, c).alias(f"v{i}") for i, c in enumerate(features)])
+    cells = _joint_cells(values, [cuts[c] for c in features], None if classification else cuts[target])
+    names = F.array(*[F.lit(c) for c in features])
+    joint = cells.groupBy("c", "b", "y").agg(F.sum("n").alias("n")).select(names[F.col("c")].alias("feature"), "b", "y", "n")
     joint = freeze(joint, "joint")  # at most features x bins x classes rows, read four times
     by_bin = joint.groupBy("feature", "b").agg(F.sum("n").alias("nb"))
     by_y = joint.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
