@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import col, require
 from ..functions.hashing import hash_order
 from ..session import freeze
-from .knn import RESULT, _arrays, _best, _block_neighbours, _first_copies, _in_steps
+from .knn import RESULT, _arrays, _best, _block_neighbours, _first_copies, _nearest
 from .lookup import lookup_join
 
 #: Queries whose exact neighbours tune the hashes, and rows that tell how far apart vectors are in general.
@@ -30,6 +30,8 @@ PILOT, SPREAD = 200, 200
 TABLES, MOST_PROJECTIONS = 10, 16
 #: Rows of a block of queries and of references, and bytes of vectors that a task holds of either side.
 BLOCK_ROWS, CHUNK_ROWS, CELL_BYTES = 32_768, 32_768, 16 * 1024 * 1024
+#: Pairs of rows that are handed to one ranking, which works through them in tiles.
+PAIRS = 64_000_000
 PACKED = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("carried", pa.binary())])
 
 
@@ -55,11 +57,18 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("i", "v", "y").mapInArrow(pack, "ids binary, vectors binary, carried binary")
 
 
-def unpacked(table: pa.Table, *names: str) -> list[np.ndarray]:
-    """The blocks of a table as one array for each column, whole numbers for the ids; vectors row by row."""
-    kinds = {"ids": np.int64}
-    flat = [np.concatenate([np.frombuffer(cell.as_buffer(), kinds.get(n, np.float64)) for cell in table.column(n)]) for n in names]
-    return [v.reshape(len(flat[0]), -1) if n == "vectors" else v for n, v in zip(names, flat)]
+def compared(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest references of each query, for every pair of groups of a batch; cells are read in place."""
+    kinds = {"ids": np.int64, "q_ids": np.int64, "vectors": np.float64, "q_vectors": np.float64, "carried": np.float64}
+    for at in range(batch.num_rows):
+        ids, own, matrix, points, carried = (np.frombuffer(batch.column(c)[at].as_buffer(), kind) for c, kind in kinds.items())
+        matrix, points = matrix.reshape(len(ids), -1), points.reshape(len(own), -1)
+        step = max(1, PAIRS // max(1, len(ids)))
+        for start in range(0, len(own), step):
+            rows, refs, distance = _nearest(points[start : start + step], matrix, ids, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[start : start + step][rows]), pa.array(ids[refs]), pa.array(distance), pa.array(carried[refs])], names=["q", "r", "distance", "y"]
+            )
 
 
 def grid(blocks: DataFrame, asked: DataFrame) -> tuple[int, int]:
@@ -96,10 +105,9 @@ def block_join(q: DataFrame, ref: DataFrame, k: int, chunk_rows: int = 2048, blo
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids, matrix, carried = unpacked(left, "ids", "vectors", "carried")
-        own, points = unpacked(right, "ids", "vectors")
-        found = [[own[rows], ids[refs], distance, carried[refs]] for rows, refs, distance in _in_steps(points, matrix, ids, k)]
-        return pa.table([np.concatenate(c) for c in zip(*found)], schema=schema)
+        sides = {"ids": (left, "ids"), "q_ids": (right, "ids"), "vectors": (left, "vectors"), "q_vectors": (right, "vectors"), "carried": (left, "carried")}
+        cells = [pa.array([b"".join(cell.as_buffer() for cell in side.column(c))], pa.binary()) for side, c in sides.values()]
+        return pa.Table.from_batches(compared(pa.RecordBatch.from_arrays(cells, names=list(sides)), k), schema)
 
     keys = ["across", "down"]
     return laid.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(search, RESULT)
